@@ -261,18 +261,23 @@ def initial_state(panel: DataFrame, n_weeks: int, segment: str = "segment_id") -
 
 
 def run_recursive(state: DataFrame, n_weeks: int, predictor: Predictor, blend: Callable[[DataFrame], DataFrame],
-                  out_cols: list[str], checkpoint_every: int = 4, segment: str = "segment_id",
+                  out_cols: list[str], checkpoint_every: int = 1, segment: str = "segment_id",
                   feature_kwargs: dict | None = None) -> DataFrame:
     """Advance all segments ``n_weeks`` steps and return one row per (segment, step).
 
     ``predictor`` adds model columns to a frame of next-week feature rows;
     ``blend`` turns them into the final value (column ``next_value``) plus the
     output columns listed in ``out_cols``.
+
+    Each step's state is written with a reliable ``checkpoint()`` (default
+    every step): the next step reads the ring buffer many times, so without
+    materialisation the expression trees compound from step to step.  The
+    state is one row per segment, so a checkpoint costs O(segments).
     """
     kw = feature_kwargs or {}
     base_cols = state.columns
     outputs = None
-    cur = state.drop("outputs")
+    cur = state.drop("outputs").checkpoint(eager=True) if checkpoint_every else state.drop("outputs")
     for i in range(n_weeks):
         row = F.element_at("calendar", i + 1)
         n_hist = F.col("n_weeks") + i
@@ -295,3 +300,22 @@ def run_recursive(state: DataFrame, n_weeks: int, predictor: Predictor, blend: C
         cur = nxt
     del base_cols
     return cur.select(segment, F.inline("_acc"))
+
+
+def forecast_summary(fcst: DataFrame, value: str = "lambda", segment: str = "segment_id",
+                     step: str = "step") -> DataFrame:
+    """Per-segment totals, spread, mean CI width, mean uncertainties and first/last value."""
+    v = F.col(value)
+    return fcst.groupBy(segment).agg(
+        F.count(F.lit(1)).alias("n_weeks"),
+        F.sum(v).alias(f"{value}_sum"),
+        F.avg(v).alias(f"{value}_mean"),
+        F.min(v).alias(f"{value}_min"),
+        F.max(v).alias(f"{value}_max"),
+        F.stddev_samp(v).alias(f"{value}_std"),
+        F.avg(F.col("predicted_upper") - F.col("predicted_lower")).alias("avg_ci_width"),
+        F.avg("model_uncertainty").alias("avg_model_uncertainty"),
+        F.avg("total_uncertainty").alias("avg_total_uncertainty"),
+        F.min_by(v, F.col(step)).alias(f"first_{value}"),
+        F.max_by(v, F.col(step)).alias(f"last_{value}"),
+    )
