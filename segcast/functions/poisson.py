@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from segcast.functions.numeric import round_half_even
+
 Z95 = 1.96
 
 
@@ -47,7 +49,7 @@ def prob_columns(lam: Column, pct: bool = True, nd: int | None = 1) -> dict[str,
     out = {f"prob_{k}_crash": ps[k] * scale for k in range(4)}
     out["prob_ge4_crash"] = tail * scale
     if nd is not None:
-        out = {n: F.bround(c, nd) + F.lit(0.0) for n, c in out.items()}
+        out = {n: round_half_even(c, nd) + F.lit(0.0) for n, c in out.items()}
     return out
 
 

@@ -18,6 +18,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from segcast.functions.numeric import round_half_even
+
 from segcast.functions import labels as lb
 from segcast.functions import poisson as po
 from segcast.operators import features as fe
@@ -158,11 +160,11 @@ def risk_columns(lam: Column, total_std: Column, model_std: Column, residual_std
         "predicted_lower": iv["predicted_lower"],
         "predicted_upper": iv["predicted_upper"],
         "ci_method": iv["ci_method"],
-        "model_uncertainty": F.bround(model_std, 3) + 0.0,
-        "residual_uncertainty": F.bround(residual_std, 3) + 0.0,
-        "total_uncertainty": F.bround(total_std, 3) + 0.0,
+        "model_uncertainty": round_half_even(model_std, 3) + 0.0,
+        "residual_uncertainty": round_half_even(residual_std, 3) + 0.0,
+        "total_uncertainty": round_half_even(total_std, 3) + 0.0,
         "most_likely_crashes": mode,
-        "probability_pct": F.bround(pmode, 1) + 0.0,
+        "probability_pct": round_half_even(pmode, 1) + 0.0,
         "risk_level": lb.risk_level_4(lam),
     }
     out.update(po.prob_columns(lam))
@@ -199,12 +201,12 @@ def interval_columns(mean: Column, lower: Column, upper: Column, week: Column) -
     """D6 output: rounded mean/bounds, ``crash_range``, bounded mode + likelihood, month name."""
     mode, pmode = po.mode_capped(mean, upper.cast("int") + 2)
     return {
-        "predicted_mean": F.bround(mean, 2) + 0.0,
-        "predicted_lower": F.bround(lower, 2) + 0.0,
-        "predicted_upper": F.bround(upper, 2) + 0.0,
+        "predicted_mean": round_half_even(mean, 2) + 0.0,
+        "predicted_lower": round_half_even(lower, 2) + 0.0,
+        "predicted_upper": round_half_even(upper, 2) + 0.0,
         "crash_range": lb.crash_range(lower, upper),
         "most_likely_crashes": mode,
-        "likelihood_percent": F.bround(pmode, 1) + 0.0,
+        "likelihood_percent": round_half_even(pmode, 1) + 0.0,
         "month_name": lb.month_name(week),
     }
 

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from segcast.functions.numeric import round_half_even
+
 from segcast.functions import labels as lb
 from segcast.operators import evaluate as ev
 from segcast.operators import features as fe
@@ -60,7 +62,7 @@ def standin_risk_forecast(spark: SparkSession, sf_dir: str, n_weeks: int = N_RIS
     """D5 risk rows per (segment, step) from the stand-in predictions (feeds the dashboard queries)."""
     b = _risk_blend(standin_future(spark, sf_dir, n_weeks), n_weeks)
     out = b.withColumns(fc.risk_columns(F.col("lambda"), F.col("total_std"), F.col("model_std"), F.col("residual_std")))
-    return out.select("segment_id", "step", "week_start", "week_of_year", (F.bround("lambda", 3) + 0.0).alias("lambda"),
+    return out.select("segment_id", "step", "week_start", "week_of_year", (round_half_even("lambda", 3) + 0.0).alias("lambda"),
                       *RISK_OUT, "method")
 
 
@@ -236,7 +238,7 @@ def blend_mean(spark, sf_dir):
     f = standin_future(spark, sf_dir, N_LONG)
     b = f.withColumns(fc.blend_mean(F.col("step"), F.col("ml"), F.col("season_mean"), F.col("season_std")))
     return b.select("segment_id", "step", "week_start", "week_of_year", "method",
-                    (F.bround("final_pred", 1) + 0.0).alias("predicted_crashes"),
+                    (round_half_even("final_pred", 1) + 0.0).alias("predicted_crashes"),
                     lb.month_name(F.col("week_start")).alias("month_name"))
 
 
@@ -250,7 +252,7 @@ def seasonal_factor_forecast(spark, sf_dir):
     """H8: seasonal-factor adjustment of the ensemble mean from week 13 on."""
     f = standin_future(spark, sf_dir, N_LONG)
     p = fc.seasonal_factor(F.col("step"), F.col("ml"), F.col("season_mean"), F.col("overall_mean"))
-    return f.select("segment_id", "step", "week_start", (F.bround(p, 1) + 0.0).alias("predicted_crashes"))
+    return f.select("segment_id", "step", "week_start", (round_half_even(p, 1) + 0.0).alias("predicted_crashes"))
 
 
 @register("forecast_summary", with_(risk_sql(N_RISK)) + f"""

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from segcast.functions.numeric import round_half_even
+
 from segcast.functions import labels as lb
 from segcast.functions import poisson as po
 from segcast.operators import seasonal as se
@@ -92,7 +94,7 @@ def poisson_mode(spark, sf_dir):
     lp = lambda_panel(spark, sf_dir)
     m, p = po.mode_capped(F.col("lambda"), 19)
     return lp.select("segment_id", "week_of_year", m.alias("most_likely_crashes"),
-                     (F.bround(p, 1) + 0.0).alias("probability_pct"))
+                     (round_half_even(p, 1) + 0.0).alias("probability_pct"))
 
 
 @register("poisson_mode_bounded", with_(LAM, f"""
@@ -107,7 +109,7 @@ def poisson_mode_bounded(spark, sf_dir):
     kmax = F.greatest(lam + 1.96 * F.col("sigma"), lam).cast("int") + 2
     m, p = po.mode_capped(lam, kmax)
     return lp.select("segment_id", "week_of_year", kmax.alias("k_max"), m.alias("most_likely_crashes"),
-                     (F.bround(p, 1) + 0.0).alias("likelihood_percent"))
+                     (round_half_even(p, 1) + 0.0).alias("likelihood_percent"))
 
 
 @register("select_interval", with_(LAM, ppf_sql("lam")) + """
