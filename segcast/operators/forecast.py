@@ -262,6 +262,15 @@ def initial_state(panel: DataFrame, n_weeks: int, segment: str = "segment_id") -
                  .withColumn("outputs", F.array().cast("array<struct<step:int>>")))
 
 
+def _materialize(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint computed once: persist, checkpoint (written from the cache), release the cache."""
+    from pyspark import StorageLevel
+    tmp = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = tmp.checkpoint(eager=True)
+    tmp.unpersist()
+    return out
+
+
 def run_recursive(state: DataFrame, n_weeks: int, predictor: Predictor, blend: Callable[[DataFrame], DataFrame],
                   out_cols: list[str], checkpoint_every: int = 1, segment: str = "segment_id",
                   feature_kwargs: dict | None = None) -> DataFrame:
@@ -279,7 +288,7 @@ def run_recursive(state: DataFrame, n_weeks: int, predictor: Predictor, blend: C
     kw = feature_kwargs or {}
     base_cols = state.columns
     outputs = None
-    cur = state.drop("outputs").checkpoint(eager=True) if checkpoint_every else state.drop("outputs")
+    cur = _materialize(state.drop("outputs")) if checkpoint_every else state.drop("outputs")
     for i in range(n_weeks):
         row = F.element_at("calendar", i + 1)
         n_hist = F.col("n_weeks") + i
@@ -298,7 +307,7 @@ def run_recursive(state: DataFrame, n_weeks: int, predictor: Predictor, blend: C
         nxt = nxt.withColumn("_acc", outputs_col).drop("_out", "next_value")
         outputs = True
         if checkpoint_every and (i + 1) % checkpoint_every == 0 and i + 1 < n_weeks:
-            nxt = nxt.checkpoint(eager=True)
+            nxt = _materialize(nxt)
         cur = nxt
     del base_cols
     return cur.select(segment, F.inline("_acc"))

@@ -75,8 +75,15 @@ def top_improvement(summary: DataFrame, n: int = 5, segment: str = "segment_id")
 
 
 def run_panel(hourly: DataFrame, n_weeks: int = 12, frac: float = 0.75, leaky: bool = True,
-              model_params: dict | None = None, checkpoint_every: int = 1, segment: str = "segment_id") -> PanelResult:
-    """The whole per-segment process of the reference, for all segments in one plan."""
+              model_params: dict | None = None, checkpoint_every: int = 1, variant: str = "risk",
+              noise_scale: float = 0.0, seed: int = 42, segment: str = "segment_id") -> PanelResult:
+    """The whole per-segment process of the reference, for all segments in one plan.
+
+    ``variant`` picks the forecast family: ``"risk"`` (D5: blend A, dual
+    uncertainty, Poisson columns), ``"interval"`` (D6: blend B with interval
+    rules), ``"mean"`` (D7: blend C, missing lags → overall mean, recent
+    changes) or ``"factor"`` (D7 without method: seasonal-factor adjustment).
+    """
     panel = fe.weekly_panel(hourly, leaky=leaky).persist(StorageLevel.MEMORY_AND_DISK)
     split = fe.time_split(panel, frac)
     status = validate_segments(split).persist(StorageLevel.MEMORY_AND_DISK)
@@ -95,25 +102,84 @@ def run_panel(hourly: DataFrame, n_weeks: int = 12, frac: float = 0.75, leaky: b
     state = (fc.initial_state(panel.join(ok, segment, "left_semi"), n_weeks)
                .join(res.select(segment, "residual_std"), segment))
 
-    def blend(df: DataFrame) -> DataFrame:
-        ml, sd = ev.model_spread(md.MODEL_COLS)
-        df = df.withColumns({"ml": ml, "model_std": sd})
-        b = fc.blend_risk(F.col("step"), n_weeks, F.col("ml"), F.col("model_std"), F.col("season_mean"),
-                          F.col("overall_std"), F.col("residual_std"))
-        return df.withColumns(b).withColumn("next_value", F.col("lambda"))
-
-    raw = fc.run_recursive(state, n_weeks, ens.score, blend,
-                           ["step", "week_start", "lambda", "model_std", "total_std", "method", "residual_std"],
-                           checkpoint_every=checkpoint_every)
-    risk = raw.withColumns(fc.risk_columns(F.col("lambda"), F.col("total_std"), F.col("model_std"),
-                                           F.col("residual_std")))
-    forecast = risk.select(segment, "step", *[round_half_even("lambda", 3).alias("lambda") if c == "lambda" else F.col(c)
-                                              for c in RISK_COLUMNS])
-    summary = segment_summary(metrics, forecast, status)
+    forecast = recursive_forecast(state, ens, n_weeks, variant, checkpoint_every, noise_scale, seed, segment)
+    value = {"risk": "lambda", "interval": "predicted_mean"}.get(variant, "predicted_crashes")
+    summary = segment_summary(metrics, forecast, status, value=value)
     return PanelResult(panel, status, metrics, quality, forecast, summary, top_improvement(summary),
                        status.groupBy("status").agg(F.count(F.lit(1)).alias("n_segments")), ens)
 
 
+INTERVAL_COLUMNS = ["week_start", "week_of_year", "predicted_mean", "predicted_lower", "predicted_upper", "crash_range",
+                    "most_likely_crashes", "likelihood_percent", "month_name", "method"]
+MEAN_COLUMNS = ["week_start", "week_of_year", "predicted_crashes", "month_name", "method"]
+
+
+def recursive_forecast(state: DataFrame, ens: md.Ensemble, n_weeks: int, variant: str = "risk",
+                       checkpoint_every: int = 1, noise_scale: float = 0.0, seed: int = 42,
+                       segment: str = "segment_id") -> DataFrame:
+    """H3 with the fitted ensemble as predictor and the variant's blend; one row per (segment, step)."""
+    step = F.col("step")
+
+    def spread(df: DataFrame) -> DataFrame:
+        ml, sd = ev.model_spread(md.MODEL_COLS)
+        return df.withColumns({"ml": ml, "model_std": sd})
+
+    if variant == "risk":
+        def blend(df):
+            b = fc.blend_risk(step, n_weeks, F.col("ml"), F.col("model_std"), F.col("season_mean"),
+                              F.col("overall_std"), F.col("residual_std"))
+            return spread(df).withColumns(b).withColumn("next_value", F.col("lambda"))
+        raw = fc.run_recursive(state, n_weeks, ens.score, blend,
+                               ["step", "week_start", "lambda", "model_std", "total_std", "method", "residual_std"],
+                               checkpoint_every=checkpoint_every)
+        risk = raw.withColumns(fc.risk_columns(F.col("lambda"), F.col("total_std"), F.col("model_std"),
+                                               F.col("residual_std")))
+        return risk.select(segment, "step", *[round_half_even("lambda", 3).alias("lambda") if c == "lambda"
+                                              else F.col(c) for c in RISK_COLUMNS])
+    if variant == "interval":
+        def blend(df):
+            iv = ev.predict_interval(df, md.MODEL_COLS)
+            b = fc.blend_interval(step, n_weeks, F.col("pred_mean"), F.col("pred_lower"), F.col("pred_upper"),
+                                  F.col("season_mean"), F.col("season_std"))
+            return iv.withColumns(b).withColumn("next_value", F.col("final_mean"))
+        raw = fc.run_recursive(state, n_weeks, ens.score, blend,
+                               ["step", "week_start", "week_of_year", "final_mean", "final_lower", "final_upper",
+                                "method"], checkpoint_every=checkpoint_every)
+        out = raw.withColumns(fc.interval_columns(F.col("final_mean"), F.col("final_lower"), F.col("final_upper"),
+                                                  F.col("week_start")))
+        return out.select(segment, "step", *INTERVAL_COLUMNS)
+    if variant == "mean":
+        def blend(df):
+            b = fc.blend_mean(step, F.col("ml"), F.col("season_mean"), F.col("season_std"),
+                              noise=(0.15, 0.2), noise_scale=noise_scale, seed=seed)
+            return spread(df).withColumns(b).withColumn("next_value", F.col("final_pred"))
+        kw = {"lag_policy": "value", "change_policy": "recent"}
+    elif variant == "factor":
+        def blend(df):
+            p = fc.seasonal_factor(step, F.col("ml"), F.col("season_mean"), F.col("overall_mean"))
+            return spread(df).withColumn("final_pred", p).withColumn("method", F.lit("ML+SeasonalFactor")) \
+                             .withColumn("next_value", F.col("final_pred"))
+        kw = {"lag_policy": "zero", "rolling_guard": False, "change_policy": "recent"}
+    else:
+        raise ValueError(f"unknown variant {variant!r}")
+    raw = fc.run_recursive(state, n_weeks, ens.score, blend, ["step", "week_start", "week_of_year", "final_pred",
+                                                              "method"],
+                           checkpoint_every=checkpoint_every, feature_kwargs=kw)
+    out = raw.withColumns({"predicted_crashes": round_half_even("final_pred", 1),
+                           "month_name": F.date_format("week_start", "MMMM")})
+    return out.select(segment, "step", *MEAN_COLUMNS)
+
+
+def interval_forecast_panel_query(spark: SparkSession, sf_dir: str, **kw) -> DataFrame:
+    """Interval variant (D6) of the all-segment forecast."""
+    return run_panel(fx.hourly(spark, sf_dir), variant="interval", **kw).forecast
+
+
+def mean_forecast_panel_query(spark: SparkSession, sf_dir: str, **kw) -> DataFrame:
+    """Mean variant (D7) of the all-segment forecast, noise off."""
+    return run_panel(fx.hourly(spark, sf_dir), variant="mean", **kw).forecast
+
+
 def risk_forecast_panel_query(spark: SparkSession, sf_dir: str, **kw) -> DataFrame:
     """Flagship query: the 12-week risk forecast of every segment of the hourly fixture."""
     return run_panel(fx.hourly(spark, sf_dir), **kw).forecast

@@ -132,3 +132,15 @@ def csv_roundtrip(spark, sf_dir):
     io.write_partitioned(f.withColumnRenamed("probability_pct", "probability_%"), base, fmt="csv")
     back = io.read_forecast(spark, base)
     return back.select("segment_id", *[c for c in pn.RISK_COLUMNS])
+
+
+@register("interval_forecast_panel")
+def interval_forecast_panel(spark, sf_dir):
+    """Interval variant (H5 over the MLlib ensemble, D6 rows) for every segment."""
+    return pn.interval_forecast_panel_query(spark, sf_dir)
+
+
+@register("mean_forecast_panel")
+def mean_forecast_panel(spark, sf_dir):
+    """Mean variant (H6 over the MLlib ensemble, D7 rows, noise off) for every segment."""
+    return pn.mean_forecast_panel_query(spark, sf_dir)

@@ -100,3 +100,17 @@ def test_flagship_panel_smoke(spark):
     assert f["lambda"].min() >= 0.01 and (f["predicted_lower"] <= f["predicted_upper"]).all()
     assert set(f["method"]) == {"ML"}
     assert res.top_improvement.count() == min(5, n_seg)
+
+
+def test_panel_variants(spark):
+    from segcast.plans.panel import INTERVAL_COLUMNS, MEAN_COLUMNS, run_panel
+    small = {"rf_trees": 3, "rf_depth": 4, "gbt_iter": 3}
+    iv = run_panel(fx.hourly(spark, SF), n_weeks=14, model_params=small, variant="interval").forecast.toPandas()
+    assert list(iv.columns[2:]) == INTERVAL_COLUMNS
+    assert (iv["predicted_lower"] <= iv["predicted_mean"] + 1e-9).all()
+    assert (iv["predicted_mean"] <= iv["predicted_upper"] + 1e-9).all()
+    assert set(iv["method"]) == {"ML", "ML+Season", "Hybrid"}
+    mn = run_panel(fx.hourly(spark, SF), n_weeks=14, model_params=small, variant="mean").forecast.toPandas()
+    assert list(mn.columns[2:]) == MEAN_COLUMNS and (mn["predicted_crashes"] >= 0).all()
+    fa = run_panel(fx.hourly(spark, SF), n_weeks=14, model_params=small, variant="factor").forecast.toPandas()
+    assert len(fa) == len(mn) and (fa["predicted_crashes"] >= 0).all()
