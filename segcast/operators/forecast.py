@@ -265,6 +265,9 @@ def initial_state(panel: DataFrame, n_weeks: int, segment: str = "segment_id") -
 def _materialize(df: DataFrame) -> DataFrame:
     """Reliable checkpoint computed once: persist, checkpoint (written from the cache), release the cache."""
     from pyspark import StorageLevel
+
+    from segcast.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
     tmp = df.persist(StorageLevel.MEMORY_AND_DISK)
     out = tmp.checkpoint(eager=True)
     tmp.unpersist()

@@ -110,6 +110,25 @@ def fit_ensemble(train: DataFrame, feature_cols: list[str] | None = None, label:
     return Ensemble(cols, rf, gb, ridge, label, {"ridge_reg_param": reg})
 
 
+_FIT_CACHE: dict = {}
+
+
+def fit_ensemble_cached(train: DataFrame, feature_cols: list[str] | None = None, **params) -> Ensemble:
+    """:func:`fit_ensemble`, reused within a session for a semantically identical training plan.
+
+    The forecast variants of one run (risk, interval, mean) train on the same
+    rows with the same parameters; the key is the analysed plan's semantic
+    hash plus the parameters, so a different plan or parameter refits (files
+    rewritten in place under the same path within one session are not
+    detected).
+    """
+    key = (train.sparkSession.sparkContext.applicationId, train.semanticHash(),
+           tuple(feature_cols or ()), tuple(sorted(params.items())))
+    if key not in _FIT_CACHE:
+        _FIT_CACHE[key] = fit_ensemble(train, feature_cols, **params)
+    return _FIT_CACHE[key]
+
+
 # --- per-segment ridge (reference parity: one model per segment) ----------------------------
 def fit_ridge_per_segment(train: DataFrame, feature_cols: list[str], label: str = "total_crashes",
                           alpha: float = 1.0, segment: str = "segment_id") -> DataFrame:

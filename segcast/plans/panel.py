@@ -91,7 +91,7 @@ def run_panel(hourly: DataFrame, n_weeks: int = 12, frac: float = 0.75, leaky: b
     split = split.join(ok, segment, "left_semi")
     scored0 = se.seasonal_baseline(split)
     cols = md.feature_columns(panel)
-    ens = md.fit_ensemble(scored0.where("is_train"), cols, **(model_params or {}))
+    ens = md.fit_ensemble_cached(scored0.where("is_train"), cols, **(model_params or {}))
     scored = ens.score(scored0)
     res = ev.residual_stats(scored.where("is_train"), "total_crashes", md.MODEL_COLS).persist()
     test = ev.predict_interval(scored.where(~F.col("is_train")).join(res.select(segment, "residual_std"), segment),
