@@ -79,7 +79,8 @@ def ridge_reg_param(train: DataFrame, label: str, alpha: float) -> float:
 def fit_ensemble(train: DataFrame, feature_cols: list[str] | None = None, label: str = "total_crashes",
                  rf_trees: int = 100, rf_depth: int = 30, rf_min_instances: int = 1, gbt_iter: int = 100,
                  gbt_depth: int = 3, gbt_step: float = 0.1, ridge_alpha: float = 1.0, seed: int = 42,
-                 max_bins: int = 32, rows_per_task: int = 2000) -> Ensemble:
+                 max_bins: int = 32, rows_per_task: int = 2000, gbt_rows_per_task: int = 8000,
+                 rf_node_memory_mb: int = 1024) -> Ensemble:
     """M1–M3: fit random forest, gradient boosting and ridge on the (pooled) training rows.
 
     Defaults follow the reference's estimator defaults (100 trees with every
@@ -91,22 +92,31 @@ def fit_ensemble(train: DataFrame, feature_cols: list[str] | None = None, label:
     tasks, capped at the cluster's default parallelism: MLlib tree learners
     run one job per level/iteration, so on a small weekly panel extra
     near-empty tasks only add scheduling overhead, while a large panel still
-    spreads over every core.
+    spreads over every core.  Boosting is strictly sequential (one small tree
+    per round), so it gets coarser tasks than the forest.  Deep forests keep each row's node id cached
+    (``cacheNodeIds``) and split more nodes per pass (``rf_node_memory_mb``)
+    – both only change execution, not the fitted trees.
     """
     cols = feature_cols or feature_columns(train)
-    data = assemble(train, cols).withColumn("_label", F.col(label).cast("double")).select("features", "_label")
-    n_rows = data.count()
+    base = assemble(train, cols).withColumn("_label", F.col(label).cast("double")).select("features", "_label")
+    base = base.persist()
+    n_rows = base.count()
     par = train.sparkSession.sparkContext.defaultParallelism
-    data = data.repartition(max(1, min(par, -(-n_rows // rows_per_task)))).persist()
+    n_rf = max(1, min(par, -(-n_rows // rows_per_task)))
+    n_gb = max(1, min(par, -(-n_rows // gbt_rows_per_task)))
+    data_rf = base.repartition(n_rf).persist()
+    data_gb = data_rf if n_gb == n_rf else base.repartition(n_gb).persist()
     rf = RandomForestRegressor(featuresCol="features", labelCol="_label", numTrees=rf_trees, maxDepth=rf_depth,
                                minInstancesPerNode=rf_min_instances, featureSubsetStrategy="all", seed=seed,
-                               maxBins=max_bins, bootstrap=True).fit(data)
+                               maxBins=max_bins, bootstrap=True, cacheNodeIds=True,
+                               maxMemoryInMB=rf_node_memory_mb).fit(data_rf)
     gb = GBTRegressor(featuresCol="features", labelCol="_label", maxIter=gbt_iter, maxDepth=gbt_depth,
-                      stepSize=gbt_step, seed=seed, maxBins=max_bins).fit(data)
-    reg = ridge_reg_param(data, "_label", ridge_alpha)
+                      stepSize=gbt_step, seed=seed, maxBins=max_bins).fit(data_gb)
+    reg = ridge_reg_param(base, "_label", ridge_alpha)
     ridge = LinearRegression(featuresCol="features", labelCol="_label", elasticNetParam=0.0, regParam=reg,
-                             standardization=False, solver="normal", fitIntercept=True).fit(data)
-    data.unpersist()
+                             standardization=False, solver="normal", fitIntercept=True).fit(base)
+    for d in {id(x): x for x in (data_rf, data_gb, base)}.values():
+        d.unpersist()
     return Ensemble(cols, rf, gb, ridge, label, {"ridge_reg_param": reg})
 
 
