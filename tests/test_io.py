@@ -54,3 +54,14 @@ def test_export_display_table(spark):
     io.export_display_table(df, f"{d}/t")
     back = spark.read.option("header", True).csv(f"{d}/t").first()
     assert back["expected_range"] == "0-2"
+
+
+def test_read_metrics_and_write_summary(spark):
+    d = _dir(spark, "met")
+    with open(f"{d}/m.csv", "w") as f:
+        f.write("Model,MAE,RMSE,R²\nBaseline (Seasonal),1.217,1.5035,-0.657\nML Ensemble (Mean),0.0724,0.1095,0.9912\n")
+    m = {r["model"]: r for r in io.read_metrics(spark, f"{d}/m.csv").collect()}
+    assert m["Baseline (Seasonal)"]["r2"] == -0.657 and m["ML Ensemble (Mean)"]["mae"] == 0.0724
+    io.write_summary(spark.createDataFrame([("s1", 1.0)], "segment_id string, forecast_total double"), f"{d}/summary")
+    back = spark.read.option("header", True).csv(f"{d}/summary")
+    assert back.count() == 1 and back.rdd.getNumPartitions() == 1
