@@ -26,7 +26,7 @@ def rcols(cols: list[str], prefix: str = "") -> str:
 # --- fixtures (FIXTURES §2) -------------------------------------------------------------
 HOURLY = """
 hourly AS (
-  SELECT 'seg_' || lpad(s_nationkey::varchar, 2, '0') AS segment_id,
+  SELECT {segment_expr} AS segment_id,
          l_shipdate + to_hours(((l_orderkey*7 + l_linenumber) % 24)::int) AS timestamp,
          (l_returnflag = 'R')::int AS crash_count,
          l_quantity AS speed,
@@ -35,7 +35,7 @@ hourly AS (
          l_extendedprice / 1000 AS npmrds,
          ((l_orderkey*7 + l_linenumber) % 24)::int AS hour,
          (isodow(l_shipdate) IN (6, 7))::int AS is_weekend
-  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey),
+  FROM {source}),
 hf AS (
   SELECT *, abs(speed - historical_average_speed) AS speed_deviation,
          speed / (CASE WHEN reference_speed = 0 THEN 1 ELSE reference_speed END) AS speed_ratio,
@@ -101,7 +101,15 @@ panel AS (
   FROM lagged)"""
 
 
-def with_(*extra: str) -> str:
-    """``WITH <fixture CTEs>, <extra CTEs>`` prefix."""
-    parts = [HOURLY.strip()] + [e.strip() for e in extra if e.strip()]
+SEGMENT_KEYS = {
+    "nation": ("'seg_' || lpad(s_nationkey::varchar, 2, '0')", "lineitem JOIN supplier ON l_suppkey = s_suppkey"),
+    "supplier": ("'sup_' || lpad(l_suppkey::varchar, 6, '0')", "lineitem"),
+}
+
+
+def with_(*extra: str, segment: str = "nation") -> str:
+    """``WITH <fixture CTEs>, <extra CTEs>`` prefix; ``segment`` picks the hourly fixture's key."""
+    expr, source = SEGMENT_KEYS[segment]
+    base = HOURLY.replace("{segment_expr}", expr).replace("{source}", source)
+    parts = [base.strip()] + [e.strip() for e in extra if e.strip()]
     return "WITH " + ",\n".join(parts) + "\n"

@@ -20,9 +20,9 @@ from segcast.plans.q_features import hourly_panel
 PRED_COLS = ["pred_a", "pred_b", "pred_c"]
 
 
-def standin_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+def standin_scored(spark: SparkSession, sf_dir: str, segment: str = "nation") -> DataFrame:
     """Panel rows with the train/test flag, seasonal baseline and three stand-in predictions."""
-    sp = se.seasonal_baseline(fe.time_split(hourly_panel(spark, sf_dir)))
+    sp = se.seasonal_baseline(fe.time_split(hourly_panel(spark, sf_dir, segment)))
     return sp.withColumns({
         "pred_a": F.col("baseline_pred"),
         "pred_b": F.col("crashes_lag_1w").cast("double"),

@@ -11,8 +11,8 @@ from segcast.plans.oracle import r, rcols, with_
 from segcast.sources import fixtures as fx
 
 
-def hourly_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fe.weekly_panel(fx.hourly(spark, sf_dir))
+def hourly_panel(spark: SparkSession, sf_dir: str, segment: str = "nation") -> DataFrame:
+    return fe.weekly_panel(fx.hourly(spark, sf_dir, segment=segment))
 
 
 @register("hourly_profile", with_() + """
@@ -128,3 +128,19 @@ FROM (SELECT segment_id, week_start,
 def time_split(spark, sf_dir):
     """W8."""
     return fe.time_split(hourly_panel(spark, sf_dir)).select("segment_id", "week_start", "row_idx", "n_weeks", "is_train")
+
+
+@register("supplier_panel_summary", with_(segment="supplier") + f"""
+SELECT segment_id, count(*)::bigint AS n_weeks, sum(total_crashes)::bigint AS total,
+  {r('avg(crashes_rolling_mean_4w)', 'mean_rolling_4w')}, {r('max(crashes_rolling_std_12w)', 'max_rolling_std_12w')},
+  max(crashes_lag_12w)::bigint AS max_lag_12w, min(week_start) AS first_week, max(week_start) AS last_week
+FROM panel GROUP BY segment_id""")
+def supplier_panel_summary(spark, sf_dir):
+    """A1–A3, W1–W6 at many segments: the feature panel keyed by supplier, summarised per segment."""
+    p = hourly_panel(spark, sf_dir, "supplier")
+    return tidy(p.groupBy("segment_id").agg(
+        F.count(F.lit(1)).alias("n_weeks"), F.sum("total_crashes").cast("bigint").alias("total"),
+        F.avg("crashes_rolling_mean_4w").alias("mean_rolling_4w"),
+        F.max("crashes_rolling_std_12w").alias("max_rolling_std_12w"),
+        F.max("crashes_lag_12w").cast("bigint").alias("max_lag_12w"),
+        F.min("week_start").alias("first_week"), F.max("week_start").alias("last_week")))

@@ -28,8 +28,8 @@ N_RISK = 12
 N_LONG = 36
 
 
-def standin_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sc = standin_scored(spark, sf_dir).where("is_train")
+def standin_residuals(spark: SparkSession, sf_dir: str, segment: str = "nation") -> DataFrame:
+    sc = standin_scored(spark, sf_dir, segment).where("is_train")
     return ev.residual_stats(sc, "total_crashes", PRED_COLS).select("segment_id", "residual_std")
 
 
@@ -284,7 +284,8 @@ def _naive_risk_blend(n_weeks: int):
     return blend
 
 
-@register("recursive_forecast_naive", with_(fut_sql(N_RISK), f"""
+def recursive_sql(n: int, segment: str = "nation") -> str:
+    return with_(fut_sql(n), f"""
 h AS (SELECT segment_id, list(y ORDER BY k DESC) AS hist FROM rk WHERE k <= 12 GROUP BY 1),
 rec(segment_id, step, hist, n_hist, lam_out, method_out) AS (
   SELECT h.segment_id, 0, h.hist, o.n_weeks, NULL::double, NULL::varchar FROM h JOIN ostats o USING (segment_id)
@@ -302,13 +303,26 @@ rec(segment_id, step, hist, n_hist, lam_out, method_out) AS (
              least((r.step - 4) / 8, 1) * 0.3 AS w1, 0.3 + (r.step - 12) / 12 * 0.4 AS w2,
              CASE WHEN r.step < 4 THEN 'ML' WHEN r.step < 12 THEN 'ML+Season' WHEN r.step < 24 THEN 'Hybrid' ELSE 'Seasonal' END AS method
       FROM rec r JOIN fut f ON f.segment_id = r.segment_id AND f.step = r.step
-      WHERE r.step < {N_RISK})))""").replace("WITH ", "WITH RECURSIVE ", 1) + f"""
+      WHERE r.step < {n})))""", segment=segment).replace("WITH ", "WITH RECURSIVE ", 1) + f"""
 SELECT r.segment_id, r.step - 1 AS step, f.week_start, r.method_out AS method, {r('r.lam_out', '"lambda"')}
-FROM rec r JOIN fut f ON f.segment_id = r.segment_id AND f.step = r.step - 1 WHERE r.step > 0""")
-def recursive_forecast_naive(spark, sf_dir):
-    """The recursive engine (ring-buffer state, all segments per step) with stand-in models."""
-    panel = hourly_panel(spark, sf_dir)
-    state = fc.initial_state(panel, N_RISK).join(standin_residuals(spark, sf_dir), "segment_id")
+FROM rec r JOIN fut f ON f.segment_id = r.segment_id AND f.step = r.step - 1 WHERE r.step > 0"""
+
+
+def _recursive_naive(spark, sf_dir, segment: str = "nation"):
+    panel = hourly_panel(spark, sf_dir, segment)
+    state = fc.initial_state(panel, N_RISK).join(standin_residuals(spark, sf_dir, segment), "segment_id")
     out = fc.run_recursive(state, N_RISK, _naive_predictor, _naive_risk_blend(N_RISK),
                            ["step", "week_start", "method", "lambda"])
     return tidy(out.select("segment_id", "step", "week_start", "method", "lambda"))
+
+
+@register("recursive_forecast_naive", recursive_sql(N_RISK))
+def recursive_forecast_naive(spark, sf_dir):
+    """The recursive engine (ring-buffer state, all segments per step) with stand-in models."""
+    return _recursive_naive(spark, sf_dir)
+
+
+@register("supplier_recursive_forecast", recursive_sql(N_RISK, "supplier"))
+def supplier_recursive_forecast(spark, sf_dir):
+    """H3 at many segments: the same engine keyed by supplier (10/100/1,000 segments at sf 0.001/0.01/0.1)."""
+    return _recursive_naive(spark, sf_dir, "supplier")
