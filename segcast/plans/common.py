@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, FloatType
 
 from segcast.functions.numeric import round_half_even
-from pyspark.sql.types import DoubleType, FloatType
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -29,7 +29,7 @@ def register(name: str, sql: str | None = None):
 def tidy(df: DataFrame, nd: int = 6) -> DataFrame:
     """Round every double column half-even to ``nd`` decimals and turn -0.0 into 0.0."""
     cols = [
-        (round_half_even(F.col(f.name), nd) + F.lit(0.0)).alias(f.name)
+        round_half_even(F.col(f.name), nd).alias(f.name)
         if isinstance(f.dataType, (DoubleType, FloatType)) else F.col(f.name)
         for f in df.schema.fields
     ]

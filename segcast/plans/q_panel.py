@@ -7,7 +7,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segcast.functions.numeric import round_half_even
 from segcast.operators import features as fe
 from segcast.operators import models as md
 from segcast.operators import seasonal as se

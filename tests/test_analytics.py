@@ -1,4 +1,3 @@
-from pyspark.sql import functions as F
 
 from segcast.operators import analytics as an
 

@@ -1,7 +1,6 @@
 """Every registered query with an oracle matches its DuckDB twin at sf0.001 (the driver's check, small)."""
 
 import math
-import os
 
 import duckdb
 import pytest
