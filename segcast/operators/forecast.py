@@ -289,30 +289,23 @@ def run_recursive(state: DataFrame, n_weeks: int, predictor: Predictor, blend: C
     state is one row per segment, so a checkpoint costs O(segments).
     """
     kw = feature_kwargs or {}
-    base_cols = state.columns
-    outputs = None
+    cal_fields = ["step", "week_start", "year", "month", "quarter", "week_of_year", *fe.CYCLIC,
+                  "season_mean", "season_std"]
     cur = _materialize(state.drop("outputs")) if checkpoint_every else state.drop("outputs")
     for i in range(n_weeks):
+        # one projection for the next row's features, one for the state update: few analyses per step
         row = F.element_at("calendar", i + 1)
-        n_hist = F.col("n_weeks") + i
-        feats = {c: row[c] for c in ["step", "week_start", "year", "month", "quarter", "week_of_year",
-                                     *fe.CYCLIC, "season_mean", "season_std"]}
         missing = F.col("overall_mean") if kw.get("lag_policy") == "value" else None
-        feats.update(next_row_features(F.col("hist"), n_hist, missing_lag=missing, **kw))
-        step_df = cur.withColumns(feats)
-        scored = blend(predictor(step_df))
-        keep = [c for c in cur.columns]
-        step_out = F.struct(*[F.col(c) for c in out_cols])
-        nxt = scored.select(*keep, step_out.alias("_out"), F.col("next_value"))
-        nxt = nxt.withColumn("hist", push(F.col("hist"), F.col("next_value")))
-        outputs_col = (F.array(F.col("_out")) if outputs is None
-                       else F.concat(F.col("_acc"), F.array(F.col("_out"))))
-        nxt = nxt.withColumn("_acc", outputs_col).drop("_out", "next_value")
-        outputs = True
+        feats = [row[c].alias(c) for c in cal_fields]
+        feats += [c.alias(n) for n, c in
+                  next_row_features(F.col("hist"), F.col("n_weeks") + i, missing_lag=missing, **kw).items()]
+        scored = blend(predictor(cur.select("*", *feats)))
+        out = F.array(F.struct(*[F.col(c) for c in out_cols]))
+        acc = F.concat(F.col("_acc"), out) if "_acc" in cur.columns else out
+        keep = [c for c in cur.columns if c not in ("hist", "_acc")]
+        cur = scored.select(*keep, push(F.col("hist"), F.col("next_value")).alias("hist"), acc.alias("_acc"))
         if checkpoint_every and (i + 1) % checkpoint_every == 0 and i + 1 < n_weeks:
-            nxt = _materialize(nxt)
-        cur = nxt
-    del base_cols
+            cur = _materialize(cur)
     return cur.select(segment, F.inline("_acc"))
 
 
