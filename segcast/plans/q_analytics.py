@@ -259,3 +259,15 @@ def report_tables(spark, sf_dir):
                     F.concat_ws("–", F.col("predicted_lower").cast("string"), F.col("predicted_upper").cast("string"))
                      .alias("expected_range"),
                     "most_likely_crashes", "probability_pct", lb.risk_level_5(F.col("lambda")).alias("risk_level"))
+
+
+@register("day_night_exclusive", with_(EV) + """
+SELECT segment_id,
+  sum(((lower(light_condition) LIKE '%day%' OR lower(light_condition) LIKE '%light%'
+        OR lower(light_condition) LIKE '%dawn%' OR lower(light_condition) LIKE '%dusk%')
+       AND NOT (lower(light_condition) LIKE '%dark%' OR lower(light_condition) LIKE '%night%'))::bigint) AS day_crashes,
+  sum((lower(light_condition) LIKE '%dark%' OR lower(light_condition) LIKE '%night%')::bigint) AS night_crashes
+FROM ev WHERE light_condition IS NOT NULL AND segment_id IS NOT NULL GROUP BY segment_id""")
+def day_night_exclusive(spark, sf_dir):
+    """R3 with ``exclusive=True`` (Q17 option): a value with both a day and a night term counts as night only."""
+    return an.day_night(_events(spark, sf_dir), exclusive=True)

@@ -144,3 +144,21 @@ def supplier_panel_summary(spark, sf_dir):
         F.max("crashes_rolling_std_12w").alias("max_rolling_std_12w"),
         F.max("crashes_lag_12w").cast("bigint").alias("max_lag_12w"),
         F.min("week_start").alias("first_week"), F.max("week_start").alias("last_week")))
+
+
+_NL = ",\n  ".join(
+    f"{r(f'coalesce(avg(total_crashes) OVER (w ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING), 0)', f'crashes_rolling_mean_{n}w')},\n  "
+    f"{r(f'coalesce(stddev_samp(total_crashes) OVER (w ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING), 0)', f'crashes_rolling_std_{n}w')},\n  "
+    f"{r(f'coalesce(max(total_crashes) OVER (w ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING), 0)', f'crashes_rolling_max_{n}w')}"
+    for n in fe.ROLL_WINDOWS)
+
+
+@register("rolling_features_nonleaky", with_() + f"""
+SELECT segment_id, week_start,
+  {_NL}
+FROM cal WINDOW w AS (PARTITION BY segment_id ORDER BY week_start)""")
+def rolling_features_nonleaky(spark, sf_dir):
+    """W2–W4 with ``leaky=False`` (Q3 fix): windows end at the previous week, no change features."""
+    w = fe.weekly_rollup(fe.add_hourly_features(fx.hourly(spark, sf_dir)))
+    p = fe.add_lag_features(fe.add_week_calendar(fe.densify_weeks(w)), leaky=False)
+    return tidy(p.select("segment_id", "week_start", *fe.rolling_names()))
