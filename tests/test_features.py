@@ -91,3 +91,19 @@ def test_time_split_floor(spark):
                                "segment_id string, week_start date")
     got = [r["is_train"] for r in fe.time_split(df).orderBy("week_start").collect()]
     assert got == [True] * 5 + [False] * 2  # floor(7 * 0.75) = 5
+
+
+def test_segment_independence_and_contiguity(spark):
+    from pyspark.sql import Window
+    from segcast.sources import fixtures as fx
+    hourly = fx.hourly(spark, "/root/testdata/sf0.001")
+    seg = hourly.select("segment_id").orderBy("segment_id").first()[0]
+    together = fe.weekly_panel(hourly).where(F.col("segment_id") == seg)
+    alone = fe.weekly_panel(hourly.where(F.col("segment_id") == seg))
+    cols = [c for c in together.columns]
+    assert together.select(*cols).exceptAll(alone.select(*cols)).count() == 0
+    assert alone.select(*cols).exceptAll(together.select(*cols)).count() == 0
+    w = Window.partitionBy("segment_id").orderBy("week_start")
+    gaps = fe.weekly_panel(hourly).select(F.datediff("week_start", F.lag("week_start").over(w)).alias("d")) \
+        .where(F.col("d").isNotNull()).distinct().collect()
+    assert [r["d"] for r in gaps] == [7]
