@@ -77,3 +77,24 @@ def test_pmf_sums_to_one(spark):
     assert all(abs(r["s"] - 1) < 1e-9 for r in tot)
     z = spark.createDataFrame([(0.0,)], "lam double").select(po.pmf_at(F.lit(0), F.col("lam"))).first()[0]
     assert z == 1.0
+
+
+# Golden interval-forecast CSV (10 columns: week_start … method), located via SEGCAST_GOLDEN_INTERVAL.
+GOLDEN_INTERVAL = os.environ.get("SEGCAST_GOLDEN_INTERVAL", "")
+
+
+@pytest.mark.skipif(not os.path.exists(GOLDEN_INTERVAL or "/nonexistent"), reason="SEGCAST_GOLDEN_INTERVAL not set")
+def test_golden_interval_rows(spark):
+    from segcast.operators import forecast as fc
+    pdf = pd.read_csv(GOLDEN_INTERVAL)
+    df = spark.createDataFrame(pdf[["week_start", "predicted_mean", "predicted_lower", "predicted_upper"]]
+                               .assign(week_start=pd.to_datetime(pdf["week_start"]).dt.date))
+    cols = fc.interval_columns(F.col("predicted_mean"), F.col("predicted_lower"), F.col("predicted_upper"),
+                               F.col("week_start"))
+    out = df.select(cols["crash_range"].alias("rng"), cols["most_likely_crashes"].alias("mode"),
+                    cols["likelihood_percent"].alias("lik"), cols["month_name"].alias("month"),
+                    F.weekofyear("week_start").alias("wk")).toPandas()
+    assert (out["rng"] == pdf["crash_range"]).all()
+    assert (out["mode"] == pdf["most_likely_crashes"]).all()
+    assert (out["lik"] - pdf["likelihood_percent"]).abs().max() <= 0.3  # mean is stored rounded to 2 decimals
+    assert (out["month"] == pdf["month"]).all() and (out["wk"] == pdf["week_of_year"]).all()
