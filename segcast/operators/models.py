@@ -121,6 +121,7 @@ def fit_ensemble(train: DataFrame, feature_cols: list[str] | None = None, label:
 
 
 _FIT_CACHE: dict = {}
+_FIT_CACHE_SIZE = 4
 
 
 def fit_ensemble_cached(train: DataFrame, feature_cols: list[str] | None = None, **params) -> Ensemble:
@@ -134,9 +135,14 @@ def fit_ensemble_cached(train: DataFrame, feature_cols: list[str] | None = None,
     """
     key = (train.sparkSession.sparkContext.applicationId, train.semanticHash(),
            tuple(feature_cols or ()), tuple(sorted(params.items())))
-    if key not in _FIT_CACHE:
-        _FIT_CACHE[key] = fit_ensemble(train, feature_cols, **params)
-    return _FIT_CACHE[key]
+    if key in _FIT_CACHE:
+        _FIT_CACHE[key] = _FIT_CACHE.pop(key)  # most recently used last
+        return _FIT_CACHE[key]
+    ens = fit_ensemble(train, feature_cols, **params)
+    _FIT_CACHE[key] = ens
+    while len(_FIT_CACHE) > _FIT_CACHE_SIZE:
+        _FIT_CACHE.pop(next(iter(_FIT_CACHE)))
+    return ens
 
 
 # --- per-segment ridge (reference parity: one model per segment) ----------------------------
