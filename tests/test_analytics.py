@@ -32,3 +32,12 @@ def test_top_segments_ties(spark):
     assert [(r["segment_id"], r["route"], r["crashes"], r["rank"]) for r in t] == [("S1", "R1", 2, 1), ("S2", "R1", 1, 2)]
     h = an.top_segments(_ev(spark), hit_and_run=True).collect()
     assert [r["segment_id"] for r in h] == ["S1", "S3"]
+
+
+def test_forecast_kpis_first_peak(spark):
+    import datetime as dt
+    rows = [("a", dt.date(2025, 1, 6) + dt.timedelta(weeks=i), v) for i, v in enumerate([1.0, 3.0, 2.0, 3.0])]
+    df = spark.createDataFrame(rows, "segment_id string, week_start date, lambda double")
+    k = an.forecast_kpis(df, head=2).first()
+    assert k["peak_week"] == dt.date(2025, 1, 13) and k["peak_value"] == 3.0      # first of the tied maxima
+    assert k["total_expected"] == 9.0 and k["total_first_weeks"] == 4.0 and k["n_weeks"] == 4

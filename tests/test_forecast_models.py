@@ -114,3 +114,14 @@ def test_panel_variants(spark):
     assert list(mn.columns[2:]) == MEAN_COLUMNS and (mn["predicted_crashes"] >= 0).all()
     fa = run_panel(fx.hourly(spark, SF), n_weeks=14, model_params=small, variant="factor").forecast.toPandas()
     assert len(fa) == len(mn) and (fa["predicted_crashes"] >= 0).all()
+
+
+def test_blend_mean_noise_is_seeded_and_clamped(spark):
+    df = spark.range(0, 36).select(F.col("id").cast("int").alias("step")).repartition(1)
+    def run(scale):
+        b = fc.blend_mean(F.col("step"), F.lit(0.2), F.lit(0.1), F.lit(2.0), noise_scale=scale, seed=7)
+        return [r["p"] for r in df.select("step", b["final_pred"].alias("p")).orderBy("step").collect()]
+    quiet, noisy, again = run(0.0), run(1.0), run(1.0)
+    assert quiet[:12] == noisy[:12]                 # no noise before week 13
+    assert noisy == again                          # seeded → reproducible
+    assert min(noisy) >= 0.0 and noisy[12:] != quiet[12:]
