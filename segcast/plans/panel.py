@@ -74,6 +74,14 @@ def top_improvement(summary: DataFrame, n: int = 5, segment: str = "segment_id")
                                  ("mae_baseline", "mae_ensemble", "mae_improvement", "forecast_total")])
 
 
+def training_frame(panel: DataFrame, frac: float = 0.75, segment: str = "segment_id") -> tuple[DataFrame, DataFrame]:
+    """G1 + W8 + B3: segment status, and the valid segments' rows with split flag and seasonal baseline."""
+    split = fe.time_split(panel, frac)
+    status = validate_segments(split)
+    ok = status.where(F.col("status") == "SUCCESS").select(segment)
+    return status, se.seasonal_baseline(split.join(ok, segment, "left_semi"))
+
+
 def run_panel(hourly: DataFrame, n_weeks: int = 12, frac: float = 0.75, leaky: bool = True,
               model_params: dict | None = None, checkpoint_every: int = 1, variant: str = "risk",
               noise_scale: float = 0.0, seed: int = 42, segment: str = "segment_id") -> PanelResult:
@@ -85,11 +93,9 @@ def run_panel(hourly: DataFrame, n_weeks: int = 12, frac: float = 0.75, leaky: b
     changes) or ``"factor"`` (D7 without method: seasonal-factor adjustment).
     """
     panel = fe.weekly_panel(hourly, leaky=leaky).persist(StorageLevel.MEMORY_AND_DISK)
-    split = fe.time_split(panel, frac)
-    status = validate_segments(split).persist(StorageLevel.MEMORY_AND_DISK)
+    status, scored0 = training_frame(panel, frac, segment)
+    status = status.persist(StorageLevel.MEMORY_AND_DISK)
     ok = status.where(F.col("status") == "SUCCESS").select(segment)
-    split = split.join(ok, segment, "left_semi")
-    scored0 = se.seasonal_baseline(split)
     cols = md.feature_columns(panel)
     ens = md.fit_ensemble_cached(scored0.where("is_train"), cols, **(model_params or {}))
     scored = ens.score(scored0)

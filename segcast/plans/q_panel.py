@@ -20,9 +20,14 @@ from segcast.session import ensure_checkpoint_dir
 from segcast.sources import io
 
 def _scored_split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, md.Ensemble]:
-    """Panel rows with baseline and the three MLlib model scores (fit reused for an identical training plan)."""
-    sp = se.seasonal_baseline(fe.time_split(hourly_panel(spark, sf_dir)))
-    ens = md.fit_ensemble_cached(sp.where("is_train"), md.feature_columns(sp))
+    """Panel rows with baseline and the three MLlib model scores.
+
+    Built exactly like the flagship's training frame, so the fitted ensemble
+    is shared with ``risk_forecast_panel`` within a session.
+    """
+    panel = hourly_panel(spark, sf_dir)
+    _, sp = pn.training_frame(panel)
+    ens = md.fit_ensemble_cached(sp.where("is_train"), md.feature_columns(panel))
     return ens.score(sp), ens
 
 
