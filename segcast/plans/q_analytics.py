@@ -271,3 +271,26 @@ FROM ev WHERE light_condition IS NOT NULL AND segment_id IS NOT NULL GROUP BY se
 def day_night_exclusive(spark, sf_dir):
     """R3 with ``exclusive=True`` (Q17 option): a value with both a day and a night term counts as night only."""
     return an.day_night(_events(spark, sf_dir), exclusive=True)
+
+
+@register("report_summary", with_(risk_sql(N_RISK), KPI_SQL, REG) + f"""
+SELECT k.segment_id,
+  CASE WHEN reg.route_segment IS NULL THEN k.segment_id ELSE
+    regexp_replace(split_part(reg.route_segment, '_', 1), '^I0*(\\d+)$', 'I-\\1') || ' ' || split_part(reg.route_segment, '_', 2)
+  END AS display_name,
+  k.n_weeks, {r('k.total_expected', 'total_expected')}, {r('k.weekly_average', 'weekly_average')},
+  {r('k.peak_value', 'peak_value')},
+  strftime(p.peak_week, '%b %d') || ' – ' || strftime(p.peak_week + 6, '%b %d, %Y') AS peak_week_label,
+  CASE WHEN c.lam3 < 0.5 THEN 'Very Low Risk' WHEN c.lam3 < 1.0 THEN 'Low Risk' WHEN c.lam3 < 1.5 THEN 'Moderate Risk'
+       WHEN c.lam3 < 2.0 THEN 'High Risk' ELSE 'Very High Risk' END AS current_risk_level
+FROM kp k JOIN pk2 p USING (segment_id) JOIN (SELECT segment_id, lam3 FROM riskf WHERE step = 0) c USING (segment_id)
+LEFT JOIN reg USING (segment_id)""")
+def report_summary(spark, sf_dir):
+    """R16 summary table: display name, totals, peak week label and the current week's 5-tier risk."""
+    f = _risk12(spark, sf_dir)
+    k = an.forecast_kpis(f)
+    cur = an.first_row(f).select("segment_id", lb.risk_level_5(F.col("lambda")).alias("current_risk_level"))
+    names = an.segment_names(k, fx.registry(spark, sf_dir))
+    out = k.join(cur, "segment_id").join(names, "segment_id")
+    return tidy(out.select("segment_id", "display_name", "n_weeks", "total_expected", "weekly_average", "peak_value",
+                           lb.week_label(F.col("peak_week")).alias("peak_week_label"), "current_risk_level"))
