@@ -132,9 +132,9 @@ def recursive_forecast(state: DataFrame, ens: md.Ensemble, n_weeks: int, variant
 
     if variant == "risk":
         def blend(df):
-            b = fc.blend_risk(step, n_weeks, F.col("ml"), F.col("model_std"), F.col("season_mean"),
-                              F.col("overall_std"), F.col("residual_std"))
-            return spread(df).withColumns(b).withColumn("next_value", F.col("lambda"))
+            ml, sd = ev.model_spread(md.MODEL_COLS)
+            b = fc.blend_risk(step, n_weeks, ml, sd, F.col("season_mean"), F.col("overall_std"), F.col("residual_std"))
+            return df.withColumns({"ml": ml, "model_std": sd, **b, "next_value": b["lambda"]})
         raw = fc.run_recursive(state, n_weeks, ens.score, blend,
                                ["step", "week_start", "lambda", "model_std", "total_std", "method", "residual_std"],
                                checkpoint_every=checkpoint_every)

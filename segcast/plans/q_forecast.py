@@ -277,10 +277,9 @@ def _naive_predictor(df: DataFrame) -> DataFrame:
 def _naive_risk_blend(n_weeks: int):
     def blend(df: DataFrame) -> DataFrame:
         ml, sd = ev.model_spread(PRED_COLS)
-        df = df.withColumns({"ml": ml, "model_std": sd})
-        b = fc.blend_risk(F.col("step"), n_weeks, F.col("ml"), F.col("model_std"), F.col("season_mean"),
-                          F.col("overall_std"), F.col("residual_std"))
-        return df.withColumns(b).withColumn("next_value", F.col("lambda"))
+        b = fc.blend_risk(F.col("step"), n_weeks, ml, sd, F.col("season_mean"), F.col("overall_std"),
+                          F.col("residual_std"))
+        return df.withColumns({"ml": ml, "model_std": sd, **b, "next_value": b["lambda"]})
     return blend
 
 
