@@ -125,3 +125,18 @@ def test_blend_mean_noise_is_seeded_and_clamped(spark):
     assert quiet[:12] == noisy[:12]                 # no noise before week 13
     assert noisy == again                          # seeded → reproducible
     assert min(noisy) >= 0.0 and noisy[12:] != quiet[12:]
+
+
+def test_flagship_invariants(spark):
+    from segcast.plans.panel import RISK_COLUMNS, run_panel
+    f = run_panel(fx.hourly(spark, SF), n_weeks=12,
+                  model_params={"rf_trees": 5, "rf_depth": 6, "gbt_iter": 5}).forecast.toPandas()
+    assert list(f.columns) == ["segment_id", "step"] + RISK_COLUMNS
+    assert not f.isnull().any().any()
+    assert (f["predicted_lower"] <= f["predicted_upper"]).all() and (f["lambda"] >= 0.01).all()
+    probs = f[["prob_0_crash", "prob_1_crash", "prob_2_crash", "prob_3_crash", "prob_ge4_crash"]].sum(axis=1)
+    assert ((probs - 100).abs() <= 0.5).all()
+    assert f["most_likely_crashes"].between(0, 19).all()
+    assert set(f["risk_level"]) <= {"High", "Medium", "Low", "Very Low"}
+    assert ((f["lambda"] < 5) == (f["ci_method"] == "Poisson")).all()
+    assert set(f["method"]) == {"ML", "ML+Season"} and sorted(f["step"].unique()) == list(range(12))
