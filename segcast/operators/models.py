@@ -25,6 +25,15 @@ from pyspark.sql import types as T
 from segcast.operators import features as fe
 
 EXCLUDE = ("week_start", "total_crashes", "year")
+
+# The two estimator configurations of the reference (M1, M2). "default" = library
+# defaults (100 trees, unlimited depth → MLlib's cap 30; 100 boosting rounds of depth 3);
+# "tuned" = 200 trees of depth 10 with ≥ 2 rows per leaf, boosting depth 5. A minimum of 5 rows to
+# split a node has no MLlib equivalent and is not applied.
+PRESETS = {
+    "default": {"rf_trees": 100, "rf_depth": 30, "rf_min_instances": 1, "gbt_iter": 100, "gbt_depth": 3},
+    "tuned": {"rf_trees": 200, "rf_depth": 10, "rf_min_instances": 2, "gbt_iter": 100, "gbt_depth": 5},
+}
 MODEL_COLS = ["pred_rf", "pred_gb", "pred_ridge"]
 
 
