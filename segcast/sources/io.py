@@ -60,7 +60,13 @@ EVENT_HEADERS = {
 
 
 def parse_timestamp(c: Column) -> Column:
-    """Lenient timestamp parse: ISO first, then ``M/d/yyyy`` (mixed files, Q30); bad → NULL."""
+    """Lenient timestamp parse: ISO first, then ``M/d/yyyy`` (mixed files, Q30); bad → NULL.
+
+    The result is a wall-clock ``timestamp_ntz``.  Parsing passes through the
+    session time zone and back, which is the identity except for local times
+    that do not exist in a DST zone; run wall-clock data with a UTC session
+    (as ``session.get_spark`` does).
+    """
     s = F.trim(c.cast("string"))
     return F.coalesce(
         F.try_to_timestamp(s, F.lit("yyyy-MM-dd HH:mm:ss")),
