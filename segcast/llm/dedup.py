@@ -21,39 +21,33 @@ text are only carried along there and may have any name.
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Callable, Iterator
+import string
+from collections.abc import Callable
 
-import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from segcast.llm.common import keep_one_row_per_id, materialise
+from segcast.llm.common import keep_one_row_per_id, materialise, text_or_empty
 
 N_SALTS = 64
 
 
-def sha256(data: bytes) -> bytes:
-    return hashlib.sha256(data).digest()
+def sha256(text: Column) -> Column:
+    return F.unhex(F.sha2(text.cast("binary"), 256))
 
 
-def _normalise(digest: Callable[[bytes], bytes], with_text: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            text = pc.ascii_lower(pc.fill_null(b.column(1), ""))
-            hashed = pa.array([digest(x) for x in text.cast(pa.binary()).to_pylist()], pa.binary())
-            cols = [b.column(0), hashed, text][: 2 + with_text]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "digest", "norm"][: len(cols)])
-    return run
+def ascii_lower(text: Column) -> Column:
+    """A-Z lower-cased, all else as it is; the fast built-in serves texts that are all ASCII."""
+    plain = F.octet_length(text) == F.length(text)
+    return F.when(plain, F.lower(text)).otherwise(F.translate(text, string.ascii_uppercase, string.ascii_lowercase))
 
 
-def normalised(docs: DataFrame, n_salts: int = N_SALTS, digest: Callable[[bytes], bytes] = sha256,
-               with_text: bool = True) -> DataFrame:
-    """(doc_id, digest[, norm], salt): digest of the normalised text, the text itself, the document's salt."""
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = base.mapInArrow(_normalise(digest, with_text), "doc_id long, digest binary" + ", norm string" * with_text)
-    return out.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(n_salts)).cast("int"))
+def normalised(docs: DataFrame, n_salts: int = N_SALTS, digest: Callable[[Column], Column] = sha256) -> DataFrame:
+    """(doc_id, norm, digest, salt): the normalised text, its digest, the document's salt."""
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
+                       ascii_lower(text_or_empty().cast("string")).alias("norm"))
+    return base.select("doc_id", "norm", digest(F.col("norm")).alias("digest"),
+                       F.pmod(F.xxhash64("doc_id"), F.lit(n_salts)).cast("int").alias("salt"))
 
 
 def salt_winners(norm: DataFrame) -> DataFrame:
@@ -73,14 +67,13 @@ def salt_winners(norm: DataFrame) -> DataFrame:
                            F.when(F.col("clash"), F.col("norm")).alias("norm"))
 
 
-def exact_groups(docs: DataFrame, n_salts: int = N_SALTS, digest: Callable[[bytes], bytes] = sha256) -> DataFrame:
+def exact_groups(docs: DataFrame, n_salts: int = N_SALTS, digest: Callable[[Column], Column] = sha256) -> DataFrame:
     """One row per row of ``docs``: doc_id, digest, keep_id, group_size, kept."""
     winners = materialise(salt_winners(normalised(docs, n_salts, digest)), "exact-winners")
     plain, clashing = winners.filter(F.col("norm").isNull()), winners.filter(F.col("norm").isNotNull())
-    ids = normalised(docs, n_salts, digest, with_text=False)
-    found = ids.join(plain.drop("norm"), ["digest", "salt"])
+    full = normalised(docs, n_salts, digest)
+    found = full.drop("norm").join(plain.drop("norm"), ["digest", "salt"])
     if not clashing.isEmpty():  # one digest, several texts: the content decides
-        full = normalised(docs, n_salts, digest)
         found = found.unionByName(full.join(clashing, ["digest", "salt", "norm"]).drop("norm"))
     same = Window.partitionBy("digest", "salt", "doc_id", "keep_id").orderBy("group_size")
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.row_number().over(same) == 1)

@@ -1,8 +1,9 @@
-import hashlib
 import random
 from collections import defaultdict
 
-from segcast.llm.dedup import drop_exact_copies, exact_groups
+from pyspark.sql import functions as F
+
+from segcast.llm.dedup import drop_exact_copies, exact_groups, sha256
 
 _LOWER = {c: c + 32 for c in range(65, 91)}
 CLASH = ["digest", "norm", "salt", "keep_id", "kept", "top", "__row"]
@@ -25,7 +26,7 @@ def texts(n, seed):
 def test_matches_brute_force_with_and_without_digest_clashes(make_docs):
     rows = texts(400, 1)
     docs = make_docs(rows, CLASH).repartition(5)
-    for digest in (lambda b: hashlib.sha256(b).digest(), lambda b: b"", lambda b: hashlib.md5(b).digest()[:1][:0] + bytes([len(b) % 3])):
+    for digest in (sha256, lambda t: F.lit(b"same"), lambda t: F.substring(sha256(t), 1, 1)):
         got = exact_groups(docs, n_salts=4, digest=digest).collect()
         assert len(got) == len(rows)
         assert {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in got} == brute(rows)
