@@ -44,3 +44,16 @@ def keep_one_row_per_id(docs: DataFrame, keep_ids: DataFrame) -> DataFrame:
     kept = docs.join(keep_ids, docs["doc_id"].eqNullSafe(keep_ids["keep_doc_id"]), "left_semi")
     rn = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.length("text")))
     return kept.withColumn("__row", rn).filter(F.col("__row") == 1).select(*[F.col(f"`{c}`") for c in cols])
+
+
+def map_texts(df: DataFrame, run, schema, batch_bytes: int = 4 << 20) -> DataFrame:
+    """``mapInArrow`` over rows with texts, in batches of about ``batch_bytes``.
+
+    The default batch of 10,000 rows may hold any amount of text; the byte bound
+    keeps a task's memory the same for short and long documents.  A bound the
+    caller has set on the session is left as it is.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key, None) is None:
+        conf.set(key, str(batch_bytes))
+    return df.mapInArrow(run, schema)

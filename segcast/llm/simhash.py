@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from segcast.llm.common import keep_one_row_per_id, materialise
+from segcast.llm.common import keep_one_row_per_id, map_texts, materialise
 from segcast.llm.components import connected_components
 
 SHINGLE_WORDS = 3
@@ -74,7 +74,7 @@ def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFra
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], ["doc_id", "fp"])
 
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return base.mapInArrow(run, "doc_id long, fp long")
+    return map_texts(base, run, "doc_id long, fp long")
 
 
 def unary_popcounts(fp: np.ndarray) -> np.ndarray:
