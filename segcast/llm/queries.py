@@ -5,12 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segcast.llm import dedup, simhash
-from segcast.llm.common import table
+from segcast.llm import dedup, mixing, packing, quality, simhash
+from segcast.llm.common import materialise, table
 
 _DOCS = "documents"
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learnt from the labels outside the held-out fold."""
+    stats = materialise(quality.statistics(table(spark, sf_dir, _DOCS)), "quality-statistics")
+    model = quality.fit(stats, table(spark, sf_dir, "labels"))
+    scored = quality.score_statistics(stats, model)
+    return scored.select("doc_id", (quality.fold_of("doc_id") == 0).alias("held_out"), "score",
+                         (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Curriculum mix of all documents."""
+    plan = mixing.mix_plan(table(spark, sf_dir, _DOCS))
+    return plan.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 4096 tokens, one row per piece."""
+    return packing.pack_documents(table(spark, sf_dir, _DOCS))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash near-duplicate components of all documents."""
     found = simhash.near_components(table(spark, sf_dir, _DOCS))
@@ -23,6 +43,35 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+_OP3_SQL = """
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
+         md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS key
+  FROM documents),
+s AS (
+  SELECT source, sum(size)::BIGINT AS source_size,
+         [3, 1, 2][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight
+  FROM d GROUP BY source),
+l AS (
+  SELECT *,
+         (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(2 * source_size) OVER b, 0))
+           / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS level
+  FROM s
+  WINDOW b AS (ORDER BY 2 * source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (
+  SELECT source, source_size,
+         least((2 * source_size)::DOUBLE, weight * max(level) OVER ()) AS target
+  FROM l),
+p AS (
+  SELECT d.doc_id, d.size, t.source_size, t.target,
+         coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id
+                                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target,
+       (greatest(0, least(size, floor(target)::BIGINT - start))
+        + greatest(0, least(size, floor(target)::BIGINT - source_size - start)))::BIGINT AS taken
+FROM p"""
+
 _LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 _OP7_SQL = f"""
@@ -32,8 +81,11 @@ FROM (SELECT doc_id, {_LOWER_SQL} AS norm FROM documents)
 WINDOW w AS (PARTITION BY norm)"""
 
 QUERIES = {
+    "op1_quality": op1_quality,
+    "op3_mixing": op3_mixing,
+    "op4_packing": op4_packing,
     "op5_simhash": op5_simhash,
     "op7_exact_dedup": op7_exact_dedup,
 }
 
-ORACLE = {"op7_exact_dedup": _OP7_SQL}
+ORACLE = {"op3_mixing": _OP3_SQL, "op7_exact_dedup": _OP7_SQL}
