@@ -23,9 +23,12 @@ documents of their own; an empty table gives no rows.
 
 from __future__ import annotations
 
+import os
+import struct
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,34 +41,96 @@ from segcast.llm.common import map_texts, materialise
 CAPACITY = 4096
 END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
-CACHED_WORDS = 400_000
+CACHED_WORDS = 1_000_000
 RANK_PARTS = 256
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+class _Words(dict):
+    """Ids by word; a word that ends in a comma or full stop is put together from its two parts."""
+
+    def __missing__(self, word: str) -> bytes:
+        return self[word[:-1]] + self[word[-1]]
+
+
+def _latin(text: str) -> bool:
+    """Only characters up to \\xff, whose lower case is the same everywhere."""
+    try:
+        return text.isascii() or bool(text.encode("latin-1"))
+    except UnicodeEncodeError:
+        return False
+
+
 class Encoder:
-    """Token ids of texts as little-endian unsigned 32-bit bytes.
+    """Token ids of texts as arrays of unsigned 32-bit numbers.
 
     The vocabulary's tokens never reach over a blank or a newline, so texts are
-    encoded word by word, and words seen before come from a bounded cache.
+    encoded word by word, and words seen before come from a bounded cache.  Its
+    tokenizer lower-cases, so a Latin text may be lower-cased before it is cut into
+    words, unless it may hold a special token; and it parts letters and digits from
+    what follows, so "word," is the ids of "word" and of ",".
     """
 
     def __init__(self, vocabulary: str, cached_words: int = CACHED_WORDS) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core already
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.limit, self.known = cached_words, {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.known) > self.limit:
-            self.known = {}
-        new = list(set().union(*split).difference(self.known))
-        for i in range(0, len(new), 4096):
-            some = new[i:i + 4096]
+        self.limit, self.known = cached_words, _Words()
+        vocab = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends_word[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+
+    def _learn(self, words: list[str], at_once: int = 256) -> None:
+        """Words of letters alone are one run of tokens each, so many are encoded as one line and cut at word ends."""
+        runs = [w for w in words if w.isalpha()]
+        single = [w for w in words if not w.isalpha()]
+        lines = [runs[i:i + at_once] for i in range(0, len(runs), at_once)]
+        for k in range(0, len(lines), 16):
+            some = lines[k:k + 16]
+            for line, e in zip(some, self.tokenizer.encode_batch([" ".join(x) for x in some], add_special_tokens=False)):
+                ids = np.array(e.ids, "<u4")
+                ends = ((np.flatnonzero(self.ends_word[ids]) + 1) * 4).tolist()
+                if len(ends) != len(line):  # a letter the tokenizer does not count as one
+                    single += line
+                    continue
+                data = ids.tobytes()
+                self.known.update(zip(line, map(data.__getitem__, map(slice, [0, *ends[:-1]], ends))))
+        for i in range(0, len(single), 4096):
+            some = single[i:i + 4096]
             for word, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False)):
-                self.known[word] = np.array(e.ids, "<u4").tobytes()
-        look_up = self.known.__getitem__
-        return [b"".join(map(look_up, words)) for words in split]
+                self.known[word] = struct.pack(f"<{len(e)}I", *e.ids)
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if not texts:
+            return []
+        plain = [t.lower() if "<|" not in t and _latin(t) else t for t in texts]
+        split = pc.split_pattern(pa.array([t.replace("\n", " ") for t in plain], pa.string()), " ")
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        if len(self.known) > self.limit:
+            self.known.clear()
+        new = set(words).difference(self.known)
+        ended = [w for w in new if w[-1:] in (",", ".") and w[-2:-1].isalnum() and w[-2] <= "\xff"]
+        new.difference_update(ended)
+        new.update(w[:-1] for w in ended)
+        new.update(",.")
+        self._learn(list(new.difference(self.known)))
+
+        of_word = list(map(self.known.__getitem__, words))
+        lengths = np.fromiter(map(len, of_word), np.int64, len(of_word)) // 4
+        starts = np.cumsum(lengths) - lengths
+        at = coded.indices.to_numpy()
+        n = lengths[at]
+        ends = np.cumsum(n)
+        tokens = np.frombuffer(b"".join(of_word), "<u4")[np.arange(ends[-1]) + np.repeat(starts[at] - ends + n, n)]
+        bounds = np.concatenate([[0], ends])[split.offsets.to_numpy()]
+        return [tokens[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+
+
+@lru_cache(maxsize=1)
+def encoder(vocabulary: str) -> Encoder:
+    """The encoder of this worker process, kept from task to task."""
+    return Encoder(vocabulary)
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -75,17 +140,17 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 def token_pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None, end_id: int = END_ID) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every document, cut at ``capacity`` tokens."""
-    end = np.array([end_id], "<u4").tobytes()
+    end = np.array([end_id], "<u4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary or vocabulary_path())
+        encode = encoder(vocabulary or vocabulary_path()).encode
         for b in batches:
             rows = []
-            for doc_id, ids in zip(b.column(0).to_pylist(), encoder.encode(pc.fill_null(b.column(1), "").to_pylist())):
-                ids += end
-                for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at:at + 4 * capacity]
-                    rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)))
+            for doc_id, ids in zip(b.column(0).to_pylist(), encode(pc.fill_null(b.column(1), "").to_pylist())):
+                ids = np.concatenate([ids, end])
+                for piece, at in enumerate(range(0, len(ids), capacity)):
+                    part = ids[at:at + capacity]
+                    rows.append((doc_id, piece, at, len(part), zlib.crc32(part)))
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             cols = zip(*rows) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)],
