@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segcast.llm import dedup, mixing, packing, quality, simhash
+from segcast.llm import dedup, fingerprint, license, mixing, packing, quality, simhash
 from segcast.llm.common import materialise, table
 
 _DOCS = "documents"
@@ -20,6 +20,11 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op2_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and expressions of every document."""
+    return license.scan_documents(table(spark, sf_dir, _DOCS))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Curriculum mix of all documents."""
     plan = mixing.mix_plan(table(spark, sf_dir, _DOCS))
@@ -37,6 +42,11 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of every document, and its likeness to the edited text and to the next document."""
+    return fingerprint.compare_versions(table(spark, sf_dir, _DOCS))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact copies of all documents: one row per document, dropped ones too."""
     return dedup.exact_groups(table(spark, sf_dir, _DOCS)).select(
@@ -82,10 +92,12 @@ WINDOW w AS (PARTITION BY norm)"""
 
 QUERIES = {
     "op1_quality": op1_quality,
+    "op2_license": op2_license,
     "op3_mixing": op3_mixing,
     "op4_packing": op4_packing,
     "op5_simhash": op5_simhash,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_fingerprint": op8_fingerprint,
 }
 
 ORACLE = {"op3_mixing": _OP3_SQL, "op7_exact_dedup": _OP7_SQL}
