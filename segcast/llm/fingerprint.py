@@ -210,7 +210,7 @@ def compare_versions(docs: DataFrame, cells: int = CELLS, piece_words: int = PIE
     base = base.withColumn("id", F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn("at", F.col("id").cast("double"))
     n_ranges = max(1, min(MAX_RANGES, base.count() // rows_per_range))
     edges = base.select("at").stat.approxQuantile("at", [i / n_ranges for i in range(1, n_ranges)], 0.2 / n_ranges) if n_ranges > 1 else []
-    splits = [float("-inf"), *sorted(set(edges)), float("inf")]
+    splits = [float("-inf"), *(sorted(set(edges)) or [0.0]), float("inf")]  # any inner bound will do
     dealt = Bucketizer(splits=splits, inputCol="at", outputCol="range").transform(base).withColumn("hash", F.xxhash64("text"))
 
     # the first row of each range, by descending id and then by hash, also ends the range before it
