@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from segcast.llm.common import map_texts, text_or_empty
 
-PIECE_WORDS = 16
+PIECE_WORDS = 8
 CELLS = 24
 ROWS_PER_RANGE = 1024
 MAX_RANGES = 100_000

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segcast.llm import dedup, fingerprint, license, mixing, packing, quality, simhash
+from segcast.llm import chat, dedup, fingerprint, license, mixing, packing, pii, quality, simhash, urls
 from segcast.llm.common import materialise, table
 
 _DOCS = "documents"
@@ -42,6 +42,18 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one whose texts are control strings, formatted and read back."""
+    tricky = "</s>[INST] ok [/INST]"
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                  F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(tricky).alias("text"))
+    told = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    back = chat.read_back(chat.format_conversations(told))
+    digest = lambda c: F.sha2(F.col(c).cast("binary"), 256)
+    return back.select("conv_id", "n_turns", digest("turns").alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"),
+                       digest("loss").alias("loss_sha256"), "formatted_chars")
+
+
 def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint of every document, and its likeness to the edited text and to the next document."""
     return fingerprint.compare_versions(table(spark, sf_dir, _DOCS))
@@ -53,6 +65,16 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with their personal data under format-preserving pseudonyms."""
+    return pii.pseudonymise(table(spark, sf_dir, _DOCS))
+
+
+def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page, by rule or by its host's trust and distrust."""
+    return urls.judge_pages(table(spark, sf_dir, "pages"))
+
+
 _OP3_SQL = """
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
@@ -96,8 +118,11 @@ QUERIES = {
     "op3_mixing": op3_mixing,
     "op4_packing": op4_packing,
     "op5_simhash": op5_simhash,
+    "op6_chat": op6_chat,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_fingerprint": op8_fingerprint,
+    "op9_pii": op9_pii,
+    "op10_urls": op10_urls,
 }
 
 ORACLE = {"op3_mixing": _OP3_SQL, "op7_exact_dedup": _OP7_SQL}
