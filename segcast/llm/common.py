@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from segcast.session import ensure_checkpoint_dir
@@ -32,18 +32,27 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def keep_one_row_per_id(docs: DataFrame, keep_ids: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose doc_id is in ``keep_ids`` (column keep_doc_id, null matches null), one row per id.
 
     Of rows repeating a doc_id, the one with the smallest text hash stays.
-    Columns are those of ``docs``.
+    Columns are those of ``docs``.  Join and window share one shuffle of the texts.
     """
-    from pyspark.sql import Window
-
-    cols = docs.columns
-    kept = docs.join(keep_ids, docs["doc_id"].eqNullSafe(keep_ids["keep_doc_id"]), "left_semi")
-    rn = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.length("text")))
-    return kept.withColumn("__row", rn).filter(F.col("__row") == 1).select(*[F.col(f"`{c}`") for c in cols])
+    value, missing, row = (free_name(docs, n) for n in ("id_value", "id_missing", "id_row"))
+    ids = keep_ids.select(F.coalesce("keep_doc_id", F.lit(0)).alias(value), F.isnull("keep_doc_id").alias(missing))
+    doc_id = F.col("doc_id").cast("long")
+    keyed = docs.withColumn(value, F.coalesce(doc_id, F.lit(0))).withColumn(missing, F.isnull(doc_id))
+    kept = keyed.join(ids, [value, missing], "left_semi")
+    rn = F.row_number().over(Window.partitionBy(value, missing).orderBy(F.xxhash64("text"), F.length("text")))
+    return kept.withColumn(row, rn).filter(F.col(row) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def map_texts(df: DataFrame, run, schema, batch_bytes: int = 4 << 20) -> DataFrame:

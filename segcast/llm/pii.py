@@ -26,14 +26,16 @@ from segcast.llm.common import text_or_empty
 ROUNDS = 10
 KEY = "change me: secret of the corpus owner"
 
-EMAIL = r"[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}+"
-SECRET = r"(?i:password|passwd|secret|token|api_?key)[ \t]*[=:][ \t]*(?:\"[^\"\s]{6,}+\"|[^\s\"]{6,}+)"
+EMAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]++(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}+"
+#: After a colon a value must hold a digit, so that prose is left alone.
+SECRET = r"(?i:password|passwd|secret|token|api_?key)[ \t]*(?:=|:(?=[ \t]*\"?[^\s\"]*\d))[ \t]*(?:\"[^\"\s]{6,}+\"|[^\s\"]{6,}+)"
 ACCESS_KEY = r"(?<![A-Za-z0-9])A[KS]IA[A-Z0-9]{16}(?![A-Za-z0-9])"
 DATE = r"(?<![\d.\-])\d{4}-\d{2}-\d{2}(?![\d\-])"
 SSN = r"(?<![\d.\-])\d{3}-\d{2}-\d{4}(?![\d\-])"
 IPV4 = r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d)"
-CARD = r"(?<![\d.])\d(?:[ \-]?\d){12,18}+(?![\d])"
-PHONE = r"(?<![\d+])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{3}\)[ .\-]?|\d{3}[ .\-])\d{3}[ .\-]\d{4}(?!\d)"
+CARD = r"(?<!\d)(?<!\d\.)(?:\d{13,19}+|\d{4}[ \-]\d{4}[ \-]\d{4}[ \-]\d{4}|\d{4}[ \-]\d{6}[ \-]\d{5})(?!\d)"
+PHONE = (r"(?:(?<![\d+])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{3}\)[ .\-]?|\d{3}[ .\-])\d{3}[ .\-]\d{4}(?!\d)"
+         r"|(?<![\d+])\+\d{1,3}(?:[ .\-]?\d{2,4}){2,4}(?!\d))")
 KINDS = ("email", "secret", "access_key", "date", "ssn", "ipv4", "card", "phone")
 PATTERN = "|".join((EMAIL, SECRET, ACCESS_KEY, DATE, SSN, IPV4, CARD, PHONE))
 
@@ -122,10 +124,10 @@ def _card(s: Column, key: str) -> Column:
 
 
 def _phone(s: Column, key: str) -> Column:
-    """A country code stays, the ten digits after it are permuted."""
+    """The last ten digits are permuted, a country code before them stays."""
     def made(d: Column) -> Column:
-        n = F.length(d)
-        return F.concat(F.substr(d, F.lit(1), n - 10), permute_digits(F.substr(d, n - 9, F.lit(10)), "phone", key))
+        kept = F.greatest(F.lit(0), F.length(d) - 10)
+        return F.concat(F.substr(d, F.lit(1), kept), permute_digits(F.substr(d, kept + 1, F.lit(10)), "phone", key))
 
     return _let(_digits(s), lambda d: _let(made(d), lambda x: _into_shape(s, x)))
 
@@ -211,8 +213,8 @@ def _kind(s: Column) -> Column:
         .when(whole(r"\d{4}-\d{2}-\d{2}"), F.when(day_ok, "date"))
         .when(whole(r"\d{3}-\d{2}-\d{4}"), F.when(ssn_ok, "ssn"))
         .when(whole(r"\d{1,3}(?:\.\d{1,3}){3}"), F.when(octets, "ipv4"))
-        .when(whole(r"\d(?:[ \-]?\d){12,18}"), F.when(luhn_sum(digits) % 10 == 0, "card"))
-        .otherwise("phone")
+        .when(whole(r"\d{13,19}|\d{4}[ \-]\d{4}[ \-]\d{4}[ \-]\d{4}|\d{4}[ \-]\d{6}[ \-]\d{5}"), F.when(luhn_sum(digits) % 10 == 0, "card"))
+        .when(F.length(digits).between(8, 15), "phone")
     )
 
 

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from segcast.llm.common import map_texts, materialise
+from segcast.llm.common import free_name, map_texts, materialise
 
 FOLDS = 5
 GRID = [(p, r) for p in (0.02, 0.1, 0.3) for r in (0.003, 0.03)]
@@ -264,5 +264,6 @@ def score_documents(docs: DataFrame, model: Model | _Unfitted, name: str = "qual
 def keep_good_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents scored at ``threshold`` or more, with the columns of ``docs``."""
     model = fit(statistics(docs), labels)
-    scored = score_documents(docs, model, "__quality")
-    return scored.filter(F.col("__quality") >= threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
+    name = free_name(docs, "quality_score")
+    scored = score_documents(docs, model, name)
+    return scored.filter(F.col(name) >= threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
