@@ -10,7 +10,8 @@ RISK4 = [(4.0, "High"), (2.5, "Medium"), (1.0, "Low")]
 RISK4_ELSE = "Very Low"
 RISK5 = [(0.5, "Very Low Risk"), (1.0, "Low Risk"), (1.5, "Moderate Risk"), (2.0, "High Risk")]
 RISK5_ELSE = "Very High Risk"
-RISK_BINS = [0.0, 0.5, 1.0, 1.5, 2.0, 10.0]
+RISK_BINS = [0.5, 1.0, 1.5, 2.0]
+RISK_BIN_TOP = 10.0
 RISK_BIN_LABELS = ["Very Low", "Low", "Moderate", "High", "Very High"]
 MONTH_ABBR = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
 BUCKET_LABELS = ["0", "1", "2", "3", "4+"]
@@ -33,12 +34,17 @@ def risk_level_5(value: Column) -> Column:
     return out
 
 
-def risk_bin(value: Column) -> Column:
-    """Right-closed bins (0,0.5] … (2,10]; 0, negatives and >10 fall outside (NULL)."""
-    out = F.lit(None).cast("string")
-    for lo, hi, label in reversed(list(zip(RISK_BINS[:-1], RISK_BINS[1:], RISK_BIN_LABELS))):
-        out = F.when((value > lo) & (value <= hi), label).otherwise(out)
-    return out
+def risk_bin(value: Column, parity: bool = False) -> Column:
+    """Right-closed bins up to 0.5, 1, 1.5, 2 and above 2; every value has a bin.
+
+    With ``parity`` the outer bins end as the reference's do: 0 and below, and
+    everything above 10, fall outside (NULL).
+    """
+    out = F.lit(RISK_BIN_LABELS[-1])
+    for hi, label in reversed(list(zip(RISK_BINS, RISK_BIN_LABELS))):
+        out = F.when(value <= hi, label).otherwise(out)
+    out = F.when(value.isNotNull(), out)
+    return F.when((value > 0) & (value <= RISK_BIN_TOP), out) if parity else out
 
 
 def crash_range(lower: Column, upper: Column) -> Column:

@@ -8,6 +8,8 @@ underflows) stays exact.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,17 +30,29 @@ def pmf(k: int, lam: Column) -> Column:
     return F.exp(-lam) * F.pow(lam, F.lit(float(k))) / F.lit(float(fact))
 
 
-def log_factorial(n: Column) -> Column:
-    """ln(n!) for a non-negative integer column of any size (sum of ln j)."""
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(n.cast("int"), F.lit(1))), F.lit(0.0),
-                       lambda acc, j: acc + F.log(j.cast("double")))
+#: ln(k!) for k below 16, where the Stirling series is not yet exact enough.
+_SMALL = 16
+_LOG_FACTORIAL = [math.lgamma(k + 1.0) for k in range(_SMALL)]
+
+
+def log_pmf(k: Column, lam: Column) -> Column:
+    """ln P(X = k) for λ > 0 and an integer column k ≥ 0 of any size, in O(1).
+
+    From k = 16 on the saddle-point form −(k·ln(k/λ) + λ − k) − ½·ln(2πk) − δ(k)
+    keeps the digits that −λ + k·ln λ − ln k! would lose for large λ.
+    """
+    kd = F.greatest(k, F.lit(1)).cast("double")
+    table = F.element_at(F.array(*[F.lit(v) for v in _LOG_FACTORIAL]), F.least(k, F.lit(_SMALL - 1)).cast("int") + 1)
+    small = -lam + k * F.log(lam) - table
+    x = (kd - lam) / lam
+    deviance = lam * ((1 + x) * F.log1p(x) - x)
+    delta = 1 / (12 * kd) - 1 / (360 * kd * kd * kd) + 1 / (1260 * F.pow(kd, F.lit(5.0)))
+    return F.when(k < _SMALL, small).otherwise(-deviance - 0.5 * F.log(2 * math.pi * kd) - delta)
 
 
 def pmf_at(k: Column, lam: Column) -> Column:
     """P(X = k) for an integer column k, in log space."""
-    k = k.cast("int")
-    return F.when(lam <= 0, F.when(k == 0, F.lit(1.0)).otherwise(F.lit(0.0))).otherwise(
-        F.exp(-lam + k * F.log(lam) - log_factorial(k)))
+    return F.when(lam <= 0, F.when(k == 0, F.lit(1.0)).otherwise(F.lit(0.0))).otherwise(F.exp(log_pmf(k, lam)))
 
 
 def prob_columns(lam: Column, pct: bool = True, nd: int | None = 1) -> dict[str, Column]:
@@ -53,33 +67,45 @@ def prob_columns(lam: Column, pct: bool = True, nd: int | None = 1) -> dict[str,
     return out
 
 
-def quantile(lam: Column, q: float) -> Column:
-    """Poisson ``ppf(q, λ)`` – smallest k with cdf(k) ≥ q (0 for λ ≤ 0).
+def quantiles(lam: Column, qs: tuple[float, ...]) -> Column:
+    """Array of Poisson ``ppf(q, λ)`` – smallest k with cdf(k) ≥ q – for rising ``qs`` (0 for λ ≤ 0).
 
-    The cdf is accumulated over k = 0..⌈λ + 12√λ + 20⌉ with one ``aggregate``.
+    One ``aggregate`` accumulates the cdf over the k within 12 standard
+    deviations of λ (the mass below is under 1e-30), so a row costs O(√λ).
     """
-    top = F.ceil(lam + 12 * F.sqrt(lam) + 20).cast("int")
-    init = F.struct(F.lit(0.0).alias("lp"), F.lit(0.0).alias("cdf"), F.lit(-1).alias("ans"))
+    first = F.greatest(F.lit(0), F.floor(lam - 12 * F.sqrt(lam) - 20)).cast("bigint")
+    last = F.ceil(lam + 12 * F.sqrt(lam) + 20).cast("bigint")
+    unset = F.array(*[F.lit(-1).cast("bigint") for _ in qs])
+    init = F.struct(F.lit(0.0).alias("lp"), F.lit(0.0).alias("cdf"), unset.alias("ans"))
+    levels = F.array(*[F.lit(q) for q in qs])
 
     def step(acc, k):
-        lp = F.when(k == 0, -lam).otherwise(acc["lp"] + F.log(lam) - F.log(k.cast("double")))
+        lp = F.when(k == first, log_pmf(first, lam)).otherwise(acc["lp"] + F.log(lam) - F.log(k.cast("double")))
         cdf = acc["cdf"] + F.exp(lp)
-        ans = F.when((acc["ans"] < 0) & (cdf >= q), k).otherwise(acc["ans"])
+        ans = F.when((cdf >= qs[0]) & (F.element_at(acc["ans"], -1) < 0),
+                     F.zip_with(acc["ans"], levels, lambda a, q: F.when((a < 0) & (cdf >= q), k).otherwise(a))
+                     ).otherwise(acc["ans"])
         return F.struct(lp.alias("lp"), cdf.alias("cdf"), ans.alias("ans"))
 
-    res = F.aggregate(F.sequence(F.lit(0), top), init, step)
-    return F.when(lam <= 0, F.lit(0)).otherwise(res["ans"])
+    found = F.aggregate(F.sequence(first, last), init, step, lambda acc: acc["ans"])
+    return F.when(lam <= 0, F.array(*[F.lit(0).cast("bigint") for _ in qs])).otherwise(found)
+
+
+def quantile(lam: Column, q: float) -> Column:
+    """P3 for one level."""
+    return quantiles(lam, (q,))[0].cast("int")
 
 
-def mode_capped(lam: Column, k_max: Column | int = 19) -> tuple[Column, Column]:
-    """First most likely k in 0..k_max and its probability (%, unrounded).
+def mode(lam: Column, k_max: Column | int | None = None) -> tuple[Column, Column]:
+    """First most likely k and its probability (%, unrounded), over all k or over 0..k_max.
 
     The pmf rises while k < λ and falls after, with an exact tie between λ−1
-    and λ for integer λ, so the first maximum is ``ceil(λ) − 1`` clipped to
-    [0, k_max].
+    and λ for integer λ, so the first maximum is ``ceil(λ) − 1``, 0 at least.
+    The reference searches 0..19 (``k_max=19``) or 0..int(upper)+2.
     """
-    k_max = _col(k_max)
-    m = F.least(k_max.cast("int"), F.greatest(F.lit(0), (F.ceil(lam) - 1).cast("int")))
+    m = F.greatest(F.lit(0), (F.ceil(lam) - 1).cast("int"))
+    if k_max is not None:
+        m = F.least(_col(k_max).cast("int"), m)
     return m, pmf_at(m, lam) * 100
 
 
@@ -88,7 +114,8 @@ def select_interval(lam: Column, total_std: Column, threshold: float = 5.0, z: f
 
     Bounds are truncated to int, as the reference does with ``int()``.
     """
-    lo_p, hi_p = quantile(lam, 0.025), quantile(lam, 0.975)
+    both = quantiles(lam, (0.025, 0.975))
+    lo_p, hi_p = both[0], both[1]
     lo_n = F.greatest(lam - z * total_std, F.lit(0.0))
     hi_n = F.greatest(lam + z * total_std, lam)
     small = lam < threshold

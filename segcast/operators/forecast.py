@@ -4,7 +4,7 @@ Design: the horizon is sequential (step i needs the prediction of step i−1)
 but segments are independent, so the engine keeps **one state row per
 segment** and advances every segment together, one DataFrame transform per
 step.  The state holds only what the next step can read: the last 12 target
-values (max lag and max rolling window are 12), the carried exogenous
+values (as many as the longest lag or rolling window needs), the carried exogenous
 measures, and the pre-computed future calendar with its seasonal lookups as an
 array of ``n_weeks`` structs.  Per step: project features → score with the
 predictor → blend → append the prediction to the ring buffer.  Lineage is cut
@@ -25,7 +25,7 @@ from segcast.functions import poisson as po
 from segcast.operators import features as fe
 from segcast.operators import seasonal as se
 
-HIST = 12
+HIST = max(*fe.LAGS, *fe.ROLL_WINDOWS)
 Z95 = 1.96
 
 
@@ -152,10 +152,14 @@ def blend_risk(step: Column, n_weeks: int, ml: Column, model_std: Column, season
     return {"lambda": F.greatest(lam, F.lit(floor)), "base_std": base, "total_std": total, "method": method}
 
 
-def risk_columns(lam: Column, total_std: Column, model_std: Column, residual_std: Column) -> dict[str, Column]:
-    """D5 output columns from λ: bounds, ``ci_method``, mode, probabilities, 4-tier risk, rounded."""
+def risk_columns(lam: Column, total_std: Column, model_std: Column, residual_std: Column,
+                 mode_max: int | None = None) -> dict[str, Column]:
+    """D5 output columns from λ: bounds, ``ci_method``, mode, probabilities, 4-tier risk, rounded.
+
+    The mode is the true one; ``mode_max=19`` gives the reference's search range.
+    """
     iv = po.select_interval(lam, total_std)
-    mode, pmode = po.mode_capped(lam, 19)
+    mode, pmode = po.mode(lam, mode_max)
     out = {
         "predicted_lower": iv["predicted_lower"],
         "predicted_upper": iv["predicted_upper"],
@@ -199,7 +203,7 @@ def blend_interval(step: Column, n_weeks: int, ml_mean: Column, ml_lower: Column
 
 def interval_columns(mean: Column, lower: Column, upper: Column, week: Column) -> dict[str, Column]:
     """D6 output: rounded mean/bounds, ``crash_range``, bounded mode + likelihood, month name."""
-    mode, pmode = po.mode_capped(mean, upper.cast("int") + 2)
+    mode, pmode = po.mode(mean, upper.cast("int") + 2)
     return {
         "predicted_mean": round_half_even(mean, 2) + 0.0,
         "predicted_lower": round_half_even(lower, 2) + 0.0,

@@ -108,8 +108,8 @@ riskf AS (
     CASE WHEN lam_v < 5 THEN 'Poisson' ELSE 'Hybrid-Uncertainty' END AS ci_method,
     (round_even(model_std, 3) + 0.0) AS model_uncertainty, (round_even(residual_std, 3) + 0.0) AS residual_uncertainty,
     (round_even(total_std, 3) + 0.0) AS total_uncertainty,
-    {mode_sql('lam_v', '19')} AS most_likely_crashes,
-    (round_even(exp(-lam_v + {mode_sql('lam_v', '19')} * ln(lam_v) - lgamma({mode_sql('lam_v', '19')} + 1)) * 100, 1) + 0.0) AS probability_pct,
+    {mode_sql('lam_v')} AS most_likely_crashes,
+    (round_even(exp(-lam_v + {mode_sql('lam_v')} * ln(lam_v) - lgamma({mode_sql('lam_v')} + 1)) * 100, 1) + 0.0) AS probability_pct,
     {risk4_sql('lam_v')} AS risk_level, method,
     {probs_sql('lam_v')}
   FROM br2 JOIN pq USING (segment_id, step))"""

@@ -51,8 +51,14 @@ def probs_sql(lam: str = "lam_v") -> str:
     return ",\n  ".join(cols)
 
 
-def mode_sql(lam: str, kmax: str) -> str:
-    return f"least({kmax}, greatest(0, ceil({lam})::int - 1))::int"
+def mode_sql(lam: str, kmax: str | None = None) -> str:
+    """First k of greatest probability, searched over the grid of all k worth a look (or 0..kmax).
+
+    Equal maxima of the pmf (λ a whole number) may differ in the last bits, so logs are compared to 11 decimals.
+    """
+    top = kmax or f"ceil({lam} + 12 * sqrt({lam}) + 20)::bigint"
+    p = f"list_transform(range(0, ({top}) + 1), lambda k: round(k * ln(greatest({lam}, 1e-300)) - {lam} - lgamma(k + 1), 11))"
+    return f"(list_position({p}, list_max({p})) - 1)::int"
 
 
 def pmf_pct_sql(m: str, lam: str) -> str:
@@ -83,16 +89,16 @@ def poisson_interval(spark, sf_dir):
     """Poisson 2.5 % / 97.5 % quantiles."""
     lp = lambda_panel(spark, sf_dir)
     lam = F.col("lambda")
-    return lp.select("segment_id", "week_of_year", po.quantile(lam, 0.025).alias("lower_p"),
-                     po.quantile(lam, 0.975).alias("upper_p"))
+    both = po.quantiles(lam, (0.025, 0.975))
+    return lp.select("segment_id", "week_of_year", both[0].cast("int").alias("lower_p"), both[1].cast("int").alias("upper_p"))
 
 
-@register("poisson_mode", with_(LAM, f"m AS (SELECT *, {mode_sql('lam_v', '19')} AS most_likely_crashes FROM lam)") + f"""
+@register("poisson_mode", with_(LAM, f"m AS (SELECT *, {mode_sql('lam_v')} AS most_likely_crashes FROM lam)") + f"""
 SELECT segment_id, week_of_year, most_likely_crashes, {pmf_pct_sql('most_likely_crashes', 'lam_v')} AS probability_pct FROM m""")
 def poisson_mode(spark, sf_dir):
-    """First most likely count in 0..19 and its probability (%)."""
+    """First most likely count and its probability (%)."""
     lp = lambda_panel(spark, sf_dir)
-    m, p = po.mode_capped(F.col("lambda"), 19)
+    m, p = po.mode(F.col("lambda"))
     return lp.select("segment_id", "week_of_year", m.alias("most_likely_crashes"),
                      (round_half_even(p, 1) + 0.0).alias("probability_pct"))
 
@@ -107,7 +113,7 @@ def poisson_mode_bounded(spark, sf_dir):
     lp = lambda_panel(spark, sf_dir)
     lam = F.col("lambda")
     kmax = F.greatest(lam + 1.96 * F.col("sigma"), lam).cast("int") + 2
-    m, p = po.mode_capped(lam, kmax)
+    m, p = po.mode(lam, kmax)
     return lp.select("segment_id", "week_of_year", kmax.alias("k_max"), m.alias("most_likely_crashes"),
                      (round_half_even(p, 1) + 0.0).alias("likelihood_percent"))
 
@@ -155,19 +161,16 @@ def count_band(spark, sf_dir):
     return tidy(lp.select("segment_id", "week_of_year", *[c.alias(n) for n, c in po.count_band(F.col("lambda")).items()]))
 
 
+#: One pass: the five probabilities as a list, and the place of its first maximum.
 BUCKETS = with_(LAM, f"""
 pr AS (SELECT segment_id, week_of_year, {probs_sql()} FROM lam),
-lg AS (SELECT segment_id, week_of_year, b.pos, b.bucket,
-              [prob_0_crash, prob_1_crash, prob_2_crash, prob_3_crash, prob_ge4_crash][b.pos] AS probability
-       FROM pr CROSS JOIN (VALUES (1, '0'), (2, '1'), (3, '2'), (4, '3'), (5, '4+')) b(pos, bucket)),
-first_max AS (
-  SELECT segment_id, week_of_year, min(pos) FILTER (WHERE probability = mx) AS mode_pos, max(mx) AS mode_prob
-  FROM (SELECT *, max(probability) OVER (PARTITION BY segment_id, week_of_year) AS mx FROM lg) GROUP BY 1, 2)""")
+lg AS (SELECT segment_id, week_of_year, [prob_0_crash, prob_1_crash, prob_2_crash, prob_3_crash, prob_ge4_crash] AS l FROM pr)""")
 
 
 @register("bucket_mode", BUCKETS + """
-SELECT f.segment_id, f.week_of_year, l.bucket AS most_likely_bucket, f.mode_prob AS most_likely_prob
-FROM first_max f JOIN lg l ON l.segment_id = f.segment_id AND l.week_of_year = f.week_of_year AND l.pos = f.mode_pos""")
+SELECT segment_id, week_of_year, ['0', '1', '2', '3', '4+'][list_position(l, list_max(l))] AS most_likely_bucket,
+       list_max(l) AS most_likely_prob
+FROM lg""")
 def bucket_mode(spark, sf_dir):
     """P10: dashboard "most likely" = first max of the buckets 0, 1, 2, 3, 4+."""
     lp = lambda_panel(spark, sf_dir).withColumns(po.prob_columns(F.col("lambda")))
@@ -176,8 +179,9 @@ def bucket_mode(spark, sf_dir):
 
 
 @register("probability_long", BUCKETS + """
-SELECT l.segment_id, l.week_of_year, l.bucket, l.probability, (l.pos = f.mode_pos) AS is_most_likely
-FROM lg l JOIN first_max f USING (segment_id, week_of_year)""")
+SELECT segment_id, week_of_year, unnest(['0', '1', '2', '3', '4+']) AS bucket, unnest(l) AS probability,
+       unnest([list_position(l, list_max(l)) = i for i in [1, 2, 3, 4, 5]]) AS is_most_likely
+FROM lg""")
 def probability_long(spark, sf_dir):
     """Bucket probabilities in long form with the ``is_most_likely`` flag."""
     lp = lambda_panel(spark, sf_dir).withColumns(po.prob_columns(F.col("lambda")))
@@ -200,14 +204,10 @@ def risk_level_5(spark, sf_dir):
 
 
 @register("risk_distribution", with_(LAM) + """
-SELECT risk_bin, count(*)::bigint AS n FROM (
-  SELECT CASE WHEN raw_lambda > 0 AND raw_lambda <= 0.5 THEN 'Very Low'
-              WHEN raw_lambda > 0.5 AND raw_lambda <= 1.0 THEN 'Low'
-              WHEN raw_lambda > 1.0 AND raw_lambda <= 1.5 THEN 'Moderate'
-              WHEN raw_lambda > 1.5 AND raw_lambda <= 2.0 THEN 'High'
-              WHEN raw_lambda > 2.0 AND raw_lambda <= 10.0 THEN 'Very High' END AS risk_bin
-  FROM lam) WHERE risk_bin IS NOT NULL GROUP BY risk_bin""")
+SELECT CASE WHEN raw_lambda <= 0.5 THEN 'Very Low' WHEN raw_lambda <= 1.0 THEN 'Low' WHEN raw_lambda <= 1.5 THEN 'Moderate'
+            WHEN raw_lambda <= 2.0 THEN 'High' ELSE 'Very High' END AS risk_bin, count(*)::bigint AS n
+FROM lam WHERE raw_lambda IS NOT NULL GROUP BY 1""")
 def risk_distribution(spark, sf_dir):
-    """Counts per right-closed risk bin; values outside (0, 10] are not counted."""
+    """Counts per right-closed risk bin; every row with a value is counted."""
     lp = lambda_panel(spark, sf_dir).select(lb.risk_bin(F.col("raw_lambda")).alias("risk_bin"))
     return lp.where(F.col("risk_bin").isNotNull()).groupBy("risk_bin").agg(F.count(F.lit(1)).alias("n"))

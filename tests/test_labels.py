@@ -10,10 +10,12 @@ def test_risk_scales_and_bins(spark):
     vals = [0.0, 0.5, 0.99, 1.0, 1.5, 2.0, 2.5, 4.0, 10.0, 10.5]
     df = spark.createDataFrame([(v,) for v in vals], "v double")
     rows = df.select("v", lb.risk_level_5(F.col("v")).alias("r5"), lb.risk_bin(F.col("v")).alias("b"),
+                     lb.risk_bin(F.col("v"), parity=True).alias("pb"),
                      lb.interpretation(F.col("v")).alias("t")).collect()
     by = {r["v"]: r for r in rows}
     assert by[0.5]["r5"] == "Low Risk" and by[0.0]["r5"] == "Very Low Risk" and by[2.0]["r5"] == "Very High Risk"
-    assert by[0.0]["b"] is None and by[0.5]["b"] == "Very Low" and by[10.0]["b"] == "Very High" and by[10.5]["b"] is None
+    assert by[0.0]["b"] == by[0.5]["b"] == "Very Low" and by[10.0]["b"] == by[10.5]["b"] == "Very High"
+    assert by[0.0]["pb"] is None and by[10.5]["pb"] is None and by[0.5]["pb"] == "Very Low" and by[10.0]["pb"] == "Very High"
     assert by[1.0]["b"] == "Low" and by[1.5]["b"] == "Moderate"
     assert by[0.0]["t"] == "0% chance of a crash" and by[1.0]["t"] == "Likely 1 crash(es)"
     assert by[2.5]["t"] == "Likely 2-3 crashes"

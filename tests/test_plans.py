@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
+from segcast.plans.catalog import QUERIES
 
 SF = "/root/testdata/sf0.001"
 PYTHON_NODES = ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas", "PythonUDF")
@@ -12,7 +13,7 @@ SKIP = {"ridge_scores", "ensemble_scores", "feature_importance", "risk_forecast_
         "mean_forecast_panel"}
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - SKIP))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - SKIP))
 def test_no_python_in_plan(spark, name):
     plan = entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert not any(n in plan for n in PYTHON_NODES), name

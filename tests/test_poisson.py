@@ -2,6 +2,7 @@
 
 import glob
 import math
+import time
 import os
 
 import pandas as pd
@@ -17,7 +18,7 @@ GOLDEN = sorted(glob.glob(os.environ.get("SEGCAST_GOLDEN_GLOB", ""))) if os.envi
 
 
 def _pmf(k, lam):
-    return math.exp(-lam) * lam ** k / math.factorial(k)
+    return math.exp(k * math.log(lam) - lam - math.lgamma(k + 1))
 
 
 def _ppf(q, lam):
@@ -36,7 +37,7 @@ def test_golden_risk_rows(spark):
     df = spark.createDataFrame(pdf[["lambda", "total_uncertainty"]].astype(float))
     lam, sd = F.col("lambda"), F.col("total_uncertainty")
     iv = po.select_interval(lam, sd)
-    m, p = po.mode_capped(lam, 19)
+    m, p = po.mode(lam, 19)
     out = df.select(*[c.alias(n) for n, c in po.prob_columns(lam).items()],
                     iv["predicted_lower"].alias("lo"), iv["predicted_upper"].alias("hi"), iv["ci_method"].alias("ci"),
                     m.alias("mode"), p.alias("pmode"), lb.risk_level_4(lam).alias("risk")).toPandas()
@@ -53,15 +54,17 @@ def test_edges(spark):
     lams = [0.01, 1.0, 2.0, 4.0, 4.999, 5.0, 25.0, 800.0]
     df = spark.createDataFrame([(x,) for x in lams], "lam double")
     lam = F.col("lam")
-    m, p = po.mode_capped(lam, 19)
-    rows = df.select("lam", po.quantile(lam, 0.025).alias("lo"), po.quantile(lam, 0.975).alias("hi"),
+    m, p = po.mode(lam)
+    capped, _ = po.mode(lam, 19)
+    rows = df.select("lam", capped.alias("capped"), po.quantile(lam, 0.025).alias("lo"), po.quantile(lam, 0.975).alias("hi"),
                      m.alias("m"), p.alias("p"), lb.risk_level_4(lam).alias("r")).collect()
     for r in rows:
         if r["lam"] < 200:
             assert r["lo"] == _ppf(0.025, r["lam"]) and r["hi"] == _ppf(0.975, r["lam"])
     by = {r["lam"]: r for r in rows}
     assert by[2.0]["m"] == 1 and by[1.0]["m"] == 0  # integer λ ties → λ−1 (first maximum)
-    assert by[25.0]["m"] == 19                       # capped at 19
+    assert by[25.0]["m"] == 24 and by[800.0]["m"] == 799
+    assert by[25.0]["capped"] == 19 and by[4.0]["capped"] == 3  # the reference's search range, on request
     assert 740 < by[800.0]["lo"] < 800 < by[800.0]["hi"] < 860
     assert by[4.0]["r"] == "High" and by[2.0]["r"] == "Low" and by[0.01]["r"] == "Very Low"
     iv = df.select("lam", *[c.alias(n) for n, c in po.select_interval(lam, F.lit(0.5)).items()]).collect()
@@ -79,6 +82,28 @@ def test_pmf_sums_to_one(spark):
     assert z == 1.0
 
 
+def test_large_rates_cost_their_square_root(spark):
+    lams = [1e6 + i for i in range(20)]
+    df = spark.createDataFrame([(x,) for x in lams], "lam double").coalesce(1)
+    q = df.select("lam", po.quantiles(F.col("lam"), (0.025, 0.975)).alias("q"), po.mode(F.col("lam"))[1].alias("p"))
+    q.collect()
+    t = time.time()
+    rows = q.collect()
+    assert time.time() - t < 1.0
+    for r in rows + spark.createDataFrame([(1e9,)], "lam double").select("lam", po.quantiles(
+            F.col("lam"), (0.025, 0.975)).alias("q"), po.mode(F.col("lam"))[1].alias("p")).collect():
+        sd = math.sqrt(r["lam"])
+        assert abs(r["q"][0] - (r["lam"] - 1.95996 * sd)) < 2 and abs(r["q"][1] - (r["lam"] + 1.95996 * sd)) < 2
+        assert abs(r["p"] / 100 * sd * math.sqrt(2 * math.pi) - 1) < 1e-5
+
+
+def test_quantiles_match_the_sum_from_zero(spark):
+    lams = [0.0, 0.01, 0.7, 3.0, 15.99, 16.0, 33.5, 150.0, 400.0]
+    df = spark.createDataFrame([(x,) for x in lams], "lam double")
+    for r in df.select("lam", po.quantiles(F.col("lam"), (0.025, 0.5, 0.975)).alias("q")).collect():
+        assert list(r["q"]) == [_ppf(q, r["lam"]) if r["lam"] else 0 for q in (0.025, 0.5, 0.975)]
+
+
 # Golden interval-forecast CSV (10 columns: week_start … method), located via SEGCAST_GOLDEN_INTERVAL.
 GOLDEN_INTERVAL = os.environ.get("SEGCAST_GOLDEN_INTERVAL", "")
 
