@@ -104,26 +104,36 @@ def day_night(df: DataFrame, year=None, route=None, exclusive: bool = False) ->
 
 def top_segments(df: DataFrame, n: int = 10, year=None, route=None, hit_and_run: bool = False) -> DataFrame:
     """R4 + W10: the n segments with most events (ties: segment, then route ascending) with rank 1..n."""
-    ev = filter_events(df, year, route, hit_and_run=hit_and_run).where(
-        F.col("segment_id").isNotNull() & F.col("route").isNotNull())
-    counts = ev.groupBy("segment_id", "route").agg(F.count(F.lit(1)).alias("crashes"))
-    top = counts.orderBy(F.col("crashes").desc(), "segment_id", "route").limit(n)
-    rank = F.row_number().over(Window.orderBy(F.col("crashes").desc(), "segment_id", "route"))
-    return top.withColumn("rank", rank)
+    board = "hit_and_run" if hit_and_run else "all"
+    return top_boards(df, n, year, route).where(F.col("board") == board).drop("board")
+
+
+def top_boards(df: DataFrame, n: int = 10, year=None, route=None) -> DataFrame:
+    """The top-n boards of all events and of hit-and-run events, from one grouped pass over the events."""
+    ev = filter_events(df, year, route).where(F.col("segment_id").isNotNull() & F.col("route").isNotNull())
+    counts = ev.groupBy("segment_id", "route").agg(
+        F.count(F.lit(1)).alias("all"), F.count_if(F.col("hit_and_run") == "Yes").alias("hit_and_run"))
+    long = counts.select("segment_id", "route", F.expr("stack(2, 'all', `all`, 'hit_and_run', hit_and_run) AS (board, crashes)"))
+    # the rank filter becomes a group limit, so each task passes on n rows of a board at most
+    order = Window.partitionBy("board").orderBy(F.col("crashes").desc(), "segment_id", "route")
+    ranked = long.where("crashes > 0").withColumn("rank", F.row_number().over(order))
+    return ranked.where(F.col("rank") <= n).select("segment_id", "route", "crashes", "rank", "board")
 
 
 def selector_values(df: DataFrame) -> DataFrame:
     """distinct selector values – years (descending), routes and segments (ascending).
 
-    Returned globally sorted by (kind, order); the sort is Spark's
-    range-partitioned sort, so the number of distinct values is not limited
-    by one task.
+    One grouped pass over the events gives the different (year, route, segment);
+    those few rows are unpivoted.  The result is globally sorted by (kind, order)
+    with Spark's range-partitioned sort.
     """
-    years = df.select(F.lit("year").alias("kind"), F.col("year_of_crash").cast("string").alias("value"),
-                      (-F.col("year_of_crash")).cast("long").alias("_k"))
-    routes = df.select(F.lit("route").alias("kind"), F.col("route").alias("value"), F.lit(0).cast("long").alias("_k"))
-    segs = df.select(F.lit("segment").alias("kind"), F.col("segment_id").alias("value"), F.lit(0).cast("long").alias("_k"))
-    out = years.unionByName(routes).unionByName(segs).where(F.col("value").isNotNull()).distinct()
+    seen = df.select("year_of_crash", "route", "segment_id").distinct()
+    kinds = F.array(
+        F.struct(F.lit("year").alias("kind"), F.col("year_of_crash").cast("string").alias("value"),
+                 (-F.col("year_of_crash")).cast("long").alias("_k")),
+        F.struct(F.lit("route").alias("kind"), F.col("route").alias("value"), F.lit(0).cast("long").alias("_k")),
+        F.struct(F.lit("segment").alias("kind"), F.col("segment_id").alias("value"), F.lit(0).cast("long").alias("_k")))
+    out = seen.select(F.inline(kinds)).where(F.col("value").isNotNull()).distinct()
     return out.orderBy("kind", "_k", "value").drop("_k")
 
 
@@ -133,6 +143,17 @@ def first_row(fcst: DataFrame, k: int = 1, segment: str = "segment_id", order: s
     return fcst.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == k).drop("_rn")
 
 
+def chosen_week(fcst: DataFrame, week, segment: str = "segment_id", order: str = "week_start") -> DataFrame:
+    """each segment's forecast row of the week that holds the date ``week``, with its place in the horizon.
+
+    A row's week runs from its label to label + 6 days; no row if the date is outside the horizon.
+    """
+    w = Window.partitionBy(segment).orderBy(order)
+    day = F.lit(week).cast("date")
+    numbered = fcst.withColumn("week_no", F.row_number().over(w))
+    return numbered.where((F.col(order) <= day) & (day <= F.date_add(F.col(order), 6)))
+
+
 def forecast_kpis(fcst: DataFrame, value: str = "lambda", head: int = 12, segment: str = "segment_id",
                   week: str = "week_start") -> DataFrame:
     """Total (all weeks and first ``head``), mean, max and the first peak week (Q21)."""

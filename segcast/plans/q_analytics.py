@@ -15,6 +15,7 @@ from segcast.plans.q_eval import PRED_COLS
 from segcast.plans.q_features import hourly_panel
 from segcast.plans.q_forecast import N_LONG, N_RISK, interval_sql, mean_sql, risk_sql, standin_future, standin_risk_forecast
 from segcast.sources import fixtures as fx
+from segcast.sources.io import event_profile as event_profile_of
 
 EV = """
 ev AS (
@@ -107,11 +108,17 @@ SELECT 'hit_and_run', segment_id, route, crashes, rank FROM (
   SELECT *, row_number() OVER (ORDER BY crashes DESC, segment_id, route)::int AS rank FROM c_hr) WHERE rank <= 10""")
 def top_segments(spark, sf_dir):
     """Top-10 segments by events and by hit-and-run events."""
-    e = _events(spark, sf_dir)
-    a = an.top_segments(e).select(F.lit("all").alias("board"), "segment_id", "route", "crashes", "rank")
-    h = an.top_segments(e, hit_and_run=True).select(F.lit("hit_and_run").alias("board"), "segment_id", "route",
-                                                    "crashes", "rank")
-    return a.unionByName(h)
+    return an.top_boards(_events(spark, sf_dir))
+
+
+@register("event_profile", with_(EV) + """
+SELECT count(*)::bigint AS n_rows, 6 AS n_columns, count(DISTINCT route)::bigint AS n_routes, count(DISTINCT segment_id)::bigint AS n_segments,
+  count(DISTINCT year_of_crash)::bigint AS n_years, min(year_of_crash) AS first_year, max(year_of_crash) AS last_year,
+  string_agg(DISTINCT coalesce(hit_and_run, ''), ',' ORDER BY coalesce(hit_and_run, '')) AS flag_values
+FROM ev""")
+def event_profile(spark, sf_dir):
+    """Profile of the event records."""
+    return event_profile_of(_events(spark, sf_dir))
 
 
 def _risk12(spark, sf_dir):
@@ -125,6 +132,17 @@ def current_week(spark, sf_dir):
     return an.first_row(_risk12(spark, sf_dir)).select("segment_id", "week_start", "lambda", "risk_level")
 
 
+CHOSEN_DAY = "2001-12-20"
+
+
+@register("chosen_week", with_(risk_sql(N_RISK)) + f"""
+SELECT segment_id, week_start, lam3 AS "lambda", risk_level, step + 1 AS week_no FROM riskf
+WHERE DATE '{CHOSEN_DAY}' BETWEEN week_start AND week_start + 6""")
+def chosen_week(spark, sf_dir):
+    """the forecast row of a chosen week."""
+    return an.chosen_week(_risk12(spark, sf_dir), CHOSEN_DAY).select("segment_id", "week_start", "lambda", "risk_level", "week_no")
+
+
 def _interval_fc(spark, sf_dir):
     f = ev.predict_interval(standin_future(spark, sf_dir, N_LONG), PRED_COLS)
     b = f.withColumns(fc.blend_interval(F.col("step"), N_LONG, F.col("pred_mean"), F.col("pred_lower"),

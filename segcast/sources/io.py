@@ -1,12 +1,19 @@
 """Readers and writers.
 
-All readers take explicit schemas (no inference pass over the data) and
-return lazy DataFrames; writers partition by segment so downstream readers
-prune partitions instead of scanning everything.
+CSV files are read with every column as a string under the names of their own
+header: files are grouped by header line and each group is scanned with its own
+schema, so files whose columns differ in order or name never borrow another
+file's header.  Cells are then cast with ``try``: a malformed cell becomes NULL
+and can be counted instead of ending the job.  Only a path that does not exist
+gives an empty frame; every other failure is raised.
 """
 
 from __future__ import annotations
 
+import csv
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -59,30 +66,102 @@ EVENT_HEADERS = {
 }
 
 
+HEADER_NAMES = {"NPMRDS2": "npmrds", "NPMRDS2 2021": "npmrds"}
+METRIC_HEADERS = {"model": "model", "mae": "mae", "rmse": "rmse", "r²": "r2", "r2": "r2", "r^2": "r2", "mape": "mape"}
+#: Hash bucket that the bucketed writer adds as partition column; readers leave it out.
+BUCKET = "segment_bucket"
+
+
 def parse_timestamp(c: Column) -> Column:
-    """Lenient timestamp parse: ISO first, then ``M/d/yyyy`` (mixed files, Q30); bad → NULL.
+    """Lenient timestamp parse: ISO or ``M/d/yyyy``, with or without a time (mixed files, Q30); bad → NULL.
 
-    The result is a wall-clock ``timestamp_ntz``.  Parsing passes through the
-    session time zone and back, which is the identity except for local times
+    A cheap look at the first characters picks the format, so a value is parsed
+    once.  The result is a wall-clock ``timestamp_ntz``.  Parsing passes through
+    the session time zone and back, which is the identity except for local times
     that do not exist in a DST zone; run wall-clock data with a UTC session
     (as ``session.get_spark`` does).
     """
     s = F.trim(c.cast("string"))
-    return F.coalesce(
-        F.try_to_timestamp(s, F.lit("yyyy-MM-dd HH:mm:ss")),
-        F.try_to_timestamp(s, F.lit("yyyy-MM-dd")),
-        F.try_to_timestamp(s, F.lit("M/d/yyyy H:mm")),
-        F.try_to_timestamp(s, F.lit("M/d/yyyy")),
-    ).cast("timestamp_ntz")
+    timed, slashed = s.contains(":"), s.contains("/")
+    parsed = (F.when(slashed & timed, F.try_to_timestamp(s, F.lit("M/d/yyyy H:mm")))
+               .when(slashed, F.try_to_timestamp(s, F.lit("M/d/yyyy")))
+               .when(timed, F.try_to_timestamp(s, F.lit("yyyy-MM-dd HH:mm:ss")))
+               .otherwise(F.try_to_timestamp(s, F.lit("yyyy-MM-dd"))))
+    return parsed.cast("timestamp_ntz")
+
+
+def lenient(c: Column, to: T.DataType) -> Column:
+    """A text cell as ``to``; NULL if it is not one. Whole numbers may be written as 1.0."""
+    c = F.trim(c)
+    if isinstance(to, (T.IntegerType, T.LongType)):
+        number = c.try_cast("double")
+        return F.when(number == F.floor(number), F.floor(number).try_cast(to))
+    return c.try_cast(to)
+
+
+def _is_missing(e: AnalysisException) -> bool:
+    return (e.getCondition() or "").startswith("PATH_NOT_FOUND")
+
+
+def _headers(spark: SparkSession, paths: list[str]) -> list[list[str]]:
+    """First line of each file, through Hadoop's file system; a file without lines has no columns."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+
+    def first_line(path: str) -> list[str]:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        stream = at.getFileSystem(conf).open(at)
+        try:
+            line = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8")).readLine()
+        finally:
+            stream.close()
+        return next(csv.reader([line.lstrip("\ufeff")]), []) if line else []
+
+    with ThreadPoolExecutor(16) as pool:
+        return list(pool.map(first_line, paths))
+
+
+def read_csv(spark: SparkSession, path: str, names: dict[str, str] | None = None) -> DataFrame:
+    """All CSV files under ``path``, each by its own header, columns as strings; missing columns are NULL.
+
+    ``names`` maps source headers to canonical ones. Only file names and header
+    lines are looked at before the scan. The column ``file_path`` names the source.
+    """
+    files = [r["path"] for r in spark.read.format("binaryFile").load(path).select("path").collect()]
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for file, header in zip(files, _headers(spark, files)):
+        if header:
+            groups.setdefault(tuple(h.strip() for h in header), []).append(file)
+    out = None
+    for header, members in groups.items():
+        schema = T.StructType([T.StructField(h, T.StringType()) for h in header])
+        reader = spark.read.schema(schema).option("header", True).option("enforceSchema", False)
+        df = reader.csv(members).select("*", F.col("_metadata.file_path").alias("file_path")).withColumnsRenamed(names or {})
+        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+    return out if out is not None else spark.createDataFrame([], "file_path string")
+
+
+def _hourly_columns(df: DataFrame, bad_cells: str | None) -> list[Column]:
+    """The hourly columns of a string frame, and on request the number of cells that hold no valid value."""
+    def of(name: str) -> Column:
+        return F.col(f"`{name}`") if name in df.columns else F.lit(None).cast("string")
+
+    made = {f.name: parse_timestamp(of(f.name)) if f.name == "timestamp" else lenient(of(f.name), f.dataType)
+            for f in HOURLY_SCHEMA.fields}
+    cols = [c.alias(n) for n, c in made.items()]
+    if bad_cells is not None:
+        bad = [(F.coalesce(F.trim(of(n)), F.lit("")) != "") & c.isNull() for n, c in made.items()]
+        cols.append(sum((b.cast("int") for b in bad[1:]), bad[0].cast("int")).alias(bad_cells))
+    return cols
 
 
 def read_hourly(spark: SparkSession, path: str, column_map: dict[str, str] | None = None,
-                segment_id: str | None = None) -> DataFrame:
-    """CSV scan of hourly observations with a source→canonical column mapping."""
-    df = spark.read.option("header", True).csv(path)
-    df = df.withColumnsRenamed(column_map or {"NPMRDS2": "npmrds", "NPMRDS2 2021": "npmrds"})
-    cols = [parse_timestamp(F.col("timestamp")).alias("timestamp")]
-    cols += [F.col(f.name).cast(f.dataType).alias(f.name) for f in HOURLY_SCHEMA.fields[1:]]
+                segment_id: str | None = None, bad_cells: str | None = None) -> DataFrame:
+    """CSV scan of hourly observations with a source→canonical column mapping.
+
+    ``bad_cells`` names a column that counts a row's malformed cells.
+    """
+    df = read_csv(spark, path, column_map or HEADER_NAMES)
+    cols = _hourly_columns(df, bad_cells)
     if segment_id is not None:
         cols.insert(0, F.lit(segment_id).alias("segment_id"))
     return df.select(*cols)
@@ -90,18 +169,15 @@ def read_hourly(spark: SparkSession, path: str, column_map: dict[str, str] | Non
 
 def read_segments(spark: SparkSession, glob: str, registry: DataFrame | None = None,
                   pattern: str = r"([^/]+?)_traffic_crash_merged\.csv$",
-                  column_map: dict[str, str] | None = None) -> DataFrame:
+                  column_map: dict[str, str] | None = None, bad_cells: str | None = None) -> DataFrame:
     """Many per-segment files → one panel; id from the file name, optionally mapped via a registry.
 
-    One scan over the glob (no per-file loop); ``_metadata.file_path`` carries
-    the source of each row.  The registry is a small dimension, joined by key.
+    One scan for each different header; the file path carries the source of each
+    row.  The registry is a small dimension, joined by key.
     """
-    df = spark.read.option("header", True).csv(glob).select("*", "_metadata.file_path")
-    df = df.withColumnsRenamed(column_map or {"NPMRDS2": "npmrds", "NPMRDS2 2021": "npmrds"})
+    df = read_csv(spark, glob, column_map or HEADER_NAMES)
     code = F.regexp_extract("file_path", pattern, 1)
-    cols = [code.alias("route_segment"), parse_timestamp(F.col("timestamp")).alias("timestamp")]
-    cols += [F.col(f.name).cast(f.dataType).alias(f.name) for f in HOURLY_SCHEMA.fields[1:]]
-    out = df.select(*cols)
+    out = df.select(code.alias("route_segment"), *_hourly_columns(df, bad_cells))
     if registry is None:
         return out.withColumnRenamed("route_segment", "segment_id")
     return out.join(registry, "route_segment", "left").select(
@@ -110,35 +186,34 @@ def read_segments(spark: SparkSession, glob: str, registry: DataFrame | None = N
 
 def read_forecast(spark: SparkSession, path: str) -> DataFrame:
     """S3: forecast CSV with mixed date formats; a missing path yields an empty frame."""
+    def typed(f: T.StructField, c: Column) -> Column:
+        return (F.to_date(parse_timestamp(c)) if f.name == "week_start" else lenient(c, f.dataType)).alias(f.name)
+
     try:
         df = spark.read.option("header", True).csv(path)
-    except Exception:  # noqa: BLE001 - absent file → empty, like the dashboard
-        return spark.createDataFrame([], FORECAST_SCHEMA.add("segment_id", T.StringType())).withColumn(
-            "week_start", F.col("week_start").cast("date"))
+    except AnalysisException as e:
+        if not _is_missing(e):
+            raise
+        schema = T.StructType([T.StructField(f.name, T.DateType() if f.name == "week_start" else f.dataType)
+                               for f in FORECAST_SCHEMA.fields] + [T.StructField("segment_id", T.StringType())])
+        return spark.createDataFrame([], schema)
     df = df.withColumnsRenamed({"probability_%": "probability_pct"})
-    cols = []
-    for f in FORECAST_SCHEMA.fields:
-        if f.name not in df.columns:
-            continue
-        if f.name == "week_start":
-            cols.append(F.to_date(parse_timestamp(F.col(f.name))).alias(f.name))
-        else:
-            cols.append(F.col(f.name).cast(f.dataType).alias(f.name))
-    extra = [F.col(c) for c in df.columns if c not in FORECAST_SCHEMA.fieldNames()]
-    return df.select(*cols, *extra)
+    known = set(FORECAST_SCHEMA.fieldNames()) | {BUCKET}
+    cols = [typed(f, F.col(f.name)) for f in FORECAST_SCHEMA.fields if f.name in df.columns]
+    return df.select(*cols, *[F.col(c) for c in df.columns if c not in known])
 
 
 def read_weekly_history(spark: SparkSession, path: str) -> DataFrame:
-    """Weekly history; absent or unreadable → empty (week_start, total_crashes)."""
-    empty_schema = T.StructType([T.StructField("week_start", T.DateType()),
-                                 T.StructField("total_crashes", T.DoubleType())])
+    """Weekly history; an absent path gives an empty (week_start, total_crashes)."""
     try:
         df = spark.read.option("header", True).csv(path)
-        return df.select(F.to_date(parse_timestamp(F.col("week_start"))).alias("week_start"),
-                         F.col("total_crashes").cast("double").alias("total_crashes"),
-                         *[F.col(c) for c in df.columns if c not in ("week_start", "total_crashes")])
-    except Exception:  # noqa: BLE001
-        return spark.createDataFrame([], empty_schema)
+    except AnalysisException as e:
+        if not _is_missing(e):
+            raise
+        return spark.createDataFrame([], "week_start date, total_crashes double")
+    return df.select(F.to_date(parse_timestamp(F.col("week_start"))).alias("week_start"),
+                     lenient(F.col("total_crashes"), T.DoubleType()).alias("total_crashes"),
+                     *[F.col(c) for c in df.columns if c not in ("week_start", "total_crashes", BUCKET)])
 
 
 def read_event_records(spark: SparkSession, path: str) -> DataFrame:
@@ -155,26 +230,31 @@ def read_event_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_metrics(spark: SparkSession, path: str) -> DataFrame:
-    """Two-row metrics CSV (``Model, MAE, RMSE, R²``) → lower-case typed columns."""
+    """Two-row metrics CSV (``Model, MAE, RMSE, R²`` in any order) → lower-case typed columns."""
     df = spark.read.option("header", True).csv(path)
-    names = dict(zip(df.columns, ["model", "mae", "rmse", "r2", "mape"]))
-    df = df.withColumnsRenamed(names)
-    return df.select(F.col("model"), *[F.col(c).cast("double") for c in df.columns if c != "model"])
+    df = df.withColumnsRenamed({c: METRIC_HEADERS[c.strip().lower()] for c in df.columns if c.strip().lower() in METRIC_HEADERS})
+    return df.select(F.col("model"), *[lenient(F.col(c), T.DoubleType()).alias(c)
+                                       for c in ("mae", "rmse", "r2", "mape") if c in df.columns])
 
 
 def write_partitioned(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite",
-                      segment: str = "segment_id") -> None:
-    """Weekly panel / forecast / metrics, one directory per segment.
+                      segment: str = "segment_id", buckets: int = 64, directory_per_segment: bool = False) -> None:
+    """Weekly panel / forecast / metrics, one directory per hash bucket of segments.
 
-    Rows are first clustered by segment so each task writes few files.
+    The number of directories does not grow with the segments, and a segment's
+    rows stay together.  ``directory_per_segment`` gives the reference's layout,
+    for panels with few segments.
     """
-    (df.repartition(segment).write.mode(mode).partitionBy(segment).format(fmt)
-       .option("header", True).save(path))
+    if directory_per_segment:
+        df.repartition(segment).write.mode(mode).partitionBy(segment).format(fmt).option("header", True).save(path)
+        return
+    bucketed = df.withColumn(BUCKET, F.pmod(F.xxhash64(segment), F.lit(buckets)).cast("int"))
+    bucketed.repartition(BUCKET).write.mode(mode).partitionBy(BUCKET).format(fmt).option("header", True).save(path)
 
 
 def write_summary(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Small summary table as one CSV with header (bounded: one row per segment)."""
-    df.coalesce(1).write.mode(mode).option("header", True).csv(path)
+    """Summary table, one row per segment, as CSV with header; as many files as the plan has tasks."""
+    df.write.mode(mode).option("header", True).csv(path)
 
 
 def export_display_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -191,3 +271,12 @@ def profile(df: DataFrame, segment: str = "segment_id", ts: str = "timestamp", c
         F.sum(count).cast("bigint").alias("n_events"),
         F.count_distinct("hour").alias("n_hours"),
     )
+
+
+def event_profile(df: DataFrame) -> DataFrame:
+    """S10 for event records: rows, columns, distinct routes, years and segments, and the flag values, in one pass."""
+    values = F.array_join(F.array_sort(F.collect_set(F.coalesce("hit_and_run", F.lit("")))), ",")  # a flag has few values
+    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.lit(len(df.columns)).alias("n_columns"),
+                  F.count_distinct("route").alias("n_routes"), F.count_distinct("segment_id").alias("n_segments"),
+                  F.count_distinct("year_of_crash").alias("n_years"), F.min("year_of_crash").alias("first_year"),
+                  F.max("year_of_crash").alias("last_year"), values.alias("flag_values"))

@@ -4,6 +4,9 @@ import datetime as dt
 import os
 import uuid
 
+import pytest
+from pyspark.errors import AnalysisException
+
 from segcast.session import ensure_checkpoint_dir
 from segcast.sources import io
 
@@ -64,4 +67,34 @@ def test_read_metrics_and_write_summary(spark):
     assert m["Baseline (Seasonal)"]["r2"] == -0.657 and m["ML Ensemble (Mean)"]["mae"] == 0.0724
     io.write_summary(spark.createDataFrame([("s1", 1.0)], "segment_id string, forecast_total double"), f"{d}/summary")
     back = spark.read.option("header", True).csv(f"{d}/summary")
-    assert back.count() == 1 and back.rdd.getNumPartitions() == 1
+    assert back.count() == 1
+
+
+def test_headers_per_file_lenient_cells_and_absent_paths(spark):
+    d = _dir(spark, "mix")
+    with open(f"{d}/a_traffic_crash_merged.csv", "w") as f:
+        f.write("timestamp,crash_count,speed,NPMRDS2,hour\n2024-01-01 08:00:00,1.0,50.5,1.5,8\n2024-01-01 09:00:00,x,oops,,9\n")
+    with open(f"{d}/b_traffic_crash_merged.csv", "w") as f:
+        f.write("speed,crash_count,timestamp,NPMRDS2 2021,hour\n40.5,2,1/2/2024 7:00,2.5,7\n")
+    open(f"{d}/c_traffic_crash_merged.csv", "w").close()
+    rows = {(r["segment_id"], r["hour"]): r for r in io.read_segments(spark, f"{d}/*.csv", bad_cells="bad").collect()}
+    assert len(rows) == 3
+    assert (rows["a", 8]["crash_count"], rows["a", 8]["speed"], rows["a", 8]["npmrds"], rows["a", 8]["bad"]) == (1, 50.5, 1.5, 0)
+    assert (rows["b", 7]["crash_count"], rows["b", 7]["speed"], rows["b", 7]["npmrds"]) == (2, 40.5, 2.5)
+    assert rows["b", 7]["timestamp"] == dt.datetime(2024, 1, 2, 7)
+    assert (rows["a", 9]["crash_count"], rows["a", 9]["speed"], rows["a", 9]["bad"]) == (None, None, 2)
+    for _ in range(2):
+        empty = io.read_forecast(spark, f"{d}/none.csv")
+        assert empty.columns.count("segment_id") == 1 and empty.select("segment_id").count() == 0
+    assert io.read_weekly_history(spark, f"{d}/none.csv").count() == 0
+    with pytest.raises(AnalysisException):
+        io.read_weekly_history(spark, f"{d}/b_traffic_crash_merged.csv")  # there, but without a week_start
+
+
+def test_bucketed_writer_keeps_segments_together(spark):
+    d = _dir(spark, "buckets")
+    df = spark.range(300).selectExpr("concat('s', id % 100) AS segment_id", "date'2024-01-01' AS week_start", "id AS total_crashes")
+    io.write_partitioned(df, f"{d}/w", fmt="csv", buckets=8)
+    assert len([x for x in os.listdir(f"{d}/w") if x.startswith(io.BUCKET)]) <= 8
+    back = io.read_weekly_history(spark, f"{d}/w")
+    assert back.columns == ["week_start", "total_crashes", "segment_id"] and back.count() == 300
