@@ -8,7 +8,7 @@ values (as many as the longest lag or rolling window needs), the carried exogeno
 measures, and the pre-computed future calendar with its seasonal lookups as an
 array of ``n_weeks`` structs.  Per step: project features → score with the
 predictor → blend → append the prediction to the ring buffer.  Lineage is cut
-with a reliable ``checkpoint()`` every few steps (executor-loss safe).
+by storing it under the checkpoint folder (executor-loss safe).
 """
 
 from __future__ import annotations
@@ -24,9 +24,11 @@ from segcast.functions import labels as lb
 from segcast.functions import poisson as po
 from segcast.operators import features as fe
 from segcast.operators import seasonal as se
+from segcast.session import store
 
 HIST = max(*fe.LAGS, *fe.ROLL_WINDOWS)
 Z95 = 1.96
+CALENDAR_FIELDS = ["step", "week_start", "year", "month", "quarter", "week_of_year", *fe.CYCLIC, "season_mean", "season_std"]
 
 
 # ---------------------------------------------------------------------------------------
@@ -256,26 +258,36 @@ def initial_state(panel: DataFrame, n_weeks: int, segment: str = "segment_id") -
     prof = se.seasonal_profile(panel)
     cal = future_calendar(stats, n_weeks)
     cal = se.lookup_with_default(cal, prof, stats)
-    cal_cols = ["step", "week_start", "year", "month", "quarter", "week_of_year", *fe.CYCLIC,
-                "season_mean", "season_std"]
     cal_arr = cal.groupBy(segment).agg(
-        F.array_sort(F.collect_list(F.struct(*cal_cols))).alias("calendar"))
+        F.array_sort(F.collect_list(F.struct(*CALENDAR_FIELDS))).alias("calendar"))
     carried = carry_forward(panel)
     hist = history_state(panel)
     return (stats.join(hist, segment).join(carried, segment).join(cal_arr, segment)
                  .withColumn("outputs", F.array().cast("array<struct<step:int>>")))
 
 
-def _materialize(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint computed once: persist, checkpoint (written from the cache), release the cache."""
-    from pyspark import StorageLevel
+def fold_recursive(state: DataFrame, n_weeks: int, advance: Callable[[dict[str, Column]], dict[str, Column]],
+                   out_schema: str, segment: str = "segment_id", feature_kwargs: dict | None = None) -> DataFrame:
+    """H3 for predictors that are column expressions: the whole horizon in one ``aggregate`` over the calendar.
 
-    from segcast.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
-    tmp = df.persist(StorageLevel.MEMORY_AND_DISK)
-    out = tmp.checkpoint(eager=True)
-    tmp.unpersist()
-    return out
+    ``advance`` gets the next row's columns by name (calendar, seasonal lookups,
+    features) and returns the output columns and ``next_value``; ``out_schema`` is
+    the DDL of the output columns.  State columns are read with ``F.col``.
+    """
+    kw = feature_kwargs or {}
+    names = [f.split()[0].strip("`") for f in out_schema.split(", ")]
+    missing = F.col("overall_mean") if kw.get("lag_policy") == "value" else None
+
+    def step(acc: Column, cal: Column) -> Column:
+        row = {c: cal[c] for c in CALENDAR_FIELDS}
+        row |= next_row_features(acc["hist"], F.col("n_weeks") + cal["step"], missing_lag=missing, **kw)
+        made = advance(row)
+        out = F.struct(*[(cal[c] if c in ("step", "week_start") else made[c]).alias(c) for c in names])
+        return F.struct(push(acc["hist"], made["next_value"]).alias("hist"), F.concat(acc["rows"], F.array(out)).alias("rows"))
+
+    start = F.struct(F.col("hist"), F.array().cast(f"array<struct<{', '.join(f.replace(' ', ': ', 1) for f in out_schema.split(', '))}>>").alias("rows"))
+    rows = F.aggregate(F.slice("calendar", 1, n_weeks), start, step, lambda acc: acc["rows"])
+    return state.select(segment, F.inline(rows))
 
 
 def run_recursive(state: DataFrame, n_weeks: int, predictor: Predictor, blend: Callable[[DataFrame], DataFrame],
@@ -287,20 +299,19 @@ def run_recursive(state: DataFrame, n_weeks: int, predictor: Predictor, blend: C
     ``blend`` turns them into the final value (column ``next_value``) plus the
     output columns listed in ``out_cols``.
 
-    Each step's state is written with a reliable ``checkpoint()`` (default
-    every step): the next step reads the ring buffer many times, so without
-    materialisation the expression trees compound from step to step.  The
-    state is one row per segment, so a checkpoint costs O(segments).
+    Each step's state is stored under the checkpoint folder (default every
+    step): the next step reads the ring buffer many times, so without that the
+    expression trees compound from step to step.  The state is one row per
+    segment, so a store costs O(segments).  Predictors that are plain column
+    expressions need no steps: see ``fold_recursive``.
     """
     kw = feature_kwargs or {}
-    cal_fields = ["step", "week_start", "year", "month", "quarter", "week_of_year", *fe.CYCLIC,
-                  "season_mean", "season_std"]
-    cur = _materialize(state.drop("outputs")) if checkpoint_every else state.drop("outputs")
+    cur = store(state.drop("outputs"), "state") if checkpoint_every else state.drop("outputs")
     for i in range(n_weeks):
         # one projection for the next row's features, one for the state update: few analyses per step
         row = F.element_at("calendar", i + 1)
         missing = F.col("overall_mean") if kw.get("lag_policy") == "value" else None
-        feats = [row[c].alias(c) for c in cal_fields]
+        feats = [row[c].alias(c) for c in CALENDAR_FIELDS]
         feats += [c.alias(n) for n, c in
                   next_row_features(F.col("hist"), F.col("n_weeks") + i, missing_lag=missing, **kw).items()]
         scored = blend(predictor(cur.select("*", *feats)))
@@ -309,7 +320,7 @@ def run_recursive(state: DataFrame, n_weeks: int, predictor: Predictor, blend: C
         keep = [c for c in cur.columns if c not in ("hist", "_acc")]
         cur = scored.select(*keep, push(F.col("hist"), F.col("next_value")).alias("hist"), acc.alias("_acc"))
         if checkpoint_every and (i + 1) % checkpoint_every == 0 and i + 1 < n_weeks:
-            cur = _materialize(cur)
+            cur = store(cur, "state")
     return cur.select(segment, F.inline("_acc"))
 
 

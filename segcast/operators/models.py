@@ -1,46 +1,62 @@
 """Panel model training and scoring (M1–M4, M7) with MLlib.
 
-Default ``mode="pooled"``: one random forest, one gradient-boosted tree
-ensemble and one ridge regression are fitted on the training weeks of *all*
-segments together, so training scales with rows rather than looping over
-segments in the driver; the per-segment lag/rolling features carry each
-segment's level.  ``fit_ridge_per_segment`` reproduces the reference's
-per-segment ridge exactly (closed-form 46×46 solve per segment inside
-``applyInPandas``: the group is one segment's weekly history, bounded by its
-number of weeks, never by the raw data volume).
+One random forest and one gradient-boosted tree ensemble are fitted on the
+training weeks of *all* segments together, so training scales with rows rather
+than looping over segments in the driver.  The segments' levels enter as the
+lag and rolling features and as the mean of their own training weeks
+(``segment_mean``).  The ridge member is one model per segment, as in the
+reference: a closed-form solve inside ``applyInPandas``, whose group is one
+segment's weekly history and never grows with the raw data.
+
+The pooled trees are bounded in depth and leaf size whatever the number of
+rows, so the fitted model in the driver, and in each scoring task, has a fixed
+largest size (trees · 2^(depth+1) nodes).  Training rows are dealt by a hash of
+(segment, week) over a fixed number of partitions and sorted, so the forest's
+bootstrap, and with it every forecast, is the same for any number of cores.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from segcast.operators import features as fe
+from segcast.session import store
 
 EXCLUDE = ("week_start", "total_crashes", "year")
 
-# The two estimator configurations of the reference (M1, M2). "default" = library
-# defaults (100 trees, unlimited depth → MLlib's cap 30; 100 boosting rounds of depth 3);
-# "tuned" = 200 trees of depth 10 with ≥ 2 rows per leaf, boosting depth 5. A minimum of 5 rows to
-# split a node has no MLlib equivalent and is not applied.
+# The two estimator configurations of the reference (M1, M2): "default" = library defaults
+# (100 trees; 100 boosting rounds of depth 3), "tuned" = 200 trees of depth 10 with ≥ 2 rows per leaf,
+# boosting depth 5.  The reference's default trees are unlimited, on one segment's weeks; the pooled ones are
+# bounded to depth 12 and 4 rows per leaf.  A minimum of 5 rows to split a node has no MLlib equivalent.
 PRESETS = {
-    "default": {"rf_trees": 100, "rf_depth": 30, "rf_min_instances": 1, "gbt_iter": 100, "gbt_depth": 3},
+    "default": {"rf_trees": 100, "rf_depth": 12, "rf_min_instances": 4, "gbt_iter": 100, "gbt_depth": 3},
     "tuned": {"rf_trees": 200, "rf_depth": 10, "rf_min_instances": 2, "gbt_iter": 100, "gbt_depth": 5},
 }
+#: Partitions of the training rows; part of the model, as the bootstrap follows them.
+FIT_PARTITIONS = 8
+SEGMENT_MEAN = "segment_mean"
 MODEL_COLS = ["pred_rf", "pred_gb", "pred_ridge"]
 
 
 def feature_columns(panel: DataFrame, exclude=EXCLUDE, segment: str = "segment_id") -> list[str]:
-    """Every panel feature except the label, the week label and the calendar year (46 columns)."""
+    """Every panel feature except the label, the week label and the calendar year (46 columns), and the segment mean if there."""
     skip = set(exclude) | {segment, "is_train", "row_idx", "n_weeks", "baseline_pred"}
-    return [c for c in fe.PANEL_COLUMNS if c in panel.columns and c not in skip]
+    return [c for c in [*fe.PANEL_COLUMNS, SEGMENT_MEAN] if c in panel.columns and c not in skip]
+
+
+def with_segment_mean(split: DataFrame, label: str = "total_crashes", segment: str = "segment_id") -> DataFrame:
+    """Mean of the segment's training weeks on all its rows; test weeks never enter."""
+    mean = F.avg(F.when(F.col("is_train"), F.col(label).cast("double"))).over(Window.partitionBy(segment))
+    return split.withColumn(SEGMENT_MEAN, mean)
 
 
 def assemble(df: DataFrame, cols: list[str], out: str = "features") -> DataFrame:
@@ -51,20 +67,33 @@ def assemble(df: DataFrame, cols: list[str], out: str = "features") -> DataFrame
 
 @dataclass
 class Ensemble:
+    """Pooled trees and per-segment ridge coefficients (``segment_id, intercept, coef``)."""
+
     feature_cols: list[str]
     rf: object
     gb: object
-    ridge: object
+    ridge: DataFrame
     label: str = "total_crashes"
-    info: dict = field(default_factory=dict)
+    segment: str = "segment_id"
+
+    @property
+    def ridge_cols(self) -> list[str]:
+        return [c for c in self.feature_cols if c != SEGMENT_MEAN]
+
+    def with_ridge(self, df: DataFrame) -> DataFrame:
+        """``df`` with its segments' coefficients, for scoring it more than once."""
+        return df.join(self.ridge, self.segment)
 
     def score(self, df: DataFrame) -> DataFrame:
         """M4: the three model predictions and the clamped ensemble mean, keeping input columns."""
-        x = assemble(df, self.feature_cols, "_features")
-        for name, m in (("pred_rf", self.rf), ("pred_gb", self.gb), ("pred_ridge", self.ridge)):
+        bare = "coef" not in df.columns
+        x = assemble(self.with_ridge(df) if bare else df, self.feature_cols, "_features")
+        for name, m in (("pred_rf", self.rf), ("pred_gb", self.gb)):
             x = m.setFeaturesCol("_features").setPredictionCol(name).transform(x)
+        x = x.withColumn("pred_ridge", ridge_prediction(self.ridge_cols))
         mean = (F.col("pred_rf") + F.col("pred_gb") + F.col("pred_ridge")) / 3
-        return x.drop("_features").withColumns({"ensemble_raw": mean, "ensemble_pred": F.greatest(mean, F.lit(0.0))})
+        x = x.withColumns({"ensemble_raw": mean, "ensemble_pred": F.greatest(mean, F.lit(0.0))})
+        return x.drop("_features", *(["intercept", "coef"] if bare else []))
 
     def feature_importance(self, spark: SparkSession, top_n: int = 15) -> DataFrame:
         """M7: random-forest importances, top ``top_n`` (bounded by the feature count)."""
@@ -86,72 +115,33 @@ def ridge_reg_param(train: DataFrame, label: str, alpha: float) -> float:
 
 
 def fit_ensemble(train: DataFrame, feature_cols: list[str] | None = None, label: str = "total_crashes",
-                 rf_trees: int = 100, rf_depth: int = 30, rf_min_instances: int = 1, gbt_iter: int = 100,
+                 rf_trees: int = 100, rf_depth: int = 12, rf_min_instances: int = 4, gbt_iter: int = 100,
                  gbt_depth: int = 3, gbt_step: float = 0.1, ridge_alpha: float = 1.0, seed: int = 42,
-                 max_bins: int = 32, rows_per_task: int = 2000, gbt_rows_per_task: int = 8000,
-                 rf_node_memory_mb: int = 1024) -> Ensemble:
-    """M1–M3: fit random forest, gradient boosting and ridge on the (pooled) training rows.
-
-    Defaults follow the reference's estimator defaults (100 trees with every
-    feature considered per split, unlimited depth → MLlib's cap of 30;
-    100 boosting rounds of depth 3 at learning rate 0.1; ridge α = 1 with
-    intercept and no scaling).
-
-    The training input is re-partitioned to ``ceil(rows / rows_per_task)``
-    tasks, capped at the cluster's default parallelism: MLlib tree learners
-    run one job per level/iteration, so on a small weekly panel extra
-    near-empty tasks only add scheduling overhead, while a large panel still
-    spreads over every core.  Boosting is strictly sequential (one small tree
-    per round), so it gets coarser tasks than the forest.  Deep forests keep each row's node id cached
-    (``cacheNodeIds``) and split more nodes per pass (``rf_node_memory_mb``)
-    – both only change execution, not the fitted trees.
+                 max_bins: int = 32, fit_partitions: int = FIT_PARTITIONS, rf_node_memory_mb: int = 1024,
+                 segment: str = "segment_id", week: str = "week_start") -> Ensemble:
+    """M1–M3: fit random forest and gradient boosting on the pooled training rows, and a ridge per segment.
+
+    See PRESETS for the reference's configurations.  ``fit_partitions`` is the
+    number of training tasks; raise it for a panel of many million weeks.  The
+    rows are written once under the checkpoint folder and read by all fits.
     """
     cols = feature_cols or feature_columns(train)
-    base = assemble(train, cols).withColumn("_label", F.col(label).cast("double")).select("features", "_label")
-    base = base.persist()
-    n_rows = base.count()
-    par = train.sparkSession.sparkContext.defaultParallelism
-    n_rf = max(1, min(par, -(-n_rows // rows_per_task)))
-    n_gb = max(1, min(par, -(-n_rows // gbt_rows_per_task)))
-    data_rf = base.repartition(n_rf).persist()
-    data_gb = data_rf if n_gb == n_rf else base.repartition(n_gb).persist()
-    rf = RandomForestRegressor(featuresCol="features", labelCol="_label", numTrees=rf_trees, maxDepth=rf_depth,
-                               minInstancesPerNode=rf_min_instances, featureSubsetStrategy="all", seed=seed,
-                               maxBins=max_bins, bootstrap=True, cacheNodeIds=True,
-                               maxMemoryInMB=rf_node_memory_mb).fit(data_rf)
-    gb = GBTRegressor(featuresCol="features", labelCol="_label", maxIter=gbt_iter, maxDepth=gbt_depth,
-                      stepSize=gbt_step, seed=seed, maxBins=max_bins).fit(data_gb)
-    reg = ridge_reg_param(base, "_label", ridge_alpha)
-    ridge = LinearRegression(featuresCol="features", labelCol="_label", elasticNetParam=0.0, regParam=reg,
-                             standardization=False, solver="normal", fitIntercept=True).fit(base)
-    for d in {id(x): x for x in (data_rf, data_gb, base)}.values():
-        d.unpersist()
-    return Ensemble(cols, rf, gb, ridge, label, {"ridge_reg_param": reg})
-
-
-_FIT_CACHE: dict = {}
-_FIT_CACHE_SIZE = 4
-
-
-def fit_ensemble_cached(train: DataFrame, feature_cols: list[str] | None = None, **params) -> Ensemble:
-    """:func:`fit_ensemble`, reused within a session for a semantically identical training plan.
-
-    The forecast variants of one run (risk, interval, mean) train on the same
-    rows with the same parameters; the key is the analysed plan's semantic
-    hash plus the parameters, so a different plan or parameter refits (files
-    rewritten in place under the same path within one session are not
-    detected).
-    """
-    key = (train.sparkSession.sparkContext.applicationId, train.semanticHash(),
-           tuple(feature_cols or ()), tuple(sorted(params.items())))
-    if key in _FIT_CACHE:
-        _FIT_CACHE[key] = _FIT_CACHE.pop(key)  # most recently used last
-        return _FIT_CACHE[key]
-    ens = fit_ensemble(train, feature_cols, **params)
-    _FIT_CACHE[key] = ens
-    while len(_FIT_CACHE) > _FIT_CACHE_SIZE:
-        _FIT_CACHE.pop(next(iter(_FIT_CACHE)))
-    return ens
+    rows = store(train.select(segment, week, F.col(label).cast("double").alias(label),
+                              *[F.col(c).cast("double").alias(c) for c in cols]), "fit-rows")
+    ridge = store(fit_ridge_per_segment(rows, [c for c in cols if c != SEGMENT_MEAN], label, ridge_alpha, segment), "ridge")
+    data = (assemble(rows, cols).withColumnRenamed(label, "_label").select(segment, week, "features", "_label")
+            .repartition(fit_partitions, segment, week).sortWithinPartitions(segment, week).select("features", "_label"))
+    data = data.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        rf = RandomForestRegressor(featuresCol="features", labelCol="_label", numTrees=rf_trees, maxDepth=rf_depth,
+                                   minInstancesPerNode=rf_min_instances, featureSubsetStrategy="all", seed=seed,
+                                   maxBins=max_bins, bootstrap=True, cacheNodeIds=True,
+                                   maxMemoryInMB=rf_node_memory_mb).fit(data)
+        gb = GBTRegressor(featuresCol="features", labelCol="_label", maxIter=gbt_iter, maxDepth=gbt_depth,
+                          stepSize=gbt_step, seed=seed, maxBins=max_bins).fit(data)
+    finally:
+        data.unpersist()
+    return Ensemble(cols, rf, gb, ridge, label, segment)
 
 
 # --- per-segment ridge (reference parity: one model per segment) ----------------------------
@@ -179,11 +169,32 @@ def fit_ridge_per_segment(train: DataFrame, feature_cols: list[str], label: str
     return sel.groupBy(segment).applyInPandas(solve, schema)
 
 
+def ridge_prediction(feature_cols: list[str]) -> Column:
+    """Native dot product of the row's features with the segment's ``coef`` and ``intercept``."""
+    x = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in feature_cols])
+    return F.aggregate(F.zip_with("coef", x, lambda w, v: w * v), F.col("intercept"), lambda acc, v: acc + v)
+
+
 def score_ridge_per_segment(df: DataFrame, coefs: DataFrame, feature_cols: list[str], out: str = "pred_ridge",
                             segment: str = "segment_id") -> DataFrame:
     """Apply per-segment ridge coefficients with a native dot product (no Python on the scoring path)."""
-    j = df.join(coefs, segment)
-    dot = F.col("intercept")
-    for i, c in enumerate(feature_cols):
-        dot = dot + F.col("coef")[i] * F.col(c).cast("double")
-    return j.withColumn(out, dot).drop("intercept", "coef")
+    return df.join(coefs, segment).withColumn(out, ridge_prediction(feature_cols)).drop("intercept", "coef")
+
+
+def ridge_residuals(train: DataFrame, coefs: DataFrame, feature_cols: list[str], label: str = "total_crashes",
+                    alpha: float = 1.0, segment: str = "segment_id") -> DataFrame:
+    """How far each segment's coefficients are from solving the ridge's normal equations, relative to their terms.
+
+    Per segment: the largest of |Σ e| / Σ|e| and |Σ x_j·e − α·w_j| / (Σ|x_j·e| + α·|w_j|), e the residual.
+    """
+    e = F.col("_e")
+    x = F.array(*[F.col(c).cast("double") for c in feature_cols])
+    scored = train.join(coefs, segment).select(
+        segment, (F.col(label).cast("double") - ridge_prediction(feature_cols)).alias("_e"), "coef", x.alias("x"))
+    # the constant term goes first, its coefficient is not penalised
+    terms = F.posexplode(F.concat(F.array(F.lit(1.0)), "x")).alias("j", "v")
+    sums = scored.select(segment, "_e", F.concat(F.array(F.lit(0.0)), "coef").alias("w"), terms).groupBy(segment, "j").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("v") * e).alias("s"), F.sum(F.abs(F.col("v") * e)).alias("a"),
+        F.first(F.element_at("w", F.col("j") + 1)).alias("w"))
+    off = F.abs(F.col("s") - alpha * F.col("w")) / (F.col("a") + alpha * F.abs(F.col("w")) + 1e-12)
+    return sums.groupBy(segment).agg(F.max("n").alias("n_train"), F.max(off).alias("residual"))

@@ -12,7 +12,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +21,9 @@ from segcast.operators import features as fe
 from segcast.operators import forecast as fc
 from segcast.operators import models as md
 from segcast.operators import seasonal as se
+from segcast.session import store
 from segcast.sources import fixtures as fx
+from segcast.sources import io
 
 RISK_COLUMNS = ["week_start", "lambda", "predicted_lower", "predicted_upper", "ci_method", "model_uncertainty",
                 "residual_uncertainty", "total_uncertainty", "most_likely_crashes", "probability_pct", "risk_level",
@@ -40,6 +41,7 @@ class PanelResult:
     top_improvement: DataFrame
     status_counts: DataFrame
     ensemble: md.Ensemble
+    scored: DataFrame
 
 
 def validate_segments(split: DataFrame, min_train: int = 2, segment: str = "segment_id") -> DataFrame:
@@ -75,44 +77,64 @@ def top_improvement(summary: DataFrame, n: int = 5, segment: str = "segment_id")
 
 
 def training_frame(panel: DataFrame, frac: float = 0.75, segment: str = "segment_id") -> tuple[DataFrame, DataFrame]:
-    """G1 + W8 + B3: segment status, and the valid segments' rows with split flag and seasonal baseline."""
+    """G1 + W8 + B3: segment status, and the valid segments' rows with split flag, training mean and seasonal baseline."""
     split = fe.time_split(panel, frac)
     status = validate_segments(split)
     ok = status.where(F.col("status") == "SUCCESS").select(segment)
-    return status, se.seasonal_baseline(split.join(ok, segment, "left_semi"))
+    return status, se.seasonal_baseline(md.with_segment_mean(split.join(ok, segment, "left_semi")))
 
 
-def run_panel(hourly: DataFrame, n_weeks: int = 12, frac: float = 0.75, leaky: bool = True,
+# The horizon in weeks and the estimator configuration of each forecast variant of the reference.
+HORIZON = {"risk": 12, "interval": 36, "mean": 36, "factor": 36}
+PRESET = {"risk": "default", "interval": "default", "mean": "tuned", "factor": "tuned"}
+
+
+def run_panel(hourly: DataFrame, n_weeks: int | None = None, frac: float = 0.75, leaky: bool = True,
               model_params: dict | None = None, checkpoint_every: int = 1, variant: str = "risk",
-              noise_scale: float = 0.0, seed: int = 42, segment: str = "segment_id") -> PanelResult:
+              noise_scale: float = 0.0, seed: int = 42, segment: str = "segment_id",
+              ensemble: md.Ensemble | None = None, output: str | None = None) -> PanelResult:
     """The whole per-segment process of the reference, for all segments in one plan.
 
     ``variant`` picks the forecast family: ``"risk"`` (D5: blend A, dual
     uncertainty, Poisson columns), ``"interval"`` (D6: blend B with interval
     rules), ``"mean"`` (D7: blend C, missing lags → overall mean, recent
     changes) or ``"factor"`` (D7 without method: seasonal-factor adjustment).
+    Each has its own horizon and estimators (HORIZON, PRESET); the reference's
+    short interval run is ``variant="interval", n_weeks=4``.  A fitted
+    ``ensemble`` is used as it is.  ``output`` names a folder to which panel,
+    forecast, metrics and summary are written.
+
+    The panel and the other shared results are stored under the checkpoint
+    folder, so the facts are scanned once and nothing stays cached.
     """
-    panel = fe.weekly_panel(hourly, leaky=leaky).persist(StorageLevel.MEMORY_AND_DISK)
+    n_weeks = HORIZON[variant] if n_weeks is None else n_weeks
+    panel = store(fe.weekly_panel(hourly, leaky=leaky), "panel")
     status, scored0 = training_frame(panel, frac, segment)
-    status = status.persist(StorageLevel.MEMORY_AND_DISK)
+    status, scored0 = store(status, "status"), store(scored0, "training-frame")
     ok = status.where(F.col("status") == "SUCCESS").select(segment)
-    cols = md.feature_columns(panel)
-    ens = md.fit_ensemble_cached(scored0.where("is_train"), cols, **(model_params or {}))
-    scored = ens.score(scored0)
-    res = ev.residual_stats(scored.where("is_train"), "total_crashes", md.MODEL_COLS).persist()
+    ens = ensemble or md.fit_ensemble(scored0.where("is_train"), md.feature_columns(scored0),
+                                      **{**md.PRESETS[PRESET[variant]], **(model_params or {})})
+    scored = store(ens.score(scored0), "scored")
+    res = store(ev.residual_stats(scored.where("is_train"), "total_crashes", md.MODEL_COLS), "residuals")
     test = ev.predict_interval(scored.where(~F.col("is_train")).join(res.select(segment, "residual_std"), segment),
                                md.MODEL_COLS)
-    metrics = ev.model_metrics_long(test, "total_crashes", {"baseline": "baseline_pred", "ensemble": "pred_mean"})
+    metrics = store(ev.model_metrics_long(test, "total_crashes", {  # M8: each model beside the baseline and the mean
+        "baseline": "baseline_pred", "ensemble": "pred_mean", "rf": "pred_rf", "gb": "pred_gb", "ridge": "pred_ridge"}), "metrics")
     quality = ev.interval_quality(test)
 
+    means = scored0.groupBy(segment).agg(F.max(md.SEGMENT_MEAN).alias(md.SEGMENT_MEAN))
     state = (fc.initial_state(panel.join(ok, segment, "left_semi"), n_weeks)
-               .join(res.select(segment, "residual_std"), segment))
-
-    forecast = recursive_forecast(state, ens, n_weeks, variant, checkpoint_every, noise_scale, seed, segment)
+               .join(res.select(segment, "residual_std"), segment).join(means, segment))
+    forecast = store(recursive_forecast(ens.with_ridge(state), ens, n_weeks, variant, checkpoint_every, noise_scale, seed,
+                                        segment), "forecast")
     value = {"risk": "lambda", "interval": "predicted_mean"}.get(variant, "predicted_crashes")
     summary = segment_summary(metrics, forecast, status, value=value)
+    if output is not None:
+        for name, df in (("panel", panel), ("forecast", forecast), ("metrics", metrics)):
+            io.write_partitioned(df, f"{output.rstrip('/')}/{name}")
+        io.write_summary(summary, f"{output.rstrip('/')}/summary")
     return PanelResult(panel, status, metrics, quality, forecast, summary, top_improvement(summary),
-                       status.groupBy("status").agg(F.count(F.lit(1)).alias("n_segments")), ens)
+                       status.groupBy("status").agg(F.count(F.lit(1)).alias("n_segments")), ens, scored)
 
 
 INTERVAL_COLUMNS = ["week_start", "week_of_year", "predicted_mean", "predicted_lower", "predicted_upper", "crash_range",
@@ -186,6 +208,11 @@ def mean_forecast_panel_query(spark: SparkSession, sf_dir: str, **kw) -> DataFra
     return run_panel(fx.hourly(spark, sf_dir), variant="mean", **kw).forecast
 
 
+def factor_forecast_panel_query(spark: SparkSession, sf_dir: str, **kw) -> DataFrame:
+    """Seasonal-factor variant (D7 without bands) of the all-segment forecast."""
+    return run_panel(fx.hourly(spark, sf_dir), variant="factor", **kw).forecast
+
+
 def risk_forecast_panel_query(spark: SparkSession, sf_dir: str, **kw) -> DataFrame:
     """Flagship query: the 12-week risk forecast of every segment of the hourly fixture."""
     return run_panel(fx.hourly(spark, sf_dir), **kw).forecast

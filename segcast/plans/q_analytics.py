@@ -12,7 +12,7 @@ from segcast.operators import forecast as fc
 from segcast.plans.common import register, tidy
 from segcast.plans.oracle import r, with_
 from segcast.plans.q_eval import PRED_COLS
-from segcast.plans.q_features import hourly_panel
+from segcast.plans.q_features import stored_panel
 from segcast.plans.q_forecast import N_LONG, N_RISK, interval_sql, mean_sql, risk_sql, standin_future, standin_risk_forecast
 from segcast.sources import fixtures as fx
 from segcast.sources.io import event_profile as event_profile_of
@@ -121,8 +121,8 @@ def event_profile(spark, sf_dir):
     return event_profile_of(_events(spark, sf_dir))
 
 
-def _risk12(spark, sf_dir):
-    return standin_risk_forecast(spark, sf_dir, N_RISK)
+def _risk12(spark, sf_dir, panel=None):
+    return standin_risk_forecast(spark, sf_dir, N_RISK, panel)
 
 
 @register("current_week", with_(risk_sql(N_RISK)) + """
@@ -218,8 +218,9 @@ SELECT segment_id, {r('h.history_mean', 'history_mean')},
 FROM kp JOIN (SELECT segment_id, avg(total_crashes::double) AS history_mean FROM panel GROUP BY 1) h USING (segment_id)""")
 def kpi_delta(spark, sf_dir):
     """R10."""
-    k = an.forecast_kpis(_risk12(spark, sf_dir))
-    return tidy(an.kpi_delta(k, hourly_panel(spark, sf_dir)).select("segment_id", "history_mean", "delta_pct"))
+    panel = stored_panel(spark, sf_dir)
+    k = an.forecast_kpis(_risk12(spark, sf_dir, panel))
+    return tidy(an.kpi_delta(k, panel).select("segment_id", "history_mean", "delta_pct"))
 
 
 @register("route_groups", with_(REG) + """
@@ -259,7 +260,8 @@ SELECT t.*, c.cutover_week FROM (
 JOIN (SELECT segment_id, max(week_start) AS cutover_week FROM panel GROUP BY 1) c USING (segment_id)""")
 def timeline_union(spark, sf_dir):
     """History and forecast on one axis with the cut-over week."""
-    out = an.timeline(hourly_panel(spark, sf_dir), _risk12(spark, sf_dir))
+    panel = stored_panel(spark, sf_dir)
+    out = an.timeline(panel, _risk12(spark, sf_dir, panel))
     return out.select("segment_id", "week_start", "value", "lower", "upper", "series", "cutover_week")
 
 

@@ -15,14 +15,14 @@ from segcast.operators import features as fe
 from segcast.operators import seasonal as se
 from segcast.plans.common import register, tidy
 from segcast.plans.oracle import r, rcols, with_
-from segcast.plans.q_features import hourly_panel
+from segcast.plans.q_features import hourly_panel, stored_panel
 
 PRED_COLS = ["pred_a", "pred_b", "pred_c"]
 
 
-def standin_scored(spark: SparkSession, sf_dir: str, segment: str = "nation") -> DataFrame:
+def standin_scored(spark: SparkSession, sf_dir: str, segment: str = "nation", panel: DataFrame | None = None) -> DataFrame:
     """Panel rows with the train/test flag, seasonal baseline and three stand-in predictions."""
-    sp = se.seasonal_baseline(fe.time_split(hourly_panel(spark, sf_dir, segment)))
+    sp = se.seasonal_baseline(fe.time_split(stored_panel(spark, sf_dir, segment) if panel is None else panel))
     return sp.withColumns({
         "pred_a": F.col("baseline_pred"),
         "pred_b": F.col("crashes_lag_1w").cast("double"),
@@ -30,16 +30,16 @@ def standin_scored(spark: SparkSession, sf_dir: str, segment: str = "nation") ->
     })
 
 
-def standin_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+def standin_intervals(spark: SparkSession, sf_dir: str, panel: DataFrame | None = None) -> DataFrame:
     """Test rows with M6 intervals, residual std taken from the training rows (M5)."""
-    sc = standin_scored(spark, sf_dir)
+    sc = standin_scored(spark, sf_dir, panel=panel)
     res = ev.residual_stats(sc.where("is_train"), "total_crashes", PRED_COLS)
     test = sc.where(~F.col("is_train")).join(res.select("segment_id", "residual_std"), "segment_id")
     return ev.predict_interval(test, PRED_COLS)
 
 
-def standin_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    iv = standin_intervals(spark, sf_dir)
+def standin_metrics(spark: SparkSession, sf_dir: str, panel: DataFrame | None = None) -> DataFrame:
+    iv = standin_intervals(spark, sf_dir, panel)
     return ev.model_metrics_long(iv, "total_crashes", {"baseline": "baseline_pred", "ensemble": "pred_mean"})
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from segcast.operators import features as fe
 from segcast.plans.common import register, tidy
 from segcast.plans.oracle import r, rcols, with_
+from segcast.session import store
 from segcast.sources import fixtures as fx
 
 
@@ -15,6 +16,11 @@ def hourly_panel(spark: SparkSession, sf_dir: str, segment: str = "nation") -> D
     return fe.weekly_panel(fx.hourly(spark, sf_dir, segment=segment))
 
 
+def stored_panel(spark: SparkSession, sf_dir: str, segment: str = "nation") -> DataFrame:
+    """The weekly panel, written once: queries with several branches over it scan the facts once."""
+    return store(hourly_panel(spark, sf_dir, segment), "weekly-panel")
+
+
 @register("hourly_profile", with_() + """
 SELECT segment_id, count(*)::bigint AS n_rows, min(timestamp) AS first_ts, max(timestamp) AS last_ts,
        sum(crash_count)::bigint AS n_events, count(DISTINCT hour)::bigint AS n_hours

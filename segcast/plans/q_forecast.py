@@ -21,26 +21,26 @@ from segcast.operators import seasonal as se
 from segcast.plans.common import register, tidy
 from segcast.plans.oracle import r, rcols, with_
 from segcast.plans.q_eval import PRED_COLS, SCORED, standin_scored
-from segcast.plans.q_features import hourly_panel
+from segcast.plans.q_features import hourly_panel, stored_panel
 from segcast.plans.q_poisson import mode_sql, ppf_sql, probs_sql, risk4_sql
 
 N_RISK = 12
 N_LONG = 36
 
 
-def standin_residuals(spark: SparkSession, sf_dir: str, segment: str = "nation") -> DataFrame:
-    sc = standin_scored(spark, sf_dir, segment).where("is_train")
+def standin_residuals(spark: SparkSession, sf_dir: str, segment: str = "nation", panel: DataFrame | None = None) -> DataFrame:
+    sc = standin_scored(spark, sf_dir, segment, panel).where("is_train")
     return ev.residual_stats(sc, "total_crashes", PRED_COLS).select("segment_id", "residual_std")
 
 
-def standin_future(spark: SparkSession, sf_dir: str, n_weeks: int) -> DataFrame:
+def standin_future(spark: SparkSession, sf_dir: str, n_weeks: int, panel: DataFrame | None = None) -> DataFrame:
     """(segment, step) rows: calendar, seasonal lookups, stand-in predictions, spread, residual std."""
-    panel = hourly_panel(spark, sf_dir)
+    panel = stored_panel(spark, sf_dir) if panel is None else panel
     stats = se.overall_stats(panel)
     prof = se.seasonal_profile(panel)
     cal = se.lookup_with_default(fc.future_calendar(stats, n_weeks), prof, stats)
     hist = fc.history_state(panel)
-    df = cal.join(hist, "segment_id").join(standin_residuals(spark, sf_dir), "segment_id")
+    df = cal.join(hist, "segment_id").join(standin_residuals(spark, sf_dir, panel=panel), "segment_id")
     df = df.withColumns({"pred_a": F.col("season_mean"), "pred_b": F.element_at("hist", -1),
                          "pred_c": fc.tail_mean(F.col("hist"), 4)})
     ml, sd = ev.model_spread(PRED_COLS)
@@ -58,9 +58,9 @@ RISK_OUT = ["predicted_lower", "predicted_upper", "ci_method", "model_uncertaint
             "prob_1_crash", "prob_2_crash", "prob_3_crash", "prob_ge4_crash"]
 
 
-def standin_risk_forecast(spark: SparkSession, sf_dir: str, n_weeks: int = N_RISK) -> DataFrame:
+def standin_risk_forecast(spark: SparkSession, sf_dir: str, n_weeks: int = N_RISK, panel: DataFrame | None = None) -> DataFrame:
     """D5 risk rows per (segment, step) from the stand-in predictions (feeds the dashboard queries)."""
-    b = _risk_blend(standin_future(spark, sf_dir, n_weeks), n_weeks)
+    b = _risk_blend(standin_future(spark, sf_dir, n_weeks, panel), n_weeks)
     out = b.withColumns(fc.risk_columns(F.col("lambda"), F.col("total_std"), F.col("model_std"), F.col("residual_std")))
     return out.select("segment_id", "step", "week_start", "week_of_year", (round_half_even("lambda", 3) + 0.0).alias("lambda"),
                       *RISK_OUT, "method")
@@ -158,6 +158,25 @@ def tail_stats(spark, sf_dir):
     return tidy(h.select("segment_id", *[feats[c].alias(c) for c in _TAIL]))
 
 
+SHORT_WEEKS = 5
+
+
+@register("short_history_features", with_(SCORED, f"""
+sh AS (SELECT segment_id, list(total_crashes::double ORDER BY row_idx) AS h, avg(total_crashes::double) AS m
+       FROM split2 WHERE row_idx <= {SHORT_WEEKS} GROUP BY 1)""") + "SELECT segment_id, " + ", ".join(
+    [r(f"CASE WHEN len(h) >= {k} THEN h[len(h) - {k - 1}] ELSE m END", f"crashes_lag_{k}w") for k in fe.LAGS]
+    + [r(f"CASE WHEN len(h) >= {w} THEN list_avg(h[len(h) - {w - 1}:]) ELSE 0 END", f"crashes_rolling_mean_{w}w") for w in fe.ROLL_WINDOWS]
+    + [r("CASE WHEN len(h) >= 2 THEN h[len(h)] - h[len(h) - 1] ELSE 0 END", "crash_change_1w"),
+       r("CASE WHEN len(h) >= 4 THEN h[len(h)] - h[len(h) - 3] ELSE 0 END", "crash_change_4w")]) + " FROM sh")
+def short_history_features(spark, sf_dir):
+    """Policies "value" (missing lags become the mean) and "recent" (changes) on histories shorter than the lags."""
+    panel = fe.time_split(hourly_panel(spark, sf_dir)).where(F.col("row_idx") <= SHORT_WEEKS)
+    state = fc.history_state(panel).join(se.overall_stats(panel).select("segment_id", "overall_mean"), "segment_id")
+    feats = fc.next_row_features(F.col("hist"), F.size("hist"), "value", F.col("overall_mean"), True, "recent")
+    names = [*fe.lag_names(), *[f"crashes_rolling_mean_{w}w" for w in fe.ROLL_WINDOWS], "crash_change_1w", "crash_change_4w"]
+    return tidy(state.select("segment_id", *[feats[n].alias(n) for n in names]))
+
+
 @register("blend_risk", with_(risk_sql(N_LONG)) + f"""
 SELECT segment_id, step, week_start, method, {r('lam_v', '"lambda"')}, {r('horizon_factor', 'horizon_factor')},
   {r('base_std', 'base_std')}
@@ -307,11 +326,21 @@ SELECT r.segment_id, r.step - 1 AS step, f.week_start, r.method_out AS method, {
 FROM rec r JOIN fut f ON f.segment_id = r.segment_id AND f.step = r.step - 1 WHERE r.step > 0"""
 
 
+def _naive_advance(n_weeks: int):
+    """The stand-in models and the risk blend as column expressions of one step."""
+    def advance(row):
+        preds = [row["season_mean"], row["crashes_lag_1w"], row["crashes_rolling_mean_4w"]]
+        ml = sum(preds) / len(preds)
+        sd = F.sqrt(sum((p - ml) * (p - ml) for p in preds) / len(preds))
+        b = fc.blend_risk(row["step"], n_weeks, ml, sd, row["season_mean"], F.col("overall_std"), F.col("residual_std"))
+        return {**b, "next_value": b["lambda"]}
+    return advance
+
+
 def _recursive_naive(spark, sf_dir, segment: str = "nation"):
-    panel = hourly_panel(spark, sf_dir, segment)
-    state = fc.initial_state(panel, N_RISK).join(standin_residuals(spark, sf_dir, segment), "segment_id")
-    out = fc.run_recursive(state, N_RISK, _naive_predictor, _naive_risk_blend(N_RISK),
-                           ["step", "week_start", "method", "lambda"])
+    panel = stored_panel(spark, sf_dir, segment)
+    state = fc.initial_state(panel, N_RISK).join(standin_residuals(spark, sf_dir, segment, panel), "segment_id")
+    out = fc.fold_recursive(state, N_RISK, _naive_advance(N_RISK), "step int, week_start date, method string, lambda double")
     return tidy(out.select("segment_id", "step", "week_start", "method", "lambda"))
 
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_spark(master: str | None = None, app: str = "segcast", shuffle_partitions: int | None = None) -> SparkSession:
@@ -57,3 +58,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     scratch = tempfile.mkdtemp(prefix="segcast-ckpt-", dir="/tmp")
     sc.setCheckpointDir(scratch)
     return sc.getCheckpointDir() or scratch
+
+
+def store(df: DataFrame, label: str) -> DataFrame:
+    """Write a small shared intermediate as Parquet under the checkpoint folder and read it back.
+
+    Cuts the lineage at files every executor can read: branches share one
+    computation, nothing has to be released, and a lost executor costs nothing.
+    """
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/store/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

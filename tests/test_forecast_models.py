@@ -1,5 +1,10 @@
 """Recursive engine vs a pure-Python loop, blends at band edges, and ridge vs the closed form."""
 
+import os
+import subprocess
+import sys
+import uuid
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -76,18 +81,55 @@ def test_ridge_matches_closed_form(spark):
         beta = np.linalg.solve(xa.T @ xa + pen, xa.T @ y)
         assert abs(beta[0] - coefs.loc[seg, "intercept"]) < 1e-6
         assert np.allclose(beta[1:], np.array(coefs.loc[seg, "coef"]), atol=1e-6)
-    # MLlib ridge with the mapped regParam equals the pooled closed form
-    ens_train = train.select("segment_id", "total_crashes", *cols)
-    reg = md.ridge_reg_param(ens_train, "total_crashes", 1.0)
-    from pyspark.ml.regression import LinearRegression
-    lr = LinearRegression(featuresCol="features", labelCol="total_crashes", regParam=reg, elasticNetParam=0.0,
-                          standardization=False, solver="normal").fit(
-        md.assemble(ens_train, cols).withColumn("total_crashes", F.col("total_crashes").cast("double")))
-    x = pdf[cols].to_numpy(float)
-    y = pdf["total_crashes"].to_numpy(float)
-    xm, ym = x.mean(0), y.mean()
-    w = np.linalg.solve((x - xm).T @ (x - xm) + np.eye(len(cols)), (x - xm).T @ (y - ym))
-    assert np.allclose(np.array(lr.coefficients), w, atol=1e-6)
+    assert md.ridge_residuals(train, md.fit_ridge_per_segment(train, cols), cols).agg(F.max("residual")).first()[0] < 1e-6
+
+
+_FIT = """
+import sys
+sys.path.insert(0, {root!r})
+from segcast.session import get_spark
+from segcast.operators import models as md
+from segcast.plans import panel as pn
+from segcast.plans.q_features import hourly_panel
+spark = get_spark(master={master!r})
+_, sp = pn.training_frame(hourly_panel(spark, {sf!r}))
+ens = md.fit_ensemble(sp.where("is_train"), rf_trees=5, rf_depth=6, gbt_iter=5)
+rows = ens.score(sp).select("segment_id", "week_start", *md.MODEL_COLS).orderBy("segment_id", "week_start").collect()
+print("FIT", hash(tuple((r[0], str(r[1]), *(round(v, 6) for v in r[2:])) for r in rows)))
+"""
+
+
+def test_fit_is_the_same_for_any_number_of_cores():
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    seen = set()
+    for master in ("local[1]", "local[4]", "local[8]"):
+        out = subprocess.run([sys.executable, "-c", _FIT.format(root=root, master=master, sf=SF)], capture_output=True, text=True,
+                             env={**os.environ, "PYTHONHASHSEED": "0"}, timeout=300)
+        seen |= {line for line in out.stdout.splitlines() if line.startswith("FIT")}
+        assert seen, out.stderr[-2000:]
+    assert len(seen) == 1
+
+
+def test_panel_writes_its_outputs_and_evaluates_each_model(spark):
+    from segcast.plans.panel import run_panel
+    from segcast.session import ensure_checkpoint_dir
+    base = f"{ensure_checkpoint_dir(spark)}/outputs-{uuid.uuid4().hex}"
+    res = run_panel(fx.hourly(spark, SF), n_weeks=2, model_params={"rf_trees": 3, "rf_depth": 3, "gbt_iter": 2}, output=base)
+    assert spark.read.parquet(f"{base}/forecast").count() == res.forecast.count() > 0
+    assert spark.read.parquet(f"{base}/panel").count() == res.panel.count()
+    assert {r["model"] for r in spark.read.parquet(f"{base}/metrics").collect()} == {"baseline", "ensemble", "rf", "gb", "ridge"}
+    assert spark.read.option("header", True).csv(f"{base}/summary").count() == res.summary.count()
+    again = run_panel(fx.hourly(spark, SF), n_weeks=2, ensemble=res.ensemble).forecast
+    assert sorted(again.collect()) == sorted(res.forecast.collect())
+
+
+def test_fold_matches_the_stepwise_engine(spark):
+    panel = hourly_panel(spark, SF)
+    state = fc.initial_state(panel, 8).join(qf.standin_residuals(spark, SF), "segment_id")
+    steps = fc.run_recursive(state, 8, qf._naive_predictor, qf._naive_risk_blend(8), ["step", "lambda", "method"])
+    fold = fc.fold_recursive(state, 8, qf._naive_advance(8), "step int, lambda double, method string")
+    key = lambda df: {(r["segment_id"], r["step"]): (round(r["lambda"], 9), r["method"]) for r in df.collect()}
+    assert key(steps) == key(fold)
 
 
 def test_flagship_panel_smoke(spark):

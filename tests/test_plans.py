@@ -10,7 +10,7 @@ PYTHON_NODES = ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "
 # model queries run MLlib (JVM) but their fits are covered in test_forecast_models; ridge_scores is the
 # one documented applyInPandas (one segment's weekly history per group)
 SKIP = {"ridge_scores", "ensemble_scores", "feature_importance", "risk_forecast_panel", "interval_forecast_panel",
-        "mean_forecast_panel"}
+        "mean_forecast_panel", "factor_forecast_panel"}
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - SKIP))
