@@ -62,7 +62,8 @@ def map_texts(df: DataFrame, run, schema, batch_bytes: int = 4 << 20) -> DataFra
     keeps a task's memory the same for short and long documents.  A bound the
     caller has set on the session is left as it is.
     """
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    if conf.get(key, None) is None:
+    conf, key, own = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch", "segcast.llm.batchBytes"
+    if conf.get(key, None) in (None, conf.get(own, None)):
         conf.set(key, str(batch_bytes))
+        conf.set(own, str(batch_bytes))
     return df.mapInArrow(run, schema)

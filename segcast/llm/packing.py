@@ -41,7 +41,7 @@ from segcast.llm.common import map_texts, materialise
 CAPACITY = 4096
 END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 1_400_000
 RANK_PARTS = 256
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -157,7 +157,7 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | No
                                              ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return map_texts(base, run, PIECE_SCHEMA)
+    return map_texts(base, run, PIECE_SCHEMA, batch_bytes=8 << 20)
 
 
 class _Plan:
