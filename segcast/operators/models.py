@@ -103,17 +103,6 @@ class Ensemble:
         return df.orderBy(F.col("importance").desc(), "feature").limit(top_n)
 
 
-def ridge_reg_param(train: DataFrame, label: str, alpha: float) -> float:
-    """Map sklearn ``Ridge(alpha)`` to MLlib's ``regParam`` (normal solver, no standardization).
-
-    MLlib scales the loss by 1/n and internally standardises the label by its
-    population std, so ``regParam = alpha / n · σ_y``.
-    """
-    row = train.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop(F.col(label).cast("double")).alias("s")).first()
-    n, s = row["n"], row["s"] or 0.0
-    return float(alpha) / max(n, 1) * (s if s > 0 else 1.0)
-
-
 def fit_ensemble(train: DataFrame, feature_cols: list[str] | None = None, label: str = "total_crashes",
                  rf_trees: int = 100, rf_depth: int = 12, rf_min_instances: int = 4, gbt_iter: int = 100,
                  gbt_depth: int = 3, gbt_step: float = 0.1, ridge_alpha: float = 1.0, seed: int = 42,

@@ -17,6 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from segcast.operators import features as fe
 from segcast.session import ensure_checkpoint_dir
+from segcast.sources.io import BUCKET
 
 WEEK = "7 days"
 TUESDAY_OFFSET = "5 days"
@@ -61,7 +62,7 @@ def weekly_rollup_stream(hourly: DataFrame, lateness: str = "14 days", segment:
 
 
 def start_weekly_table(hourly: DataFrame, path: str, name: str = "weekly", lateness: str = "14 days",
-                       trigger_available_now: bool = True) -> StreamingQuery:
+                       trigger_available_now: bool = True, buckets: int = 64) -> StreamingQuery:
     """Run the streaming roll-up into a Parquet table (append mode: each week written once it is final).
 
     The streaming checkpoint lives under the session's shared checkpoint
@@ -69,8 +70,10 @@ def start_weekly_table(hourly: DataFrame, path: str, name: str = "weekly", laten
     """
     spark = hourly.sparkSession
     ckpt = ensure_checkpoint_dir(spark).rstrip("/") + f"/stream-{name}"
-    w = (weekly_rollup_stream(hourly, lateness).writeStream.format("parquet").outputMode("append")
-         .option("path", path).option("checkpointLocation", ckpt).partitionBy("segment_id"))
+    # as many directories as hash buckets, however many segments there are
+    weekly = weekly_rollup_stream(hourly, lateness).withColumn(BUCKET, F.pmod(F.xxhash64("segment_id"), F.lit(buckets)).cast("int"))
+    w = (weekly.writeStream.format("parquet").outputMode("append")
+         .option("path", path).option("checkpointLocation", ckpt).partitionBy(BUCKET))
     if trigger_available_now:
         w = w.trigger(availableNow=True)
     return w.start()
