@@ -4,12 +4,18 @@ A rule names an action, a host and a path.  It fits pages of its host and all it
 subdomains whose path starts with the rule's; of several, the longest wins.
 
 Hosts that rules decide for more than half of their pages are seeds.  Trust flows from
-allowed seeds along links as personalised PageRank; distrust flows from blocked seeds
-against the links, to whoever links to them.  Mass of hosts without outgoing edges returns
-to the seeds.  Both run together on one edge table, a join and a partly pre-aggregated sum
-a step, each step's ranks written to the shared folder, until they change by less than
-``tolerance``.  A host is blocked when its distrust, relative to the most distrusted host, is at
-least ``threshold`` and more than its relative trust.
+allowed seeds along links, distrust from blocked seeds against the links, to whoever links to
+them.  Both run together on one edge table, a join and a partly pre-aggregated sum a step,
+each step's ranks written to the shared folder, until they change by less than ``tolerance``.
+
+Verdicts use the ranks of the receiving host: seeds have 1, and a host's distrust is ``damping``
+times the mean distrust of the hosts its links lead to, each link counting once; its trust that
+of the hosts whose links lead to it.  So distrust is the chance that a surfer who starts there,
+and goes on with chance ``damping`` a step, comes to a blocked seed.  It depends on nothing but
+what the host's links lead to: not on how many others link to the same seed, nor on the rest of
+the table.  A host is blocked when its distrust is at least ``threshold`` and more than its trust.
+``propagate`` also gives personalised PageRank, which divides a host's rank among its
+neighbours and so has no bound that holds for every host.
 
 Defined cases: a null url or one without :// has an empty host and path, fits no rule and
 is allowed; null html has no links; links to a page's own host are left out; without seeds or
@@ -57,14 +63,20 @@ def host_edges(pages: DataFrame) -> DataFrame:
 
 
 def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE,
-              max_steps: int = MAX_STEPS) -> DataFrame:
-    """(kind, host, rank): trust from ``seeds`` (kind, host) along ``edges``, distrust against them."""
+              max_steps: int = MAX_STEPS, received: bool = False) -> DataFrame:
+    """(kind, host, rank): trust from ``seeds`` (kind, host) along ``edges``, distrust against them.
+
+    Personalised PageRank, mass of hosts without outgoing edges returning to the seeds; with ``received``
+    the damped mean of what a host's own edges bring, between 0 and 1, seeds holding 1.
+    """
     both = edges.select(F.lit("trust").alias("kind"), "source", "target", "n").unionByName(
         edges.select(F.lit("distrust").alias("kind"), F.col("target").alias("source"), F.col("source").alias("target"), "n"))
-    out = both.groupBy("kind", "source").agg(F.sum("n").alias("all_n"))
-    flows = materialise(both.join(out, ["kind", "source"]).select("kind", "source", "target", (F.col("n") / F.col("all_n")).alias("part")), "url-flows")
+    whole = ["kind", "target" if received else "source"]
+    out = both.groupBy(whole).agg(F.sum("n").alias("all_n"))
+    flows = materialise(both.join(out, whole).select("kind", "source", "target", (F.col("n") / F.col("all_n")).alias("part")), "url-flows")
     n_seeds = seeds.groupBy("kind").agg(F.count(F.lit(1)).alias("n_seeds"))  # two rows at most
-    starts = materialise(seeds.join(F.broadcast(n_seeds), "kind").select("kind", "host", (1 / F.col("n_seeds")).alias("start")), "url-seeds")
+    start = F.lit(1.0) if received else 1 / F.col("n_seeds")
+    starts = materialise(seeds.join(F.broadcast(n_seeds), "kind").select("kind", "host", start.alias("start")), "url-seeds")
     ranks = starts.select("kind", "host", F.col("start").alias("rank"))
     for _ in range(max_steps):
         moved = (
@@ -72,16 +84,18 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tole
             .groupBy("kind", F.col("target").alias("host")).agg(F.sum(F.col("part") * F.col("rank")).alias("got"))
         )
         moved = materialise(moved, "url-moved")
-        lost = {r["kind"]: 1 - r["got"] for r in moved.groupBy("kind").agg(F.sum("got").alias("got")).collect()}  # two rows at most
-        back = F.when(F.col("kind") == "trust", lost.get("trust", 1.0)).otherwise(lost.get("distrust", 1.0))
-        new = moved.join(starts, ["kind", "host"], "full").select(
-            "kind", "host",
-            (damping * (F.coalesce("got", F.lit(0.0)) + back * F.coalesce("start", F.lit(0.0)))
-             + (1 - damping) * F.coalesce("start", F.lit(0.0))).alias("rank"))
+        if received:
+            rank = F.coalesce("start", damping * F.col("got"))
+        else:
+            lost = {r["kind"]: 1 - r["got"] for r in moved.groupBy("kind").agg(F.sum("got").alias("got")).collect()}  # two rows at most
+            back = F.when(F.col("kind") == "trust", lost.get("trust", 1.0)).otherwise(lost.get("distrust", 1.0))
+            rank = (damping * (F.coalesce("got", F.lit(0.0)) + back * F.coalesce("start", F.lit(0.0)))
+                    + (1 - damping) * F.coalesce("start", F.lit(0.0)))
+        new = moved.join(starts, ["kind", "host"], "full").select("kind", "host", rank.alias("rank"))
         new = materialise(new, "url-ranks")
         old = ranks.withColumnRenamed("rank", "old")
-        change = new.join(old, ["kind", "host"], "full").agg(
-            F.sum(F.abs(F.coalesce("rank", F.lit(0.0)) - F.coalesce("old", F.lit(0.0))))).first()[0]
+        moves = F.abs(F.coalesce("rank", F.lit(0.0)) - F.coalesce("old", F.lit(0.0)))
+        change = new.join(old, ["kind", "host"], "full").agg(F.max(moves) if received else F.sum(moves)).first()[0]
         ranks = new
         if (change or 0.0) < tolerance:
             break
@@ -89,13 +103,11 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tole
 
 
 def host_verdicts(edges: DataFrame, seeds: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(host, trust, distrust, blocked) of every host that trust or distrust reaches, both relative to the largest."""
-    ranks = propagate(edges, seeds)
-    tops = F.broadcast(ranks.groupBy("kind").agg(F.max("rank").alias("top")))  # two rows at most
-    relative = ranks.join(tops, "kind").withColumn("rank", F.round(F.col("rank") / F.col("top"), 6))
+    """(host, trust, distrust, blocked) of every host that trust or distrust reaches, both between 0 and 1."""
+    ranks = propagate(edges, seeds, received=True).withColumn("rank", F.round("rank", 6))
     by_kind = [F.max(F.when(F.col("kind") == k, F.col("rank")).otherwise(0.0)).alias(k) for k in ("trust", "distrust")]
     blocked = (F.col("distrust") >= threshold) & (F.col("distrust") > F.col("trust"))
-    return relative.groupBy("host").agg(*by_kind).withColumn("blocked", blocked)
+    return ranks.groupBy("host").agg(*by_kind).withColumn("blocked", blocked)
 
 
 def judge_pages(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, threshold: float = THRESHOLD) -> DataFrame:

@@ -90,3 +90,36 @@ def test_empty_repeated_and_no_seeds(spark):
     df = spark.createDataFrame([(1, "http://a.info/", link("b.info"))] * 2, SCHEMA)
     assert [x.verdict for x in U.judge_pages(df).collect()] == ["allow", "allow"]
     assert U.judge_pages(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("k", [1, 20, 2000])
+def test_every_linker_to_a_blocked_host_is_blocked(spark, k):
+    """However many there are, beside one with many links, a sister host, a far larger farm and unrelated trust."""
+    linkers = [(i, f"http://farm{i}.info/", link("spam.net")) for i in range(k)]
+    others = [(-1, "http://spam.net/", ""), (-2, "http://many.info/", link("spam.net") * 500), (-3, "http://half.info/", link("spam.net") + link("sister.info")),
+              (-4, "http://rare.info/", link("spam.net") + link("else.info") * 99), (-5, "http://far.info/", link("farm0.info")),
+              (-6, "http://hub.net/", ""), (-7, "http://big.info/", link("hub.net") * 5000),
+              (-8, "http://good.example.net/en/", link("praised.info")), (-9, "http://praised.info/", link("spam.net") + link("a.info") * 9)]
+    got = {x.page_id: x for x in U.judge_pages(spark.createDataFrame(linkers + others, SCHEMA)).collect()}
+    assert all(got[i].verdict == "block" and got[i].host_distrust == pytest.approx(0.85, abs=1e-6) for i in range(k))
+    assert [got[-i].verdict for i in range(1, 10)] == ["block", "block", "block", "allow", "block", "block", "block", "allow", "allow"]
+    assert got[-3].host_distrust == pytest.approx(0.425, abs=1e-6) and got[-5].host_distrust == pytest.approx(0.85 ** 2, abs=1e-6)
+
+
+def test_received_ranks_match_a_dense_solution(spark):
+    r = random.Random(3)
+    n, seeds = 25, {"trust": [0, 1, 2], "distrust": [3, 4]}
+    pairs = {(r.randrange(n), r.randrange(n)): r.randint(1, 3) for _ in range(90)}
+    edges = [(s, t, w) for (s, t), w in pairs.items() if s != t]
+    e = spark.createDataFrame([(f"h{s}", f"h{t}", w) for s, t, w in edges], "source string, target string, n long")
+    q = spark.createDataFrame([(k, f"h{i}") for k, v in seeds.items() for i in v], "kind string, host string")
+    got = {(x.kind, x.host): x.rank for x in U.propagate(e, q, max_steps=200, tolerance=1e-10, received=True).collect()}
+    for kind, way in (("trust", [(t, s, w) for s, t, w in edges]), ("distrust", edges)):
+        m, start = np.zeros((n, n)), np.zeros(n)
+        for s, t, w in way:
+            m[s, t] += w
+        m /= np.maximum(m.sum(axis=1, keepdims=True), 1)
+        m[seeds[kind]], start[seeds[kind]] = 0, 1
+        want = np.linalg.solve(np.eye(n) - U.DAMPING * m, start)
+        for i in range(n):
+            assert got.get((kind, f"h{i}"), 0.0) == pytest.approx(want[i], abs=1e-7)
