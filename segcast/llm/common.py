@@ -40,19 +40,24 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def keep_one_row_per_id(docs: DataFrame, keep_ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is in ``keep_ids`` (column keep_doc_id, null matches null), one row per id.
+def keep_rows(docs: DataFrame, keep: DataFrame, digest: Column) -> DataFrame:
+    """Rows of ``docs`` whose doc_id and ``digest`` (of the text) are in ``keep`` (doc_id, digest; null matches null), one row for each.
 
-    Of rows repeating a doc_id, the one with the smallest text hash stays.
-    Columns are those of ``docs``.  Join and window share one shuffle of the texts.
+    Of rows repeating both, the one with the smallest text hash stays; each map task merges its own
+    first, so a repeated row does not pile up, and null or repeated ids are spread by their texts.
+    Columns are those of ``docs``.  Aggregate and join share one shuffle of the texts.
     """
-    value, missing, row = (free_name(docs, n) for n in ("id_value", "id_missing", "id_row"))
-    ids = keep_ids.select(F.coalesce("keep_doc_id", F.lit(0)).alias(value), F.isnull("keep_doc_id").alias(missing))
-    doc_id = F.col("doc_id").cast("long")
-    keyed = docs.withColumn(value, F.coalesce(doc_id, F.lit(0))).withColumn(missing, F.isnull(doc_id))
-    kept = keyed.join(ids, [value, missing], "left_semi")
-    rn = F.row_number().over(Window.partitionBy(value, missing).orderBy(F.xxhash64("text"), F.length("text")))
-    return kept.withColumn(row, rn).filter(F.col(row) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
+    key = value, missing, mark = [free_name(docs, n) for n in ("id_value", "id_missing", "id_digest")]
+    row = free_name(docs, "id_row")
+
+    def keyed(doc_id: Column, text: Column) -> list[Column]:
+        return [F.coalesce(doc_id, F.lit(0)).alias(value), F.isnull(doc_id).alias(missing), text.alias(mark)]
+
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    smallest = F.struct(F.xxhash64("text"), F.length("text"))
+    rows = docs.groupBy(*keyed(F.col("doc_id").cast("long"), digest)).agg(F.min_by(whole, smallest).alias(row))
+    kept = rows.join(keep.select(*keyed(F.col("doc_id"), F.col("digest"))), key, "left_semi")
+    return kept.select(*[F.col(f"`{row}`.`{c}`").alias(c) for c in docs.columns])
 
 
 def map_texts(df: DataFrame, run, schema, batch_bytes: int = 4 << 20) -> DataFrame:

@@ -14,9 +14,10 @@ back to the documents over (digest, salt), which is as evenly spread.
 
 Defined cases: a null text counts as empty; an empty table gives no rows; of
 equal texts the largest doc_id stays (a null doc_id is smaller than any); of rows
-repeating that doc_id one is marked kept.  doc_id identifies a document:
-``drop_exact_copies`` returns one row per doc_id.  Columns beyond doc_id and
-text are only carried along there and may have any name.
+repeating that doc_id one is marked kept.  ``drop_exact_copies`` returns one row per
+text, found again by doc_id and digest, so documents that share a doc_id or have none
+keep each of their texts.  Columns beyond doc_id and text are only carried along there
+and may have any name.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from segcast.llm.common import keep_one_row_per_id, materialise, text_or_empty
+from segcast.llm.common import keep_rows, materialise, text_or_empty
 
 N_SALTS = 64
 
@@ -42,10 +43,13 @@ def ascii_lower(text: Column) -> Column:
     return F.when(plain, F.lower(text)).otherwise(F.translate(text, string.ascii_uppercase, string.ascii_lowercase))
 
 
+def normal_text() -> Column:
+    return ascii_lower(text_or_empty().cast("string"))
+
+
 def normalised(docs: DataFrame, n_salts: int = N_SALTS, digest: Callable[[Column], Column] = sha256) -> DataFrame:
     """(doc_id, norm, digest, salt): the normalised text, its digest, the document's salt."""
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
-                       ascii_lower(text_or_empty().cast("string")).alias("norm"))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normal_text().alias("norm"))
     return base.select("doc_id", "norm", digest(F.col("norm")).alias("digest"),
                        F.pmod(F.xxhash64("doc_id"), F.lit(n_salts)).cast("int").alias("salt"))
 
@@ -82,5 +86,5 @@ def exact_groups(docs: DataFrame, n_salts: int = N_SALTS, digest: Callable[[Colu
 
 def drop_exact_copies(docs: DataFrame, n_salts: int = N_SALTS) -> DataFrame:
     """The documents that stay, with the columns of ``docs``."""
-    ids = exact_groups(docs, n_salts).filter("kept").select(F.col("keep_id").alias("keep_doc_id"))
-    return keep_one_row_per_id(docs, ids)
+    winners = salt_winners(normalised(docs, n_salts)).select(F.col("keep_id").alias("doc_id"), "digest").distinct()
+    return keep_rows(docs, materialise(winners, "exact-winners"), sha256(normal_text()))

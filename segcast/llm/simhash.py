@@ -21,7 +21,9 @@ emitted; components lose nothing by that.
 Defined cases: a null or wordless text has fingerprint zero and links like any
 other; fewer words than ``shingle_words`` make one shingle of the whole sequence;
 repeated rows share their component; a null doc_id never names a component
-unless all its members are null; an empty table gives no rows.
+unless all its members are null; ``drop_near_copies`` keeps one row of each component,
+found again by doc_id and text digest, whatever other rows share its doc_id or have none;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,11 +34,12 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from segcast.llm.common import keep_one_row_per_id, map_texts, materialise
+from segcast.llm.common import keep_rows, map_texts, materialise, text_or_empty
 from segcast.llm.components import connected_components
+from segcast.llm.dedup import sha256
 
 SHINGLE_WORDS = 3
 MAX_BITS = 3
@@ -65,16 +68,18 @@ def simhash(text: bytes, shingle_words: int = SHINGLE_WORDS) -> int:
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, digest: Column | None = None) -> DataFrame:
+    """(doc_id, fp): the fingerprint as a signed long; with ``digest`` (of the text) also that."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(1).cast(pa.binary()).to_pylist()
             fps = np.array([simhash(t or b"", shingle_words) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], ["doc_id", "fp"])
+            rest = [(b.column(i), b.schema.names[i]) for i in range(2, b.num_columns)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps), *[c for c, _ in rest]], ["doc_id", "fp", *[n for _, n in rest]])
 
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return map_texts(base, run, "doc_id long, fp long")
+    more = [] if digest is None else [digest.alias("digest")]
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
+    return map_texts(base, run, "doc_id long, fp long" + ", digest binary" * len(more))
 
 
 def unary_popcounts(fp: np.ndarray) -> np.ndarray:
@@ -181,19 +186,27 @@ def near_links(fps: DataFrame, max_bits: int = MAX_BITS, block_rows: int = BLOCK
     return paired.repartition(*key).sortWithinPartitions(*key).mapInArrow(_find_links(max_bits), "a long, b long").distinct()
 
 
+def _placed(marked: DataFrame, first: Column, max_bits: int) -> DataFrame:
+    """(fp, root, first): each distinct fingerprint, its component, and ``first`` aggregated over its rows of ``marked``."""
+    fps = materialise(marked.groupBy("fp").agg(first.alias("first")), "simhash-distinct")
+    links = materialise(near_links(fps.select("fp"), max_bits), "simhash-links")
+    parts = connected_components(links).withColumnRenamed("node", "fp")
+    return fps.join(parts, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
+
+
 def near_components(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
     """One row per row of ``docs``: doc_id, fp (signed), component_id (smallest doc_id reachable over links)."""
     marked = materialise(fingerprints(docs, shingle_words), "simhash")
-    fps = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
-    links = materialise(near_links(fps.select("fp"), max_bits), "simhash-links")
-    parts = connected_components(links).withColumnRenamed("node", "fp")
-    placed = fps.join(parts, "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    smallest = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    placed = _placed(marked, F.min("doc_id"), max_bits)
+    smallest = placed.groupBy("root").agg(F.min("first").alias("component_id"))
     of_fp = materialise(placed.join(smallest, "root").select("fp", "component_id"), "simhash-parts")
     return marked.join(of_fp, "fp").select("doc_id", "fp", "component_id")
 
 
 def drop_near_copies(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
-    """One document of each component, its smallest doc_id, with the columns of ``docs``."""
-    ids = near_components(docs, shingle_words, max_bits).select(F.col("component_id").alias("keep_doc_id")).distinct()
-    return keep_one_row_per_id(docs, ids)
+    """One document of each component, its smallest doc_id and of that the smallest digest, with the columns of ``docs``."""
+    digest = sha256(text_or_empty().cast("string"))
+    marked = materialise(fingerprints(docs, shingle_words, digest), "simhash")
+    first = F.min(F.struct(F.isnull("doc_id").alias("missing"), "doc_id", "digest"))
+    winners = _placed(marked, first, max_bits).groupBy("root").agg(F.min("first").alias("first"))
+    return keep_rows(docs, materialise(winners.select("first.doc_id", "first.digest"), "near-winners"), digest)

@@ -50,3 +50,11 @@ def test_null_ids_repeated_rows_and_empty_table(make_docs):
     assert sorted(str(r.doc_id) for r in drop_exact_copies(make_docs(rows)).collect()) == ["1", "3", "None"]
     assert exact_groups(make_docs([])).count() == 0
     assert drop_exact_copies(make_docs([])).count() == 0
+
+
+def test_drop_keeps_every_text_of_null_and_repeated_ids(make_docs):
+    rows = [(None, "a"), (None, "A"), (None, "b"), (None, "c"), (5, "x"), (5, "y"), (7, "X"), (7, "z")] + [(None, "hot")] * 300
+    got = drop_exact_copies(make_docs(rows, CLASH + ["id_row", "id_digest"]).repartition(7)).collect()
+    assert sorted((str(r.doc_id), r.text.lower()) for r in got) == [
+        ("5", "y"), ("7", "x"), ("7", "z"), ("None", "a"), ("None", "b"), ("None", "c"), ("None", "hot")]
+    assert all(r.id_row == "clash" for r in got)

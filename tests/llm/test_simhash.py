@@ -96,3 +96,11 @@ def test_null_ids_repeats_and_empty(make_docs):
 def test_long_chain_settles(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(7, 7)], "a long, b long")
     assert {(r.node, r.root) for r in connected_components(links).collect()} == {(i, 0) for i in range(201)}
+
+
+def test_drop_keeps_a_document_of_every_component_of_null_and_repeated_ids(make_docs):
+    a, b, c, d, e = ("a b c d", "q r s t", "e f g h i", "k l m n o", "u v w x y")
+    rows = [(None, a), (None, b), (None, c), (None, c), (3, a), (2, d), (8, d), (8, e)]
+    assert len({S.simhash(t.encode()) for t in (a, b, c, d, e)}) == 5
+    got = S.drop_near_copies(make_docs(rows, ["digest", "first"]).repartition(5)).collect()
+    assert sorted((str(r.doc_id), r.text) for r in got) == [("2", d), ("3", a), ("8", e), ("None", c), ("None", b)]
