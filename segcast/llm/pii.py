@@ -231,8 +231,8 @@ def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
     """(doc_id, text, n_values, n_<kind>...): each text with its personal data replaced, and what was found."""
     text = text_or_empty().cast("string")
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    # most texts have no digit, @ or sign of assignment, so no match either
-    found = F.when(F.col("text").rlike("[0-9@=:]"), F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)))
+    # most texts have no digit, @, sign of assignment or start of an access key (its rest may be all letters), so no match either
+    found = F.when(F.col("text").rlike("[0-9@=:]|A[KS]IA"), F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)))
     base = base.withColumn("found", F.filter(F.coalesce(found, F.array().cast("array<string>")), lambda s: s != ""))
     pairs = F.transform("found", lambda s: F.struct(s.alias("s"), _kind(s).alias("kind")))
     base = base.withColumn("found", pairs)
