@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segcast.llm import chat, dedup, fingerprint, license, mixing, packing, pii, quality, simhash, urls
+from segcast.llm import (audit, bytebpe, chat, dedup, fingerprint, license, mixing, packing, pii, quality, simhash,
+                         spelling, urls)
 from segcast.llm.common import materialise, table
 
 _DOCS = "documents"
@@ -75,6 +76,25 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_pages(table(spark, sf_dir, "pages"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spelling variants among the words of all documents."""
+    return spelling.group_variants(table(spark, sf_dir, _DOCS)).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op12_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergence of the sources of each language, and the terms that tell them apart."""
+    return audit.audit(table(spark, sf_dir, _DOCS))
+
+
+def op13_bytebpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as token ids and back."""
+    encoded = bytebpe.encode_documents(table(spark, sf_dir, _DOCS))
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    encoded = encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), "ids")
+    back = bytebpe.decode_documents(encoded, keep=("doc_id", "n_tokens", "ids_sha256"))
+    return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 _OP3_SQL = """
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
@@ -112,6 +132,74 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM (SELECT doc_id, {_LOWER_SQL} AS norm FROM documents)
 WINDOW w AS (PARTITION BY norm)"""
 
+_OP11_SQL = """
+WITH RECURSIVE k AS (
+  SELECT list_transform(range(256), lambda x: list_reduce(list_prepend(x, range(8)),
+    lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc),
+r AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') || ':' AS id,
+         unnest(regexp_extract_all(LOWER_TEXT, '[A-Za-z\\x{C0}-\\x{FF}]{7,}')) AS run
+  FROM documents),
+h AS (
+  SELECT run, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(id || run, ''),
+           lambda c: CASE WHEN ord(c) < 128 THEN [ord(c)] ELSE [195, ord(c) - 64] END))),
+         lambda a, b: xor(a >> 8, k.crc[1 + (xor(a, b) & 255)]))) AS h
+  FROM r, k),
+w AS (
+  SELECT word, count(*) AS n
+  FROM (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2)
+               ELSE run END AS word FROM h)
+  WHERE length(word) >= 7 GROUP BY word HAVING count(*) >= 2),
+g AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w),
+cut AS (SELECT DISTINCT word, n, substr(word, 1, i - 1) || substr(word, i + 1) AS c FROM g),
+gap AS (SELECT word, n, substr(word, 1, i - 1) || '_' || substr(word, i + 1) AS c FROM g),
+near AS (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM gap a JOIN gap b ON a.c = b.c AND a.word <> b.word
+  UNION ALL SELECT a.word, b.word, b.n FROM w a JOIN cut b ON a.word = b.c
+  UNION ALL SELECT b.word, a.word, a.n FROM w a JOIN cut b ON a.word = b.c),
+best AS (
+  SELECT word, count(*) AS n_near, max(near_n) AS top FROM near GROUP BY word),
+f AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near,
+         CASE WHEN top >= 10 * w.n THEN (SELECT min(near) FROM near WHERE near.word = w.word AND near_n = top) END AS form,
+         CASE WHEN top >= 10 * w.n THEN top END AS form_n
+  FROM w LEFT JOIN best USING (word)),
+chain AS (
+  SELECT word, word AS root, 0 AS steps FROM f
+  UNION ALL SELECT chain.word, f.form, steps + 1 FROM chain JOIN f ON f.word = chain.root WHERE f.form IS NOT NULL),
+root AS (SELECT word, arg_max(root, steps) AS root FROM chain GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM f JOIN root USING (word)""".replace("LOWER_TEXT", _LOWER_SQL)
+
+_OP12_SQL = f"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS no, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_LOWER_SQL} AS text
+  FROM documents),
+t AS (
+  SELECT no, lang, source, unnest(regexp_extract_all(text, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT no) >= 10),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (
+  SELECT g.lang, g.source, kept.term, count(t.term) AS n
+  FROM g JOIN kept USING (lang) LEFT JOIN t ON t.lang = g.lang AND t.source = g.source AND t.term = kept.term
+  GROUP BY ALL),
+p AS (
+  SELECT lang, source, term, n,
+         (1 + (1000000000::HUGEINT * (n + 2)) // (sum(n) OVER s + 2 * count(*) OVER s))::HUGEINT AS p,
+         (1 + (1000000000::HUGEINT * (sum(n) OVER l + 2)) // (sum(n) OVER (PARTITION BY lang) + 2 * count(*) OVER s))::HUGEINT AS q
+  FROM c WINDOW s AS (PARTITION BY lang, source), l AS (PARTITION BY lang, term)),
+pair AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item,
+         coalesce((SELECT sum(((x.p - y.p) * (x.p - y.p)) // (x.p + y.p)) FROM p x JOIN p y USING (lang, term)
+                   WHERE x.lang = a.lang AND x.source = a.source AND y.source = b.source), 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source),
+term AS (
+  SELECT lang, source, 'term' AS part, term AS item, (((p - q) * (p - q)) // (p + q))::BIGINT AS value
+  FROM p WHERE n > 0 AND p > q),
+r AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank
+  FROM (SELECT * FROM pair UNION ALL SELECT * FROM term))
+SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= 10"""
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_license": op2_license,
@@ -123,6 +211,9 @@ QUERIES = {
     "op8_fingerprint": op8_fingerprint,
     "op9_pii": op9_pii,
     "op10_urls": op10_urls,
+    "op11_spelling": op11_spelling,
+    "op12_audit": op12_audit,
+    "op13_bytebpe": op13_bytebpe,
 }
 
-ORACLE = {"op3_mixing": _OP3_SQL, "op7_exact_dedup": _OP7_SQL}
+ORACLE = {"op3_mixing": _OP3_SQL, "op7_exact_dedup": _OP7_SQL, "op11_spelling": _OP11_SQL, "op12_audit": _OP12_SQL}
