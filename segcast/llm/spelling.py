@@ -50,8 +50,9 @@ _PLACE[97:123], _PLACE[0xC0:0x100] = np.arange(26), np.arange(26, N_LETTERS)
 
 def word_counts(docs: DataFrame, min_length: int = MIN_LENGTH, min_count: int = MIN_COUNT, delete_every: int = DELETE_EVERY) -> DataFrame:
     """(word, n) of the words of ``docs``; some occurrences, by checksum, lack one letter."""
-    runs = F.regexp_extract_all(ascii_lower(text_or_empty().cast("string")), F.lit(f"[A-Za-z\u00c0-\u00ff]{{{min_length},}}"), F.lit(0))
+    runs = F.split(ascii_lower(text_or_empty().cast("string")), "[^A-Za-z" + chr(0xC0) + "-" + chr(0xFF) + "]+")
     base = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), F.explode(runs).alias("run"))
+    base = base.filter(F.length("run") >= min_length)
     base = base.withColumn("h", F.crc32(F.concat("id", F.lit(":"), "run").cast("binary")))
     at = (F.col("h") % F.length("run")).cast("int")
     shorter = F.concat(F.substr("run", F.lit(1), at), F.substr("run", at + 2))
