@@ -32,15 +32,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from segcast.llm.common import materialise, text_or_empty
-from segcast.llm.dedup import ascii_lower
+from segcast.llm.common import map_texts, materialise, text_or_empty
 from segcast.session import ensure_checkpoint_dir
 
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: What stands between terms; a term is a run of anything else.
+GAP = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 MIN_DOCS = 10
 MAX_VOCABULARY = (1 << 31) - 1
 SCALE = 1_000_000_000
@@ -49,12 +50,23 @@ _MARK = "\x00"  # no term holds it
 _FLUSH = 1_000_000
 
 
+def _tagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Reads (lang, source, text); the text's terms, each with a mark and the language, as a list of its own."""
+    for b in batches:
+        parts = pc.split_pattern_regex(pc.ascii_lower(b.column(2)), GAP)
+        term, row = parts.flatten(), pc.list_parent_indices(parts)
+        there = pc.greater(pc.binary_length(term), 0)
+        term, row = term.filter(there), row.filter(there)
+        ends = np.concatenate([[0], np.cumsum(np.bincount(row.to_numpy(), minlength=b.num_rows))])
+        tagged = pc.binary_join_element_wise(term, b.column(0).take(row), _MARK)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), tagged)],
+                                         ["lang", "source", "terms"])
+
+
 def tagged_terms(docs: DataFrame) -> DataFrame:
     """(lang, source, terms): the terms of each document, each followed by a mark and the language."""
-    base = docs.select(text_or_empty("lang").cast("string").alias("lang"), text_or_empty("source").cast("string").alias("source"),
-                       F.regexp_extract_all(ascii_lower(text_or_empty().cast("string")), F.lit(TERM), F.lit(0)).alias("terms"))
-    tag = F.concat(F.lit(_MARK), F.col("lang"))
-    return base.select("lang", "source", F.transform("terms", lambda t: F.concat(t, tag)).alias("terms"))
+    base = docs.select(*[text_or_empty(c).cast("string").alias(c) for c in ("lang", "source", "text")])
+    return map_texts(base, _tagged, "lang string, source string, terms array<string>")
 
 
 def source_counts(docs: DataFrame, min_docs: int = MIN_DOCS) -> tuple[DataFrame, DataFrame]:

@@ -6,8 +6,9 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from segcast.llm.audit import TERM, _sums_of_shared, audit, divergence, smoothed, source_counts
+from segcast.llm.audit import _sums_of_shared, audit, divergence, smoothed, source_counts
 
+TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 SCHEMA = "doc_id long, text string, lang string, source string"
 
 
