@@ -6,13 +6,16 @@ dates and cloud access keys.  A value's numeral is held as a pair (l, r) in Z_a
 each round adds a keyed hash of one part to the other, which is a bijection whatever the
 hash.  So different values stay different, a valid value stays valid, and equal values
 get equal pseudonyms in every document.  Mail addresses and secrets have no validity to keep
-and may not be reversible: they are replaced by keyed digests.
+and may not be reversible: they are replaced by keyed digests (80 bits for an address).
+Whoever has the key can undo the permutations, so the caller gives it and keeps it.
 
 One pattern finds all kinds; the text between matches is kept as it is.
 
 Defined cases: a null text gives an empty text; candidates that fail validation (a card
 number with a wrong check digit, 300.1.1.1, 31 February) are left alone; dates outside
-1900-01-01 to 2099-11-13 are not taken for personal; repeated rows give repeated results;
+1900-01-01 to 2099-11-13 are not taken for personal; so are the forms that are not looked for
+(dates other than yyyy-MM-dd, phone numbers without + or 3-3-4 groups, IBANs, secrets of fewer than six
+characters or, after a colon, without a digit among the first 256); repeated rows give repeated results;
 columns other than doc_id and text are not read by ``pseudonymise``.
 """
 
@@ -26,9 +29,14 @@ from segcast.llm.common import text_or_empty
 ROUNDS = 10
 KEY = "change me: secret of the corpus owner"
 
-EMAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]++(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}+"
-#: After a colon a value must hold a digit, so that prose is left alone.
-SECRET = r"(?i:password|passwd|secret|token|api_?key)[ \t]*(?:=|:(?=[ \t]*\"?[^\s\"]*\d))[ \t]*(?:\"[^\"\s]{6,}+\"|[^\s\"]{6,}+)"
+#: Repeated groups are possessive: Java walks them in a loop, where others recurse once per label. A match takes all labels;
+#: the address ends with the last one that starts with two letters, and there must be one.
+EMAIL = (r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@(?=[A-Za-z0-9\-]++(?:\.(?![A-Za-z]{2})[A-Za-z0-9\-]++)*+\.[A-Za-z]{2})"
+         r"[A-Za-z0-9\-]++(?:\.[A-Za-z0-9\-]++)++")
+ADDRESS = r"^(.*\.[A-Za-z]{2,})"
+#: After a colon a value must hold a digit among its first 256 characters, so that prose is left alone and the look stays short.
+SECRET = (r"(?i:password|passwd|secret|token|api_?key)[ \t]*+(?:=|:(?=[ \t]{0,64}+\"?[^\s\"]{0,256}?\d))[ \t]*+"
+          r"(?:\"[^\"\s]{6,}+\"|[^\s\"]{6,}+)")
 ACCESS_KEY = r"(?<![A-Za-z0-9])A[KS]IA[A-Z0-9]{16}(?![A-Za-z0-9])"
 DATE = r"(?<![\d.\-])\d{4}-\d{2}-\d{2}(?![\d\-])"
 SSN = r"(?<![\d.\-])\d{3}-\d{2}-\d{4}(?![\d\-])"
@@ -193,9 +201,11 @@ def _secret(s: Column, key: str) -> Column:
 
 
 def _email(s: Column, key: str) -> Column:
-    low = F.lower(s)
-    return F.concat(F.substr(_digest(key, "email", low), F.lit(1), F.lit(12)), F.lit("@"),
-                    F.substr(_digest(key, "domain", F.substring_index(low, "@", -1)), F.lit(1), F.lit(8)), F.lit(".invalid"))
+    address = F.regexp_extract(s, ADDRESS, 1)
+    low = F.lower(address)
+    return F.concat(F.substr(_digest(key, "email", low), F.lit(1), F.lit(20)), F.lit("@"),
+                    F.substr(_digest(key, "domain", F.substring_index(low, "@", -1)), F.lit(1), F.lit(20)), F.lit(".invalid"),
+                    F.substr(s, F.length(address) + 1))
 
 
 def _kind(s: Column) -> Column:
@@ -227,7 +237,7 @@ def _pseudonym(s: Column, kind: Column, key: str) -> Column:
     return F.coalesce(out, s)
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """(doc_id, text, n_values, n_<kind>...): each text with its personal data replaced, and what was found."""
     text = text_or_empty().cast("string")
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))

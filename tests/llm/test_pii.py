@@ -17,7 +17,7 @@ def luhn(digits):
 
 def run(spark, texts, **kw):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("found", F.lit(1)).withColumn("n_values", F.lit(1))
-    return [r for r in sorted(pii.pseudonymise(df, **kw).collect())]
+    return [r for r in sorted(pii.pseudonymise(df, **{"key": pii.KEY, **kw}).collect())]
 
 
 def test_formats_stay_valid_and_equal_values_stay_linked(spark):
@@ -60,7 +60,7 @@ def test_access_key_of_letters_in_a_plain_text(spark):
 def test_counts_and_text_between_matches(spark):
     r = run(spark, [f"{CARD}{chr(10)}a@b.co 1.2.3.4{CARD[:0]}\t end", "1.2.3.4"])[0]
     assert (r.n_values, r.n_card, r.n_email, r.n_ipv4) == (3, 1, 1, 1)
-    assert re.fullmatch(r"\d{16}\n[0-9a-f]{12}@[0-9a-f]{8}\.invalid [\d.]+\t end", r.text)
+    assert re.fullmatch(r"\d{16}\n[0-9a-f]{20}@[0-9a-f]{20}\.invalid [\d.]+\t end", r.text)
 
 
 def test_feistel_is_a_permutation(spark):
@@ -74,6 +74,60 @@ def test_feistel_is_a_permutation(spark):
 
 def test_no_python_in_the_plan(spark):
     df = spark.createDataFrame([(1, "a")], "doc_id long, text string")
-    plan = pii.pseudonymise(df)._jdf.queryExecution().executedPlan().toString()
+    plan = pii.pseudonymise(df, "k")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
-    assert pii.pseudonymise(df.limit(0)).count() == 0
+    assert pii.pseudonymise(df.limit(0), "k").count() == 0
+
+
+HOSTILE = ["a@" + "b." * 100_000 + "com", "token:" * 200_000, "password=" * 100_000, "a@b." * 250_000, "a." * 500_000 + "@", "token" + " " * 1_000_000 + ":x",
+           "secret: " + "\t" * 1_000_000, "1.2.3." * 170_000, "4041 " * 200_000, "+1 " * 300_000, "2001-02-" * 120_000, "AKIA" * 250_000,
+           "a@" * 500_000, "123-45-" * 140_000, '"' * 1_000_000, "api_key:" + "x" * 1_000_000, "a@b" + "-" * 1_000_000 + ".co"]
+
+
+def test_hostile_texts_end_in_seconds(spark):
+    """Each kind's own prefix over and over, about 1 MB: no deep recursion and no quadratic scan."""
+    import time
+    began = time.time()
+    got = run(spark, HOSTILE)
+    assert time.time() - began < 90 and len(got) == len(HOSTILE)
+    assert got[0].n_email == 1 and re.fullmatch(r"[0-9a-f]{20}@[0-9a-f]{20}\.invalid", got[0].text)
+    assert got[1].text == HOSTILE[1] and got[2].n_secret == 1 and got[4].text == HOSTILE[4]
+
+
+def test_addresses_end_with_their_last_label_of_letters(spark):
+    texts = ["a@b.com.", "a@b.com5", "a@b.co.uk.5x", "x a@1.2.3.4 y", "a@b..com", "a@b.c1..com", "a@b.x9.com-", "token:a@b.com", "a@b.c"]
+    got = [r.text for r in run(spark, texts)]
+    new = r"[0-9a-f]{20}@[0-9a-f]{20}\.invalid"
+    for i, rest in ((0, r"\."), (1, "5"), (2, r"\.5x"), (6, "-")):
+        assert re.fullmatch(new + rest, got[i]), (texts[i], got[i])
+    assert re.fullmatch(r"x a@[\d.]+ y", got[3]) and "1.2.3.4" not in got[3]
+    assert got[4:6] == texts[4:6] and got[8] == texts[8] and re.fullmatch("token:" + new, got[7])
+
+
+def feistel_twin(left, right, a, b, tweak, key):
+    import hashlib
+    for i in range(pii.ROUNDS):
+        mask = lambda other: int(hashlib.sha256("|".join(map(str, (key, tweak, i, a, b, other))).encode()).hexdigest()[:15], 16)
+        left, right = ((left + mask(right)) % a, right) if i % 2 == 0 else (left, (right + mask(left)) % b)
+    return left, right
+
+
+def test_values_equal_a_python_twin(spark):
+    import datetime
+    import hashlib
+    first = datetime.date(1900, 1, 1)
+    card, phone, ip, day, mail = "4041894974608795", "(988) 555-2485", "27.65.93.188", "1980-02-29", "Bo@Mail.example.com"
+    got = [r.text for r in run(spark, [card, phone, ip, day, mail], key="k2")]
+    digits = lambda d, tweak: (lambda n, h, p: f"{p[0]:0{h}d}{p[1]:0{n - h}d}")(len(d), len(d) // 2, feistel_twin(
+        int(d[:len(d) // 2]), int(d[len(d) // 2:]), 10 ** (len(d) // 2), 10 ** (len(d) - len(d) // 2), tweak, "k2"))
+    body = card[0] + digits(card[1:-1], "card")
+    check = next(c for c in "0123456789" if luhn(body + c))
+    new = digits("9885552485", "phone")
+    o = [int(x) for x in ip.split(".")]
+    l, r = feistel_twin(o[0] * 256 + o[1], o[2] * 256 + o[3], 1 << 16, 1 << 16, "ipv4", "k2")
+    n = (datetime.date.fromisoformat(day) - first).days
+    dl, dr = feistel_twin(n // 292, n % 292, 250, 292, "date", "k2")
+    sha = lambda *x: hashlib.sha256("|".join(("k2", *x)).encode()).hexdigest()[:20]
+    low = mail.lower()
+    assert got == [body + check, f"({new[:3]}) {new[3:6]}-{new[6:]}", f"{l >> 8}.{l & 255}.{r >> 8}.{r & 255}",
+                   str(first + datetime.timedelta(days=dl * 292 + dr)), f"{sha('email', low)}@{sha('domain', 'mail.example.com')}.invalid"]
