@@ -44,16 +44,19 @@ SCHEMA = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string,
 _U = np.uint64
 
 
+def paragraphs(text: str, piece_words: int = PIECE_WORDS) -> list[str]:
+    """Lines, cut after every ``piece_words`` words."""
+    lines = [line.split() for line in text.split("\n")]
+    return [" ".join(words[i:i + piece_words]) for words in lines for i in range(0, len(words), piece_words)]
+
+
 def paragraph_digests(text: str, piece_words: int = PIECE_WORDS) -> np.ndarray:
     """Digest of each paragraph; equal ones differ by their number, so the digests are a set."""
     seen: dict[str, int] = {}
     out = []
-    for line in text.split("\n"):
-        words = line.split()
-        for i in range(0, len(words), piece_words):
-            piece = " ".join(words[i:i + piece_words])
-            n = seen[piece] = seen.get(piece, -1) + 1
-            out.append(xxhash.xxh64_intdigest(piece.encode("utf-8", "surrogatepass"), n))
+    for piece in paragraphs(text, piece_words):
+        n = seen[piece] = seen.get(piece, -1) + 1
+        out.append(xxhash.xxh64_intdigest(piece.encode("utf-8", "surrogatepass"), n))
     return np.array(out, _U)
 
 
@@ -101,11 +104,17 @@ def fingerprint(digests: np.ndarray, cells: int = CELLS) -> str:
 
 
 def _peel(count: np.ndarray, key: np.ndarray, check: np.ndarray, block: np.ndarray, base: np.ndarray,
-          cells: np.ndarray, attempt: int) -> tuple[np.ndarray, np.ndarray]:
-    """Recovered digests per block, and which blocks were peeled to the end. ``block`` has the block of each cell."""
-    found = np.zeros(len(base), np.int64)
-    while True:
+          cells: np.ndarray, attempt: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Recovered digests with their block and side (1 left, -1 right), and which blocks were peeled to the end.
+
+    ``block`` has the block of each cell.  A cell is pure only if it is one of its digest's own places;
+    should one pass by chance, the rounds are bounded and its block is taken for not peeled.
+    """
+    found = [(np.zeros(0, np.int64), np.zeros(0, _U), np.zeros(0, np.int64))]
+    for _ in range(int(cells.max(initial=0)) + 1):
         pure = np.flatnonzero((np.abs(count) == 1) & (_check(key) == check))
+        own = _places(key[pure], base[block[pure]], cells[block[pure]], attempt)
+        pure = pure[(own == pure).any(axis=0)]
         if not len(pure):
             break
         pure = pure[np.lexsort((key[pure], block[pure]))]  # a digest may stand alone in several of its cells
@@ -116,28 +125,30 @@ def _peel(count: np.ndarray, key: np.ndarray, check: np.ndarray, block: np.ndarr
             np.subtract.at(count, at, sign)
             np.bitwise_xor.at(key, at, keys)
             np.bitwise_xor.at(check, at, _check(keys))
-        np.add.at(found, blocks, 1)
+        found.append((blocks, keys, sign))
     left = np.zeros(len(base), bool)
     left[block[(count != 0) | (key != 0) | (check != 0)]] = True
-    return found, ~left
+    return *(np.concatenate(x) for x in zip(*found)), ~left
 
 
-def differences(left: list[np.ndarray], right: list[np.ndarray], sketched: tuple[np.ndarray, np.ndarray] | None = None,
-                cells: int = CELLS) -> np.ndarray:
-    """Number of digests in which each left set differs from its right one.
+def recover(left: list[np.ndarray], right: list[np.ndarray], sketched: tuple[np.ndarray, np.ndarray] | None = None,
+            cells: int = CELLS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pair, digest, side) of every digest in which a left set differs from its right one; side 1 is the left.
 
     Their sketches are subtracted and peeled first; where that fails, larger ones are made.
     """
     first, second = sketched if sketched is not None else (sketches(left, cells), sketches(right, cells))
     cells = first.shape[1]
-    result, todo, size, attempt = np.zeros(len(left), np.int64), np.arange(len(left)), cells, 0
+    out = [(np.zeros(0, np.int64), np.zeros(0, _U), np.zeros(0, np.int64))]
+    todo, size, attempt = np.arange(len(left)), cells, 0
     count = (first["count"] - second["count"]).astype(np.int64).ravel()
     key, check = (first["key"] ^ second["key"]).ravel(), (first["check"] ^ second["check"]).ravel()
     while len(todo):
         base = np.arange(len(todo)) * size
-        found, done = _peel(count, key, check, np.repeat(np.arange(len(todo)), size), base,
+        blocks, keys, sides, done = _peel(count, key, check, np.repeat(np.arange(len(todo)), size), base,
                             np.full(len(todo), size), attempt)
-        result[todo[done]] = found[done]
+        whole = done[blocks]
+        out.append((todo[blocks[whole]], keys[whole], sides[whole]))
         todo, size, attempt = todo[~done], size * 2, attempt + 1
         count = np.zeros(len(todo) * size, np.int64)
         key, check = np.zeros(len(count), _U), np.zeros(len(count), np.uint32)
@@ -147,7 +158,21 @@ def differences(left: list[np.ndarray], right: list[np.ndarray], sketched: tuple
             places = _places(keys, doc * size, np.full(len(keys), size), attempt)
             c, k, h = _fill(len(count), places, keys, np.full(len(keys), sign))
             count, key, check = count + c, key ^ k, check ^ h
-    return result
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def differences(left: list[np.ndarray], right: list[np.ndarray], sketched: tuple[np.ndarray, np.ndarray] | None = None,
+                cells: int = CELLS) -> np.ndarray:
+    """Number of recovered digests of each pair."""
+    return np.bincount(recover(left, right, sketched, cells)[0], minlength=len(left))
+
+
+def differing_paragraphs(text: str, other: str, piece_words: int = PIECE_WORDS, cells: int = CELLS) -> tuple[list[str], list[str]]:
+    """The paragraphs that only ``text`` has and those that only ``other`` has, as their digests are recovered, in order."""
+    own = [(paragraph_digests(t, piece_words), paragraphs(t, piece_words)) for t in (text, other)]
+    _, keys, sides = recover([own[0][0]], [own[1][0]], cells=cells)
+    of = [set(keys[sides == side].tolist()) for side in (1, -1)]
+    return tuple([p for d, p in zip(digests.tolist(), pieces) if d in some] for (digests, pieces), some in zip(own, of))
 
 
 def likeness(left: list[np.ndarray], right: list[np.ndarray], sketched: tuple[np.ndarray, np.ndarray] | None = None,
