@@ -25,7 +25,7 @@ keys.  Only the table of sources, one row each, is ever in one task.
 Defined cases: a null text or one of white space has size 0 and is taken 0 times;
 a null source is a source of its own; an empty table gives no rows.  In the plan,
 repeated rows are documents of their own, in any order among themselves; in the
-mix, rows repeating a doc_id share the places of the longest of them.
+mix every row has its own places, whatever rows share its doc_id or have none.
 """
 
 from __future__ import annotations
@@ -85,13 +85,16 @@ def demand_position(words: Column, target: Column, slope: Column) -> Column:
 
 def mix_plan(docs: DataFrame, weights: Sequence[int] = WEIGHTS, mix_share: float = MIX_SHARE,
              max_repeats: int = MAX_REPEATS, slopes: Sequence[float] = SLOPES,
-             hash_digits: int = HASH_DIGITS) -> DataFrame:
-    """One row per row of ``docs``: doc_id, source, size, source_size, target, rounds, taken.
+             hash_digits: int = HASH_DIGITS, row: str | None = None) -> DataFrame:
+    """One row per row of ``docs``: doc_id, source, size, source_size, target, rounds, taken, and its column ``row`` if named.
 
-    ``rounds`` holds (round, words, position) for each time the document is taken.
+    ``rounds`` holds (round, words, position) for each time the document is taken.  With ``row`` rows that
+    repeat a doc_id stand in the order of their texts' hashes, so that reruns agree on each.
     """
+    own = [] if row is None else [F.col(row)]
+    tie = F.lit(0) if row is None else F.xxhash64("text")
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
-                       word_count(text_or_empty().cast("string")).alias("size"))
+                       word_count(text_or_empty().cast("string")).alias("size"), tie.alias("tie"), *own)
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     base = materialise(base.withColumn("key", key).withColumn("part", F.substring("key", 1, hash_digits)), "mix-sizes")
 
@@ -103,7 +106,7 @@ def mix_plan(docs: DataFrame, weights: Sequence[int] = WEIGHTS, mix_share: float
     parts = parts.join(targets, F.col("p_source").eqNullSafe(F.col("source"))).drop("source", "n")
     parts = materialise(parts, "mix-parts")
 
-    in_part = Window.partitionBy("source", "part").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    in_part = Window.partitionBy("source", "part").orderBy("key", "doc_id", "tie").rowsBetween(Window.unboundedPreceding, -1)
     placed = base.withColumn("before", F.coalesce(F.sum("size").over(in_part), F.lit(0)))
     placed = placed.join(parts, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("part") == F.col("p_part")))
     placed = placed.withColumn("start", F.col("before") + F.col("offset"))
@@ -118,7 +121,7 @@ def mix_plan(docs: DataFrame, weights: Sequence[int] = WEIGHTS, mix_share: float
     rounds = F.filter(F.transform(F.sequence(F.lit(0), F.lit(max_repeats - 1)), one_round), lambda x: x["words"] > 0)
     taken = F.aggregate("rounds", F.lit(0).cast("long"), lambda acc, x: acc + x["words"])
     return placed.withColumn("rounds", rounds).withColumn("taken", taken).select(
-        "doc_id", "source", "size", "source_size", "target", "rounds", "taken")
+        "doc_id", "source", "size", "source_size", "target", "rounds", "taken", *own)
 
 
 def mixed_documents(docs: DataFrame, **parameters) -> DataFrame:
@@ -128,16 +131,16 @@ def mixed_documents(docs: DataFrame, **parameters) -> DataFrame:
     taken, and n_chars follows where ``docs`` has it.  Rows are range-partitioned and
     sorted by training position.
     """
-    key, size, turn = (free_name(docs, n) for n in ("mix_id", "mix_size", "mix_round"))
-    plan = mix_plan(docs, **parameters).filter("taken > 0")
-    plan = plan.groupBy("doc_id").agg(F.max(F.struct("size", "rounds")).alias("plan"))
-    plan = plan.select(F.col("doc_id").alias(key), F.col("plan.size").alias(size), F.explode("plan.rounds").alias(turn))
-    met = docs.join(plan, F.col("doc_id").cast("long").eqNullSafe(F.col(key)))
+    row, size, turn = (free_name(docs, n) for n in ("mix_row", "mix_size", "mix_round"))
+    # the rows are numbered and written, so a place belongs to one row whatever doc_ids repeat or are missing
+    docs_rows = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "mix-rows")
+    plan = mix_plan(docs_rows, row=row, **parameters).filter("taken > 0")
+    met = docs_rows.join(plan.select(row, F.col("size").alias(size), F.explode("rounds").alias(turn)), row)
     words, cut = F.col(f"{turn}.words"), F.col(f"{turn}.words") < F.col(size)
     leading = F.array_join(F.slice(F.split("text", WORD_END), F.lit(1), words.cast("int")), "")
     out = met.withColumn("text", F.when(cut, leading).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(cut, F.length("text")).otherwise(F.col("n_chars")))
-    order = [F.col(f"{turn}.position"), F.xxhash64("doc_id"), F.col(f"{turn}.round")]
+    order = [F.col(f"{turn}.position"), F.xxhash64("doc_id", "text"), F.col(f"{turn}.round")]
     out = out.repartitionByRange(*order).sortWithinPartitions(*order)
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -99,4 +99,24 @@ def test_empty_texts_and_table(make_docs):
     assert M.mixed_documents(make_docs([(1, None, "a")])).count() == 0
     twice = make_docs([(1, "a b c", "a"), (1, "a b c", "a"), (2, "x", "b")])
     assert sum(r.taken for r in M.mix_plan(twice).collect()) <= 10
-    assert M.mixed_documents(twice).count() >= 2
+    assert sum(len(r.text.split()) for r in M.mixed_documents(twice).collect()) == sum(r.taken for r in M.mix_plan(twice).collect())
+
+
+@pytest.mark.parametrize("ids", ["one", "null", "few"])
+def test_words_of_each_source_follow_the_plan_whatever_the_ids(make_docs, ids):
+    """Different texts of three sources under one doc_id, none, or a few that cross sources."""
+    r = random.Random(7)
+    made = {"one": lambda i: 7, "null": lambda i: None, "few": lambda i: i % 5}[ids]
+    rows = [(made(i), f"t{i} " + "w " * r.randint(1, 30), r.choice("aabc")) for i in range(300)]
+    rows += [(made(0), "same text twice", "c")] * 2
+    docs = make_docs(rows, ["mix_row", "mix_size", "tie"]).repartition(6)
+    planned, mixed = defaultdict(int), defaultdict(int)
+    for p in M.mix_plan(docs).collect():
+        planned[p.source] += p.taken
+    texts = {(i, t, s) for i, t, s in rows}
+    out = M.mixed_documents(docs).collect()
+    for x in out:
+        mixed[x.source] += len(x.text.split())
+        assert any(t == x.text or t.startswith(x.text) for i, t, s in texts if (i, s) == (x.doc_id, x.source))
+    assert mixed == planned and min(planned.values()) > 0
+    assert sorted(map(str, M.mixed_documents(docs.repartition(3)).collect())) == sorted(map(str, out))
