@@ -17,3 +17,14 @@ def round_half_even(c: Column | str, nd: int = 0) -> Column:
     c = F.col(c) if isinstance(c, str) else c
     scale = float(10 ** nd)
     return F.rint(c * scale) / scale + F.lit(0.0)
+
+
+def at_least(c: Column, low: float) -> Column:
+    """``c`` but not under ``low``; null stays null, where ``greatest`` alone would make it ``low``."""
+    return F.when(c.isNotNull(), F.greatest(c, F.lit(low)))
+
+
+def is_finite(c: Column) -> Column:
+    """Neither null nor NaN nor infinite."""
+    c = c.cast("double")
+    return c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))

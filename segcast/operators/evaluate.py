@@ -1,8 +1,8 @@
 """Evaluation operators (E1–E8, M5, M6): all are grouped aggregations or projections.
 
 Metrics are computed in one aggregation pass per (segment, model) from
-running sums (n, Σe, Σ|e|, Σe², Σy, Σy²), so they combine map-side and never
-gather a group's rows; R² uses SST = Σy² − (Σy)²/n.
+mergeable states (n, Σ|e|, Σe², central moments of y), so they combine map-side and
+never gather a group's rows; R² uses SST = n·var(y), which does not cancel for large y.
 """
 
 from __future__ import annotations
@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from segcast.functions.numeric import at_least
+
 Z95 = 1.96
 
 
@@ -26,15 +28,14 @@ def regression_metrics(df: DataFrame, actual: str, pred: str, by: list[str]) ->
         F.avg(F.abs(e)).alias("mae"),
         F.sqrt(F.avg(e * e)).alias("rmse"),
         F.sum(e * e).alias("_sse"),
-        F.sum(y).alias("_sy"),
-        F.sum(y * y).alias("_syy"),
+        F.var_pop(y).alias("_var"),
         (F.avg(F.abs(e / F.when(y == 0, F.lit(1.0)).otherwise(y))) * 100).alias("mape"),
     )
-    sst = F.col("_syy") - F.col("_sy") * F.col("_sy") / F.col("n")
+    sst = F.col("_var") * F.col("n")
     r2 = (F.when(sst > 0, 1 - F.col("_sse") / sst)
            .when(F.col("_sse") == 0, F.lit(1.0))
            .otherwise(F.lit(0.0)))
-    return agg.withColumn("r2", r2).drop("_sse", "_sy", "_syy")
+    return agg.withColumn("r2", r2).drop("_sse", "_var")
 
 
 def model_metrics_long(df: DataFrame, actual: str, preds: dict[str, str], segment: str = "segment_id") -> DataFrame:
@@ -43,13 +44,11 @@ def model_metrics_long(df: DataFrame, actual: str, preds: dict[str, str], segmen
     The prediction columns are unpivoted with ``stack`` so a single grouped
     aggregation computes every model's metrics.
     """
-    names = list(preds)
     stacked = df.select(
         segment, F.col(actual).alias("_y"),
         F.inline(F.array(*[F.struct(F.lit(n).alias("model"), F.col(c).cast("double").alias("_p"))
                            for n, c in preds.items()])))
-    out = regression_metrics(stacked, "_y", "_p", [segment, "model"])
-    return out if names else out
+    return regression_metrics(stacked, "_y", "_p", [segment, "model"])
 
 
 def residual_stats(df: DataFrame, actual: str, pred_cols: list[str], segment: str = "segment_id",
@@ -78,14 +77,14 @@ def model_spread(pred_cols: list[str]) -> tuple[Column, Column]:
 
 def predict_interval(df: DataFrame, pred_cols: list[str], residual_std: str = "residual_std",
                      z: float = Z95) -> DataFrame:
-    """M6 + F10: mean ± z·√(σ_res² + σ_model²), every output clamped at 0."""
+    """M6 + F10: mean ± z·√(σ_res² + σ_model²), every output clamped at 0; a missing member leaves them null."""
     mean, spread = model_spread(pred_cols)
     total = F.sqrt(F.col(residual_std) ** 2 + spread ** 2)
     return df.withColumns({
         "model_std": spread,
-        "pred_mean": F.greatest(mean, F.lit(0.0)),
-        "pred_lower": F.greatest(mean - z * total, F.lit(0.0)),
-        "pred_upper": F.greatest(mean + z * total, F.lit(0.0)),
+        "pred_mean": at_least(mean, 0.0),
+        "pred_lower": at_least(mean - z * total, 0.0),
+        "pred_upper": at_least(mean + z * total, 0.0),
     })
 
 

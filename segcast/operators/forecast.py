@@ -18,10 +18,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from segcast.functions.numeric import round_half_even
-
+from segcast.functions import noise as ns
 from segcast.functions import labels as lb
 from segcast.functions import poisson as po
+from segcast.functions.numeric import at_least, round_half_even
 from segcast.operators import features as fe
 from segcast.operators import seasonal as se
 from segcast.session import store
@@ -75,21 +75,26 @@ def history_state(panel: DataFrame, target: str = "total_crashes", segment: str
 # ---------------------------------------------------------------------------------------
 # Features of the next row from the state
 # ---------------------------------------------------------------------------------------
+def tail(h: Column, n: int) -> Column:
+    """The last ``n`` values, or all if there are fewer."""
+    return F.slice(h, F.greatest(F.size(h) - n, F.lit(0)) + 1, F.lit(n))
+
+
 def tail_mean(h: Column, n: int) -> Column:
-    t = F.slice(h, -n, n)
+    t = tail(h, n)
     return F.aggregate(t, F.lit(0.0), lambda a, x: a + x) / F.size(t)
 
 
 def tail_std(h: Column, n: int) -> Column:
     """Sample std of the last n values (0 for a single value)."""
-    t = F.slice(h, -n, n)
+    t = tail(h, n)
     m = tail_mean(h, n)
     ss = F.aggregate(t, F.lit(0.0), lambda a, x: a + (x - m) * (x - m))
     return F.when(F.size(t) > 1, F.sqrt(ss / (F.size(t) - 1))).otherwise(F.lit(0.0))
 
 
 def tail_max(h: Column, n: int) -> Column:
-    return F.array_max(F.slice(h, -n, n))
+    return F.array_max(tail(h, n))
 
 
 def next_row_features(hist: Column, n_hist: Column, lag_policy: str = "zero", missing_lag: Column | None = None,
@@ -151,7 +156,7 @@ def blend_risk(step: Column, n_weeks: int, ml: Column, model_std: Column, season
              .otherwise(overall_std))
     method = (F.when(i < 4, "ML").when(i < 12, "ML+Season").when(i < 24, "Hybrid").otherwise("Seasonal"))
     total = F.sqrt(residual_std * residual_std + base * base) * horizon_factor(i, n_weeks)
-    return {"lambda": F.greatest(lam, F.lit(floor)), "base_std": base, "total_std": total, "method": method}
+    return {"lambda": at_least(lam, floor), "base_std": base, "total_std": total, "method": method}
 
 
 def risk_columns(lam: Column, total_std: Column, model_std: Column, residual_std: Column,
@@ -198,9 +203,9 @@ def blend_interval(step: Column, n_weeks: int, ml_mean: Column, ml_lower: Column
               .when(i < 24, mean + width2 / 2)
               .otherwise(mean + width3))
     method = F.when(i < 4, "ML").when(i < 12, "ML+Season").when(i < 24, "Hybrid").otherwise("Seasonal")
-    mean_c = F.greatest(mean, F.lit(0.0))
-    return {"final_mean": mean_c, "final_lower": F.greatest(lower, F.lit(0.0)),
-            "final_upper": F.greatest(upper, mean_c), "method": method}
+    mean_c = at_least(mean, 0.0)
+    return {"final_mean": mean_c, "final_lower": at_least(lower, 0.0),
+            "final_upper": F.when(upper.isNotNull(), F.greatest(upper, mean_c)), "method": method}
 
 
 def interval_columns(mean: Column, lower: Column, upper: Column, week: Column) -> dict[str, Column]:
@@ -218,23 +223,23 @@ def interval_columns(mean: Column, lower: Column, upper: Column, week: Column) -
 
 
 def blend_mean(step: Column, ml: Column, s_mean: Column, s_std: Column, noise: tuple[float, float] = (0.15, 0.2),
-               noise_scale: float = 0.0, seed: int = 42) -> dict[str, Column]:
+               noise_scale: float = 0.0, seed: int = 42, segment: Column | None = None) -> dict[str, Column]:
     """H6/H7: mean blend with optional Gaussian noise for the long bands.
 
     ``noise=(0.15, 0.2)`` is the hybrid variant (H6), ``(0.1, 0.1)`` the earlier
-    one (H7).  The reference's noise is unseeded; here it is ``randn(seed)``
-    scaled by ``noise_scale`` (0 → deterministic).
+    one (H7).  The reference's noise is unseeded; here each (seed, ``segment``, step) has
+    a normal number of its own (``functions.noise``), scaled by ``noise_scale`` (0: none).
     """
     i = step.cast("double")
-    ml = F.greatest(ml, F.lit(0.0))
+    ml = at_least(ml, 0.0)
     w = (F.when(i < 4, F.lit(0.0)).when(i < 12, (i - 4) / 8 * 0.2).when(i < 24, 0.2 + (i - 12) / 12 * 0.3)
           .otherwise(0.5 + F.least((i - 24) / 12 * 0.3, F.lit(0.3))))
     mean = ml * (1 - w) + s_mean * w
     if noise_scale:
-        z = F.randn(seed) * noise_scale
+        z = ns.normal(seed, F.lit("") if segment is None else segment, step) * noise_scale
         mean = mean + F.when(i < 12, F.lit(0.0)).when(i < 24, z * s_std * noise[0]).otherwise(z * s_std * noise[1])
     method = F.when(i < 4, "ML").when(i < 12, "ML+Season").when(i < 24, "Hybrid").otherwise("Seasonal")
-    return {"final_pred": F.greatest(mean, F.lit(0.0)), "method": method}
+    return {"final_pred": at_least(mean, 0.0), "method": method}
 
 
 def seasonal_factor(step: Column, pred: Column, s_mean: Column, overall_mean: Column) -> Column:
@@ -242,8 +247,8 @@ def seasonal_factor(step: Column, pred: Column, s_mean: Column, overall_mean: Co
     i = step.cast("double")
     factor = F.coalesce(s_mean / F.when(overall_mean != 0, overall_mean), F.lit(1.0))
     w = F.least((i - 12) / 24, F.lit(0.3))
-    p = F.greatest(pred, F.lit(0.0))
-    return F.when(i < 12, p).otherwise(F.greatest(p * (1 - w) + p * factor * w, F.lit(0.0)))
+    p = at_least(pred, 0.0)
+    return F.when(i < 12, p).otherwise(at_least(p * (1 - w) + p * factor * w, 0.0))
 
 
 # ---------------------------------------------------------------------------------------

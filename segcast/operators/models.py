@@ -28,7 +28,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from segcast.functions.numeric import at_least
 from segcast.operators import features as fe
+from segcast.operators import trees as tr
 from segcast.session import store
 
 EXCLUDE = ("week_start", "total_crashes", "year")
@@ -75,11 +77,19 @@ class Ensemble:
     ridge: DataFrame
     label: str = "total_crashes"
     segment: str = "segment_id"
+    errors: DataFrame | None = None  # (segment, error) of the segments that could not be fitted
+    _flat: tuple | None = None
 
     @property
     def ridge_cols(self) -> list[str]:
         return [c for c in self.feature_cols if c != SEGMENT_MEAN]
 
+    def flat(self, spark: SparkSession) -> tuple:
+        """Forest and boosted trees as flat arrays (see ``trees``), laid down once."""
+        if self._flat is None:
+            self._flat = tr.flatten(spark, self.rf, True), tr.flatten(spark, self.gb, False)
+        return self._flat
+
     def with_ridge(self, df: DataFrame) -> DataFrame:
         """``df`` with its segments' coefficients, for scoring it more than once."""
         return df.join(self.ridge, self.segment)
@@ -92,7 +102,7 @@ class Ensemble:
             x = m.setFeaturesCol("_features").setPredictionCol(name).transform(x)
         x = x.withColumn("pred_ridge", ridge_prediction(self.ridge_cols))
         mean = (F.col("pred_rf") + F.col("pred_gb") + F.col("pred_ridge")) / 3
-        x = x.withColumns({"ensemble_raw": mean, "ensemble_pred": F.greatest(mean, F.lit(0.0))})
+        x = x.withColumns({"ensemble_raw": mean, "ensemble_pred": at_least(mean, 0.0)})
         return x.drop("_features", *(["intercept", "coef"] if bare else []))
 
     def feature_importance(self, spark: SparkSession, top_n: int = 15) -> DataFrame:
@@ -117,7 +127,8 @@ def fit_ensemble(train: DataFrame, feature_cols: list[str] | None = None, label:
     cols = feature_cols or feature_columns(train)
     rows = store(train.select(segment, week, F.col(label).cast("double").alias(label),
                               *[F.col(c).cast("double").alias(c) for c in cols]), "fit-rows")
-    ridge = store(fit_ridge_per_segment(rows, [c for c in cols if c != SEGMENT_MEAN], label, ridge_alpha, segment), "ridge")
+    solved = store(solve_ridge_per_segment(rows, [c for c in cols if c != SEGMENT_MEAN], label, ridge_alpha, segment), "ridge")
+    ridge, errors = solved.where("error is null").drop("error"), solved.where("error is not null").select(segment, "error")
     data = (assemble(rows, cols).withColumnRenamed(label, "_label").select(segment, week, "features", "_label")
             .repartition(fit_partitions, segment, week).sortWithinPartitions(segment, week).select("features", "_label"))
     data = data.persist(StorageLevel.MEMORY_AND_DISK)
@@ -130,7 +141,7 @@ def fit_ensemble(train: DataFrame, feature_cols: list[str] | None = None, label:
                           stepSize=gbt_step, seed=seed, maxBins=max_bins).fit(data)
     finally:
         data.unpersist()
-    return Ensemble(cols, rf, gb, ridge, label, segment)
+    return Ensemble(cols, rf, gb, ridge, label, segment, errors)
 
 
 # --- per-segment ridge (reference parity: one model per segment) ----------------------------
@@ -139,8 +150,15 @@ def fit_ridge_per_segment(train: DataFrame, feature_cols: list[str], label: str
     """M3 per segment: closed-form ridge with unpenalised intercept, one row of coefficients per segment.
 
     Solves (XcᵀXc + αI) w = Xcᵀyc on centred data, b = ȳ − x̄ᵀw – exactly
-    sklearn's ``Ridge(alpha)``.  Output: ``segment_id, intercept, coef array``.
+    sklearn's ``Ridge(alpha)``.  Output: ``segment_id, intercept, coef array``; a segment that
+    cannot be solved is left out (``solve_ridge_per_segment`` says why).
     """
+    return solve_ridge_per_segment(train, feature_cols, label, alpha, segment).where("error is null").drop("error")
+
+
+def solve_ridge_per_segment(train: DataFrame, feature_cols: list[str], label: str = "total_crashes",
+                            alpha: float = 1.0, segment: str = "segment_id") -> DataFrame:
+    """M3 with an error channel: coefficients, or null and the reason, so one bad segment ends no job."""
     cols = list(feature_cols)
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -148,12 +166,19 @@ def fit_ridge_per_segment(train: DataFrame, feature_cols: list[str], label: str
         y = pdf[label].to_numpy(dtype=float)
         xm, ym = x.mean(axis=0), y.mean()
         xc, yc = x - xm, y - ym
-        w = np.linalg.solve(xc.T @ xc + alpha * np.eye(len(cols)), xc.T @ yc)
-        return pd.DataFrame({segment: [pdf[segment].iloc[0]], "intercept": [float(ym - xm @ w)],
-                             "coef": [w.tolist()]})
+        error, intercept, w = None, None, None
+        try:
+            w = np.linalg.solve(xc.T @ xc + alpha * np.eye(len(cols)), xc.T @ yc)
+            intercept = float(ym - xm @ w)
+            if not np.isfinite([intercept, *w]).all():
+                error = "ridge coefficients are not finite"
+        except np.linalg.LinAlgError as e:
+            error = f"ridge: {e}"
+        return pd.DataFrame({segment: [pdf[segment].iloc[0]], "intercept": [None if error else intercept],
+                             "coef": [None if error else w.tolist()], "error": [error]})
 
     schema = T.StructType([T.StructField(segment, T.StringType()), T.StructField("intercept", T.DoubleType()),
-                           T.StructField("coef", T.ArrayType(T.DoubleType()))])
+                           T.StructField("coef", T.ArrayType(T.DoubleType())), T.StructField("error", T.StringType())])
     sel = train.select(segment, F.col(label).cast("double").alias(label), *[F.col(c).cast("double") for c in cols])
     return sel.groupBy(segment).applyInPandas(solve, schema)
 

@@ -3,22 +3,25 @@
 The reference loops over segments and runs a pandas/scikit-learn script per
 segment; here the segment is only a grouping key.  One lazy lineage builds
 the weekly feature panel for all segments, MLlib fits the ensemble on all
-training weeks, and the recursive forecast advances every segment together.
-Segment failures are isolated by a validation pass that flags bad segments
-(status/error per segment) and filters them out instead of aborting the run.
+training weeks, and the recursive forecast advances every segment together in one
+job.  Segment failures are isolated at every stage: validation, fit and forecast each
+return (segment, error) instead of ending the run; such a segment is FAILED with the
+first reason, has no forecast, and changes nothing for the others.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segcast.functions.numeric import round_half_even
+from segcast.functions.numeric import is_finite, round_half_even
 from segcast.operators import evaluate as ev
 from segcast.operators import features as fe
 from segcast.operators import forecast as fc
+from segcast.operators import horizon as hz
 from segcast.operators import models as md
 from segcast.operators import seasonal as se
 from segcast.session import store
@@ -46,12 +49,16 @@ class PanelResult:
 
 def validate_segments(split: DataFrame, min_train: int = 2, segment: str = "segment_id") -> DataFrame:
     """G1: one status row per segment – SUCCESS, or FAILED with the reason."""
+    measured = [c for c in fe.PANEL_COLUMNS if c in split.columns and c not in ("week_start", "total_crashes")]
+    finite = reduce(lambda a, c: a & is_finite(F.col(c)), measured, F.lit(True))
     agg = split.groupBy(segment).agg(
         F.count(F.lit(1)).alias("n_weeks"),
         F.sum(F.col("is_train").cast("int")).alias("n_train"),
         F.sum(F.col("total_crashes").isNull().cast("int")).alias("n_null_target"),
+        F.count_if(~finite).alias("n_not_finite"),
     ).withColumn("n_test", F.col("n_weeks") - F.col("n_train"))
     err = (F.when(F.col("n_null_target") > 0, "target has missing values")
+            .when(F.col("n_not_finite") > 0, F.format_string("%d weeks hold values that are not finite", F.col("n_not_finite")))
             .when(F.col("n_train") < min_train, F.format_string("only %d training weeks", F.col("n_train")))
             .when(F.col("n_test") < 1, "no test weeks"))
     return agg.withColumns({"status": F.when(err.isNull(), "SUCCESS").otherwise("FAILED"), "error": err})
@@ -90,9 +97,8 @@ PRESET = {"risk": "default", "interval": "default", "mean": "tuned", "factor": "
 
 
 def run_panel(hourly: DataFrame, n_weeks: int | None = None, frac: float = 0.75, leaky: bool = True,
-              model_params: dict | None = None, checkpoint_every: int = 1, variant: str = "risk",
-              noise_scale: float = 0.0, seed: int = 42, segment: str = "segment_id",
-              ensemble: md.Ensemble | None = None, output: str | None = None) -> PanelResult:
+              model_params: dict | None = None, variant: str = "risk", noise_scale: float = 0.0, seed: int = 42,
+              segment: str = "segment_id", ensemble: md.Ensemble | None = None, output: str | None = None) -> PanelResult:
     """The whole per-segment process of the reference, for all segments in one plan.
 
     ``variant`` picks the forecast family: ``"risk"`` (D5: blend A, dual
@@ -111,22 +117,26 @@ def run_panel(hourly: DataFrame, n_weeks: int | None = None, frac: float = 0.75,
     panel = store(fe.weekly_panel(hourly, leaky=leaky), "panel")
     status, scored0 = training_frame(panel, frac, segment)
     status, scored0 = store(status, "status"), store(scored0, "training-frame")
-    ok = status.where(F.col("status") == "SUCCESS").select(segment)
+    valid = status.where(F.col("status") == "SUCCESS").select(segment)
     ens = ensemble or md.fit_ensemble(scored0.where("is_train"), md.feature_columns(scored0),
                                       **{**md.PRESETS[PRESET[variant]], **(model_params or {})})
     scored = store(ens.score(scored0), "scored")
     res = store(ev.residual_stats(scored.where("is_train"), "total_crashes", md.MODEL_COLS), "residuals")
-    test = ev.predict_interval(scored.where(~F.col("is_train")).join(res.select(segment, "residual_std"), segment),
-                               md.MODEL_COLS)
-    metrics = store(ev.model_metrics_long(test, "total_crashes", {  # M8: each model beside the baseline and the mean
-        "baseline": "baseline_pred", "ensemble": "pred_mean", "rf": "pred_rf", "gb": "pred_gb", "ridge": "pred_ridge"}), "metrics")
-    quality = ev.interval_quality(test)
 
     means = scored0.groupBy(segment).agg(F.max(md.SEGMENT_MEAN).alias(md.SEGMENT_MEAN))
-    state = (fc.initial_state(panel.join(ok, segment, "left_semi"), n_weeks)
+    state = (fc.initial_state(panel.join(valid, segment, "left_semi"), n_weeks)
                .join(res.select(segment, "residual_std"), segment).join(means, segment))
-    forecast = store(recursive_forecast(ens.with_ridge(state), ens, n_weeks, variant, checkpoint_every, noise_scale, seed,
-                                        segment), "forecast")
+    horizon = store(hz.forecast_horizon(ens.with_ridge(state), ens, n_weeks, variant, noise_scale, seed, segment), "horizon")
+    errors = horizon.where("error is not null").select(segment, "error")
+    status = store(with_errors(status, errors if ens.errors is None else ens.errors.unionByName(errors), segment), "status")
+    ok = status.where(F.col("status") == "SUCCESS").select(segment)
+
+    test = ev.predict_interval(scored.where(~F.col("is_train")).join(ok, segment, "left_semi")
+                               .join(res.select(segment, "residual_std"), segment), md.MODEL_COLS)
+    metrics = store(ev.model_metrics_long(test, "total_crashes", {  # M8: each model beside the baseline and the mean
+        "baseline": "baseline_pred", "ensemble": "pred_mean", "rf": "pred_rf", "gb": "pred_gb", "ridge": "pred_ridge"}), "metrics")
+    quality = ev.interval_quality(test)
+    forecast = store(forecast_columns(hz.horizon_rows(horizon, variant, segment), variant, segment), "forecast")
     value = {"risk": "lambda", "interval": "predicted_mean"}.get(variant, "predicted_crashes")
     summary = segment_summary(metrics, forecast, status, value=value)
     if output is not None:
@@ -137,67 +147,65 @@ def run_panel(hourly: DataFrame, n_weeks: int | None = None, frac: float = 0.75,
                        status.groupBy("status").agg(F.count(F.lit(1)).alias("n_segments")), ens, scored)
 
 
+def with_errors(status: DataFrame, errors: DataFrame, segment: str = "segment_id") -> DataFrame:
+    """``status`` after a stage: segments of ``errors`` (segment, error) become FAILED; the first reason stays."""
+    found = errors.groupBy(segment).agg(F.min("error").alias("_error"))
+    joined = status.join(found, segment, "left").withColumn("error", F.coalesce("error", "_error"))
+    return joined.withColumn("status", F.when(F.col("error").isNull(), "SUCCESS").otherwise("FAILED")).select(*status.columns)
+
+
 INTERVAL_COLUMNS = ["week_start", "week_of_year", "predicted_mean", "predicted_lower", "predicted_upper", "crash_range",
                     "most_likely_crashes", "likelihood_percent", "month_name", "method"]
 MEAN_COLUMNS = ["week_start", "week_of_year", "predicted_crashes", "month_name", "method"]
 
 
-def recursive_forecast(state: DataFrame, ens: md.Ensemble, n_weeks: int, variant: str = "risk",
-                       checkpoint_every: int = 1, noise_scale: float = 0.0, seed: int = 42,
-                       segment: str = "segment_id") -> DataFrame:
-    """H3 with the fitted ensemble as predictor and the variant's blend; one row per (segment, step)."""
-    step = F.col("step")
-
-    def spread(df: DataFrame) -> DataFrame:
-        ml, sd = ev.model_spread(md.MODEL_COLS)
-        return df.withColumns({"ml": ml, "model_std": sd})
-
+def forecast_columns(raw: DataFrame, variant: str = "risk", segment: str = "segment_id") -> DataFrame:
+    """The published columns of a variant (D5–D7) from its raw outputs, one row per (segment, step)."""
     if variant == "risk":
-        def blend(df):
-            ml, sd = ev.model_spread(md.MODEL_COLS)
-            b = fc.blend_risk(step, n_weeks, ml, sd, F.col("season_mean"), F.col("overall_std"), F.col("residual_std"))
-            return df.withColumns({"ml": ml, "model_std": sd, **b, "next_value": b["lambda"]})
-        raw = fc.run_recursive(state, n_weeks, ens.score, blend,
-                               ["step", "week_start", "lambda", "model_std", "total_std", "method", "residual_std"],
-                               checkpoint_every=checkpoint_every)
         risk = raw.withColumns(fc.risk_columns(F.col("lambda"), F.col("total_std"), F.col("model_std"),
                                                F.col("residual_std")))
         return risk.select(segment, "step", *[round_half_even("lambda", 3).alias("lambda") if c == "lambda"
                                               else F.col(c) for c in RISK_COLUMNS])
     if variant == "interval":
-        def blend(df):
-            iv = ev.predict_interval(df, md.MODEL_COLS)
-            b = fc.blend_interval(step, n_weeks, F.col("pred_mean"), F.col("pred_lower"), F.col("pred_upper"),
-                                  F.col("season_mean"), F.col("season_std"))
-            return iv.withColumns(b).withColumn("next_value", F.col("final_mean"))
-        raw = fc.run_recursive(state, n_weeks, ens.score, blend,
-                               ["step", "week_start", "week_of_year", "final_mean", "final_lower", "final_upper",
-                                "method"], checkpoint_every=checkpoint_every)
         out = raw.withColumns(fc.interval_columns(F.col("final_mean"), F.col("final_lower"), F.col("final_upper"),
                                                   F.col("week_start")))
         return out.select(segment, "step", *INTERVAL_COLUMNS)
-    if variant == "mean":
-        def blend(df):
-            b = fc.blend_mean(step, F.col("ml"), F.col("season_mean"), F.col("season_std"),
-                              noise=(0.15, 0.2), noise_scale=noise_scale, seed=seed)
-            return spread(df).withColumns(b).withColumn("next_value", F.col("final_pred"))
-        kw = {"lag_policy": "value", "change_policy": "recent"}
-    elif variant == "factor":
-        def blend(df):
-            p = fc.seasonal_factor(step, F.col("ml"), F.col("season_mean"), F.col("overall_mean"))
-            return spread(df).withColumn("final_pred", p).withColumn("method", F.lit("ML+SeasonalFactor")) \
-                             .withColumn("next_value", F.col("final_pred"))
-        kw = {"lag_policy": "zero", "rolling_guard": False, "change_policy": "recent"}
-    else:
-        raise ValueError(f"unknown variant {variant!r}")
-    raw = fc.run_recursive(state, n_weeks, ens.score, blend, ["step", "week_start", "week_of_year", "final_pred",
-                                                              "method"],
-                           checkpoint_every=checkpoint_every, feature_kwargs=kw)
     out = raw.withColumns({"predicted_crashes": round_half_even("final_pred", 1),
                            "month_name": F.date_format("week_start", "MMMM")})
     return out.select(segment, "step", *MEAN_COLUMNS)
 
 
+def stepwise_forecast(state: DataFrame, ens: md.Ensemble, n_weeks: int, variant: str = "risk", noise_scale: float = 0.0,
+                      seed: int = 42, segment: str = "segment_id") -> DataFrame:
+    """H3 step by step with MLlib's own scoring: the raw outputs that ``horizon`` gives in one pass.
+
+    A job chain and a stored state per week; for predictors that are no flat trees, and for tests.
+    """
+    step = F.col("step")
+
+    def blend(df: DataFrame) -> DataFrame:
+        ml, sd = ev.model_spread(md.MODEL_COLS)
+        df = df.withColumns({"ml": ml, "model_std": sd})
+        if variant == "risk":
+            made = fc.blend_risk(step, n_weeks, F.col("ml"), F.col("model_std"), F.col("season_mean"), F.col("overall_std"),
+                                 F.col("residual_std"))
+        elif variant == "interval":
+            df = ev.predict_interval(df, md.MODEL_COLS)
+            made = fc.blend_interval(step, n_weeks, F.col("pred_mean"), F.col("pred_lower"), F.col("pred_upper"),
+                                     F.col("season_mean"), F.col("season_std"))
+        elif variant == "mean":
+            made = fc.blend_mean(step, F.col("ml"), F.col("season_mean"), F.col("season_std"), noise_scale=noise_scale,
+                                 seed=seed, segment=F.col(segment))
+        else:
+            made = {"final_pred": fc.seasonal_factor(step, F.col("ml"), F.col("season_mean"), F.col("overall_mean"))}
+        made["method"] = hz.method_of(step, variant)
+        return df.withColumns(made).withColumn("next_value", F.col(hz.OUTPUTS[variant][0]))
+
+    return fc.run_recursive(state, n_weeks, ens.score, blend,
+                            ["step", "week_start", "week_of_year", "residual_std", "method", *hz.OUTPUTS[variant]],
+                            feature_kwargs=hz.POLICIES[variant])
+
+
 def interval_forecast_panel_query(spark: SparkSession, sf_dir: str, **kw) -> DataFrame:
     """Interval variant (D6) of the all-segment forecast."""
     return run_panel(fx.hourly(spark, sf_dir), variant="interval", **kw).forecast

@@ -76,7 +76,7 @@ long AS (
   UNION ALL SELECT segment_id, 'ensemble', total_crashes::double, pred_mean FROM iv),
 met0 AS (
   SELECT segment_id, model, count(*)::bigint AS n, avg(abs(y - p)) AS mae, sqrt(avg((y - p)^2)) AS rmse,
-         sum((y - p)^2) AS sse, sum(y * y) - sum(y) * sum(y) / count(*) AS sst,
+         sum((y - p)^2) AS sse, var_pop(y) * count(*) AS sst,
          avg(abs((y - p) / CASE WHEN y = 0 THEN 1 ELSE y END)) * 100 AS mape
   FROM long GROUP BY 1, 2),
 met AS (

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from segcast.functions.numeric import round_half_even
 
 from segcast.functions import labels as lb
+from segcast.functions import noise as ns
 from segcast.operators import evaluate as ev
 from segcast.operators import features as fe
 from segcast.operators import forecast as fc
@@ -261,6 +262,19 @@ def blend_mean(spark, sf_dir):
                     lb.month_name(F.col("week_start")).alias("month_name"))
 
 
+@register("blend_mean_noise", with_(mean_sql(N_LONG)) + f"""
+SELECT segment_id, step, week_start, {r(ns.normal_sql(42, 'segment_id', 'step'), 'z')},
+  {r("""greatest(mlc * (1 - w) + season_mean * w
+     + CASE WHEN step < 12 THEN 0 WHEN step < 24 THEN 0.15 ELSE 0.2 END * coalesce(season_std, 0) * """ + ns.normal_sql(42, 'segment_id', 'step') + ", 0)", 'final_pred')}
+FROM bm""")
+def blend_mean_noise(spark, sf_dir):
+    """H6 with its noise on: every (segment, week) has a normal number of its own, whatever the partitions."""
+    f = standin_future(spark, sf_dir, N_LONG).withColumn("season_std", F.coalesce("season_std", F.lit(0.0)))
+    b = f.withColumns(fc.blend_mean(F.col("step"), F.col("ml"), F.col("season_mean"), F.col("season_std"), noise_scale=1.0,
+                                    seed=42, segment=F.col("segment_id")))
+    return tidy(b.select("segment_id", "step", "week_start", ns.normal(42, F.col("segment_id"), F.col("step")).alias("z"), "final_pred"))
+
+
 @register("seasonal_factor_forecast", with_(fut_sql(N_LONG)) + """
 SELECT segment_id, step, week_start, (round_even(CASE WHEN step < 12 THEN greatest(ml, 0) ELSE greatest(
     greatest(ml, 0) * (1 - least((step - 12) / 24, 0.3))

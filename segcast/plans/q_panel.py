@@ -17,6 +17,7 @@ from segcast.plans.q_eval import SCORED, standin_metrics
 from segcast.plans.q_features import hourly_panel, stored_panel
 from segcast.plans.q_forecast import N_LONG, N_RISK, fut_sql, risk_sql, standin_risk_forecast
 from segcast.session import ensure_checkpoint_dir, store
+from segcast.sources import fixtures as fx
 from segcast.sources import io
 
 # The queries over fitted models are invariant checks: SQL cannot refit the models, so it states what must hold of
@@ -103,6 +104,24 @@ def risk_forecast_panel(spark, sf_dir):
         (near | ((lam < 5) == (F.col("ci_method") == "Poisson"))).alias("interval_follows"))
 
 
+BROKEN = "seg_03"
+
+
+@register("failure_isolation", with_(fut_sql(2), VALID) + f"""
+SELECT p.segment_id, CASE WHEN p.segment_id = '{BROKEN}' OR ok.segment_id IS NULL THEN 'FAILED' ELSE 'SUCCESS' END AS status,
+  CASE WHEN p.segment_id = '{BROKEN}' THEN true ELSE ok.segment_id IS NULL END AS has_reason,
+  CASE WHEN p.segment_id = '{BROKEN}' OR ok.segment_id IS NULL THEN 0 ELSE 2 END::bigint AS n_forecast
+FROM (SELECT DISTINCT segment_id FROM panel) p LEFT JOIN ok USING (segment_id)""")
+def failure_isolation(spark, sf_dir):
+    """G1: one segment's speeds are infinite; it is FAILED with a reason and has no forecast, the others are forecast."""
+    speed = F.when(F.col("segment_id") == BROKEN, F.lit(float("inf"))).otherwise(F.col("speed"))
+    run = pn.run_panel(fx.hourly(spark, sf_dir).withColumn("speed", speed), n_weeks=2,
+                       model_params={"rf_trees": 3, "rf_depth": 3, "gbt_iter": 2})
+    rows = run.forecast.groupBy("segment_id").agg(F.count(F.lit(1)).alias("n_forecast"))
+    return run.status.join(rows, "segment_id", "left").select(
+        "segment_id", "status", F.col("error").isNotNull().alias("has_reason"), F.coalesce("n_forecast", F.lit(0)).alias("n_forecast"))
+
+
 @register("segment_status", with_("""
 st AS (SELECT segment_id, count(*)::bigint AS n_weeks, floor(count(*) * 0.75)::bigint AS n_train FROM panel GROUP BY 1)""") + """
 SELECT segment_id, n_weeks, n_train, n_weeks - n_train AS n_test,
