@@ -5,17 +5,22 @@ subdomains whose path starts with the rule's; of several, the longest wins.
 
 Hosts that rules decide for more than half of their pages are seeds.  Trust flows from
 allowed seeds along links, distrust from blocked seeds against the links, to whoever links to
-them.  Both run together on one edge table, a join and a partly pre-aggregated sum a step,
-each step's ranks written to the shared folder, until they change by less than ``tolerance``.
-
-Verdicts use the ranks of the receiving host: seeds have 1, and a host's distrust is ``damping``
-times the mean distrust of the hosts its links lead to, each link counting once; its trust that
-of the hosts whose links lead to it.  So distrust is the chance that a surfer who starts there,
-and goes on with chance ``damping`` a step, comes to a blocked seed.  It depends on nothing but
-what the host's links lead to: not on how many others link to the same seed, nor on the rest of
-the table.  A host is blocked when its distrust is at least ``threshold`` and more than its trust.
-``propagate`` also gives personalised PageRank, which divides a host's rank among its
-neighbours and so has no bound that holds for every host.
+them, both as personalised PageRank: a host hands ``damping`` times its rank on, divided among
+its links.  A seed starts with as much rank as it has links to divide it among.
+
+A rank by itself depends on the size of the graph, so each host is judged by a share: what it
+received from the seeds' ranks over what it would have received were every host a seed (its
+relative mass).  The share is between 0 and 1 and free of the seed's in-degree: a link to
+a blocked host weighs the same whether 1 or 2,000 others link there too, and 0.05 is about one
+link in 20.  Seeds themselves have share 1.  A host is blocked when its distrust is at least
+``threshold`` and more than its trust.
+
+Rank of hosts without links to hand it on along is not returned to the seeds: that would only
+multiply all ranks of one seed set by a constant, which the share must not contain.  All ranks
+run together on one edge table, a join and a partly pre-aggregated sum a step, each step
+written to the shared folder, until no host's rank moves by more than ``tolerance`` of itself.
+After t steps what is still to come is under damping^t times all links, so the number of steps
+is bounded by the tolerance and the links; if ranks still moved beyond it, that is an error.
 
 Defined cases: a null url or one without :// has an empty host and path, fits no rule and
 is allowed; null html has no links; links to a page's own host are left out; without seeds or
@@ -25,6 +30,7 @@ than page_id, url and html are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -34,7 +40,7 @@ from segcast.llm.common import materialise
 from segcast.llm.dedup import ascii_lower
 
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-DAMPING, TOLERANCE, MAX_STEPS, THRESHOLD = 0.85, 1e-6, 50, 0.05
+DAMPING, TOLERANCE, THRESHOLD = 0.85, 1e-6, 0.05
 _LINK = r"(?i)href\s*+=\s*+[\"']?\s*+(?:https?:)?//([^/\"'?#\s>]++)"
 
 
@@ -62,52 +68,48 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.groupBy("source", "target").agg(F.count(F.lit(1)).alias("n"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE,
-              max_steps: int = MAX_STEPS, received: bool = False) -> DataFrame:
-    """(kind, host, rank): trust from ``seeds`` (kind, host) along ``edges``, distrust against them.
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
+    """(kind, host, seed_rank, rank, share): trust from ``seeds`` (kind, host) along ``edges``, distrust against them.
 
-    Personalised PageRank, mass of hosts without outgoing edges returning to the seeds; with ``received``
-    the damped mean of what a host's own edges bring, between 0 and 1, seeds holding 1.
+    ``seed_rank`` is the personalised PageRank a host received from the seeds, ``rank`` what it received with
+    every host a seed; ``share`` is their quotient.  Hosts that receive nothing have no row.
     """
     both = edges.select(F.lit("trust").alias("kind"), "source", "target", "n").unionByName(
         edges.select(F.lit("distrust").alias("kind"), F.col("target").alias("source"), F.col("source").alias("target"), "n"))
-    whole = ["kind", "target" if received else "source"]
-    out = both.groupBy(whole).agg(F.sum("n").alias("all_n"))
-    flows = materialise(both.join(out, whole).select("kind", "source", "target", (F.col("n") / F.col("all_n")).alias("part")), "url-flows")
-    n_seeds = seeds.groupBy("kind").agg(F.count(F.lit(1)).alias("n_seeds"))  # two rows at most
-    start = F.lit(1.0) if received else 1 / F.col("n_seeds")
-    starts = materialise(seeds.join(F.broadcast(n_seeds), "kind").select("kind", "host", start.alias("start")), "url-seeds")
-    ranks = starts.select("kind", "host", F.col("start").alias("rank"))
-    for _ in range(max_steps):
-        moved = (
-            flows.join(ranks.withColumnRenamed("host", "source"), ["kind", "source"])
-            .groupBy("kind", F.col("target").alias("host")).agg(F.sum(F.col("part") * F.col("rank")).alias("got"))
-        )
-        moved = materialise(moved, "url-moved")
-        if received:
-            rank = F.coalesce("start", damping * F.col("got"))
+    out = both.groupBy("kind", "source").agg(F.sum("n").alias("all_n"))
+    marks = seeds.select("kind", F.col("host").alias("source"), F.lit(1.0).alias("seed"))
+    flows = both.join(out.join(marks, ["kind", "source"], "left"), ["kind", "source"])
+    flows = flows.select("kind", "source", "target", "n", F.coalesce(F.col("n") * F.col("seed"), F.lit(0.0)).alias("seed_n"),
+                         (F.col("n") / F.col("all_n")).alias("part"))
+    flows = materialise(flows, "url-flows")
+    all_links = flows.agg(F.sum("n")).first()[0] or 0
+    ranks = None
+    for _ in range(2 + math.ceil(math.log(tolerance / max(all_links, 1)) / math.log(damping))):
+        if ranks is None:
+            carried = flows.withColumn("seed_rank", F.lit(0.0)).withColumn("rank", F.lit(0.0))
         else:
-            lost = {r["kind"]: 1 - r["got"] for r in moved.groupBy("kind").agg(F.sum("got").alias("got")).collect()}  # two rows at most
-            back = F.when(F.col("kind") == "trust", lost.get("trust", 1.0)).otherwise(lost.get("distrust", 1.0))
-            rank = (damping * (F.coalesce("got", F.lit(0.0)) + back * F.coalesce("start", F.lit(0.0)))
-                    + (1 - damping) * F.coalesce("start", F.lit(0.0)))
-        new = moved.join(starts, ["kind", "host"], "full").select("kind", "host", rank.alias("rank"))
+            old = ranks.select("kind", F.col("host").alias("source"), "seed_rank", "rank")
+            carried = flows.join(old, ["kind", "source"], "left").na.fill(0.0, ["seed_rank", "rank"])
+        got = lambda start, rank: damping * F.sum(F.col(start) + F.col("part") * F.col(rank))
+        new = carried.groupBy("kind", F.col("target").alias("host")).agg(
+            got("seed_n", "seed_rank").alias("seed_rank"), got("n", "rank").alias("rank"))
         new = materialise(new, "url-ranks")
-        old = ranks.withColumnRenamed("rank", "old")
-        moves = F.abs(F.coalesce("rank", F.lit(0.0)) - F.coalesce("old", F.lit(0.0)))
-        change = new.join(old, ["kind", "host"], "full").agg(F.max(moves) if received else F.sum(moves)).first()[0]
+        if ranks is not None:  # every step reaches the same hosts
+            move = F.max((F.col("rank") - F.col("old")) / F.col("rank"))
+            change = new.join(ranks.select("kind", "host", F.col("rank").alias("old")), ["kind", "host"]).agg(move).first()[0]
+            if (change or 0.0) <= tolerance:
+                return new.withColumn("share", F.col("seed_rank") / F.col("rank"))
         ranks = new
-        if (change or 0.0) < tolerance:
-            break
-    return ranks
+    raise RuntimeError("link ranks did not settle")
 
 
 def host_verdicts(edges: DataFrame, seeds: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(host, trust, distrust, blocked) of every host that trust or distrust reaches, both between 0 and 1."""
-    ranks = propagate(edges, seeds, received=True).withColumn("rank", F.round("rank", 6))
-    by_kind = [F.max(F.when(F.col("kind") == k, F.col("rank")).otherwise(0.0)).alias(k) for k in ("trust", "distrust")]
+    """(host, trust, distrust, blocked) of every seed and every host that trust or distrust reaches, both between 0 and 1."""
+    shares = propagate(edges, seeds).select("kind", "host", F.round("share", 6).alias("share"))
+    shares = shares.unionByName(seeds.select("kind", "host", F.lit(1.0).alias("share")))
+    by_kind = [F.max(F.when(F.col("kind") == k, F.col("share")).otherwise(0.0)).alias(k) for k in ("trust", "distrust")]
     blocked = (F.col("distrust") >= threshold) & (F.col("distrust") > F.col("trust"))
-    return ranks.groupBy("host").agg(*by_kind).withColumn("blocked", blocked)
+    return shares.groupBy("host").agg(*by_kind).withColumn("blocked", blocked)
 
 
 def judge_pages(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, threshold: float = THRESHOLD) -> DataFrame:

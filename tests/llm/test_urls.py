@@ -22,12 +22,21 @@ def brute_rule(host, path, rules=U.RULES):
     return max(fit)[1:] if fit else (None, None)
 
 
-def pagerank(n, edges, seeds, damping=U.DAMPING):
-    m, p = np.zeros((n, n)), np.zeros(n)
+def received(n, edges, start, damping=U.DAMPING):
+    """Rank received: damping * M (start + received), solved densely."""
+    m = np.zeros((n, n))
+    for s, t, w in edges:
+        m[t, s] += w
+    m /= np.maximum(m.sum(axis=0), 1)
+    return np.linalg.solve(np.eye(n) - damping * m, damping * m @ start)
+
+
+def pagerank(n, edges, start, damping=U.DAMPING):
+    """Textbook personalised PageRank: rank of hosts without links returns to the start vector."""
+    m, p = np.zeros((n, n)), start / start.sum()
     for s, t, w in edges:
         m[t, s] += w
     m /= np.maximum(m.sum(axis=0), 1)
-    p[seeds] = 1 / len(seeds)
     x = p.copy()
     for _ in range(500):
         moved = m @ x
@@ -59,23 +68,45 @@ def link(h):
     return f'<a class=x HREF = "https://{h}/p?q">t</a>'
 
 
+def graph(spark, n, pairs, seeds):
+    e = spark.createDataFrame([(f"h{s}", f"h{t}", w) for s, t, w in pairs], "source string, target string, n long")
+    q = spark.createDataFrame([(k, f"h{i}") for k, v in seeds.items() for i in v], "kind string, host string")
+    return {(x.kind, x.host): x for x in U.propagate(e, q).collect()}
+
+
 def test_propagation_matches_dense_pagerank(spark):
     r = random.Random(2)
-    n = 25
-    edges = {}
+    n, seeds, edges = 25, {"trust": [0, 1, 2], "distrust": [3, 4]}, {}
     for _ in range(90):
         s, t = r.randrange(n), r.randrange(n)
         if s != t:
             edges[s, t] = edges.get((s, t), 0) + r.randint(1, 3)
     edges = [(s, t, w) for (s, t), w in edges.items()]
-    seeds = {"trust": [0, 1, 2], "distrust": [3, 4]}
-    e = spark.createDataFrame([(f"h{s}", f"h{t}", w) for s, t, w in edges], "source string, target string, n long")
-    q = spark.createDataFrame([(k, f"h{i}") for k, v in seeds.items() for i in v], "kind string, host string")
-    got = {(x.kind, x.host): x.rank for x in U.propagate(e, q, max_steps=200, tolerance=1e-10).collect()}
+    got = graph(spark, n, edges, seeds)
     for kind, way in (("trust", edges), ("distrust", [(t, s, w) for s, t, w in edges])):
-        want = pagerank(n, way, seeds[kind])
+        links, start = np.zeros(n), np.zeros(n)
+        for s, _, w in way:
+            links[s] += w
+        start[seeds[kind]] = links[seeds[kind]]
+        mine, everyone = received(n, way, start), received(n, way, links)
+        whole = start + mine
+        assert np.allclose(whole / whole.sum(), pagerank(n, way, start), atol=1e-9)  # the textbook's, but for the constant
         for i in range(n):
-            assert got.get((kind, f"h{i}"), 0.0) == pytest.approx(want[i], abs=1e-7)
+            x = got.get((kind, f"h{i}"))
+            assert (x.seed_rank if x else 0.0) == pytest.approx(mine[i], rel=1e-4, abs=1e-9)
+            assert (x.rank if x else 0.0) == pytest.approx(everyone[i], rel=1e-4, abs=1e-9)
+            assert x is None or x.share == pytest.approx(mine[i] / everyone[i], abs=1e-5) and 0 <= x.share <= 1
+
+
+def test_long_chains_settle_at_the_default_tolerance(spark):
+    n = 60
+    chain = [(i + 1, i, 1) for i in range(n - 1)]  # each links to the one before; 0 is blocked
+    got = graph(spark, n, chain, {"distrust": [0]})
+    start, links = np.zeros(n), np.array([1.0] * (n - 1) + [0.0])
+    start[0] = 1
+    back = [(t, s, w) for s, t, w in chain]
+    mine, everyone = received(n, back, start), received(n, back, links)
+    assert all(got["distrust", f"h{i}"].share == pytest.approx(mine[i] / everyone[i], abs=1e-5) for i in range(1, n))
 
 
 def test_hosts_that_link_to_blocked_hosts_are_blocked(spark):
@@ -101,25 +132,7 @@ def test_every_linker_to_a_blocked_host_is_blocked(spark, k):
               (-6, "http://hub.net/", ""), (-7, "http://big.info/", link("hub.net") * 5000),
               (-8, "http://good.example.net/en/", link("praised.info")), (-9, "http://praised.info/", link("spam.net") + link("a.info") * 9)]
     got = {x.page_id: x for x in U.judge_pages(spark.createDataFrame(linkers + others, SCHEMA)).collect()}
-    assert all(got[i].verdict == "block" and got[i].host_distrust == pytest.approx(0.85, abs=1e-6) for i in range(k))
+    assert all(got[i].verdict == "block" and got[i].host_distrust == pytest.approx(1.0, abs=1e-5) for i in range(k))
     assert [got[-i].verdict for i in range(1, 10)] == ["block", "block", "block", "allow", "block", "block", "block", "allow", "allow"]
-    assert got[-3].host_distrust == pytest.approx(0.425, abs=1e-6) and got[-5].host_distrust == pytest.approx(0.85 ** 2, abs=1e-6)
-
-
-def test_received_ranks_match_a_dense_solution(spark):
-    r = random.Random(3)
-    n, seeds = 25, {"trust": [0, 1, 2], "distrust": [3, 4]}
-    pairs = {(r.randrange(n), r.randrange(n)): r.randint(1, 3) for _ in range(90)}
-    edges = [(s, t, w) for (s, t), w in pairs.items() if s != t]
-    e = spark.createDataFrame([(f"h{s}", f"h{t}", w) for s, t, w in edges], "source string, target string, n long")
-    q = spark.createDataFrame([(k, f"h{i}") for k, v in seeds.items() for i in v], "kind string, host string")
-    got = {(x.kind, x.host): x.rank for x in U.propagate(e, q, max_steps=200, tolerance=1e-10, received=True).collect()}
-    for kind, way in (("trust", [(t, s, w) for s, t, w in edges]), ("distrust", edges)):
-        m, start = np.zeros((n, n)), np.zeros(n)
-        for s, t, w in way:
-            m[s, t] += w
-        m /= np.maximum(m.sum(axis=1, keepdims=True), 1)
-        m[seeds[kind]], start[seeds[kind]] = 0, 1
-        want = np.linalg.solve(np.eye(n) - U.DAMPING * m, start)
-        for i in range(n):
-            assert got.get((kind, f"h{i}"), 0.0) == pytest.approx(want[i], abs=1e-7)
+    assert got[-3].host_distrust == pytest.approx(0.5, abs=1e-5) and got[-4].host_distrust == pytest.approx(0.01, abs=1e-5)
+    assert got[-5].host_distrust == pytest.approx(0.85 / 1.85, abs=1e-5)
