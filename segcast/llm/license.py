@@ -6,7 +6,9 @@ place where a phrase's words stand consecutively, whatever stands between them i
 text.  Where it meets an identifier tag, the expression behind the tag is read from the
 text itself, turned into postfix by the shunting-yard algorithm (with > and > or) and
 evaluated: ``or`` takes the freer side, ``and`` the stricter one, ``with`` eases the licence
-by a step.
+by a step.  A tag needs a colon (or =) behind its words, so prose about licence expressions is none.
+An expression goes on in the next line, behind its comment marks, while a bracket is open or an
+operator waits for its right side; it ends where the next tag begins.
 
 ``score`` says how freely the text may be used: 0 without any licence, else the least
 value over its notices and expressions (1 permissive, less for copyleft, least for
@@ -68,8 +70,10 @@ SCHEMA = ("doc_id long, n_words long, n_base long, first_word long, last_word lo
           "base_labels string, labels string, score double, n_tags long")
 
 _WORD_BYTES = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
-_TAGGED = re.compile(r"(?:spdx[^0-9a-z\n]+license[^0-9a-z\n]+identifier|license[^0-9a-z\n]+expression)[^\S\n]*[:=]?[^\S\n]*([^\n]*)", re.I)
-_TOKEN = re.compile(r"\s*(\(|\)|[A-Za-z0-9][A-Za-z0-9.+:-]*)")
+_TAGGED = re.compile(r"(?:spdx[^0-9a-z\n]+license[^0-9a-z\n]+identifier|license[^0-9a-z\n]+expression)[^\S\n]*[:=]", re.I)
+_TOKEN = re.compile(r"[^\S\n]*(\(|\)|[A-Za-z0-9][A-Za-z0-9.+:-]*)")
+_NEXT_LINE = re.compile(r"[^\S\n]*(?:\*/|-->)?[^\S\n]*\n[^\S\n]*(?:/{2,}|/?\*+|#+|;+|%+|--+|<!--|\bdnl\b|\bREM\b)?")
+_VERSION = re.compile(r"v?[0-9.]*\+?\Z")
 _PRECEDENCE = {"or": 1, "and": 2, "with": 3}
 
 
@@ -85,18 +89,24 @@ def _automaton() -> ahocorasick.Automaton:
 def label_of(identifier: str) -> str:
     """Label of a licence identifier such as Apache-2.0; unknown ones are their own label."""
     name = identifier.lower()
-    known = [k for k in FREEDOM if name == k or name.startswith((f"{k}-", f"{k}+")) or name.rstrip("0123456789.") == k]
+    known = [k for k in FREEDOM if name == k or name.startswith((f"{k}-", f"{k}+")) or _VERSION.sub("", name, count=1) == k]
     return max(known, key=len, default=name)
 
 
 def postfix(expression: str) -> list[str]:
     """The longest well-formed start of a licence expression in postfix order, by shunting-yard."""
-    output, operators, done, depth, at, operand = [], [], [], 0, 0, True
-    while m := _TOKEN.match(expression, at):
+    output, operators, depth, at, operand = [], [], 0, 0, True
+    whole, moved, waiting = 0, [], 0  # output where an expression last could end; operators taken and put since
+    while True:
+        if at and (operand or depth) and (line := _NEXT_LINE.match(expression, at)):
+            at = line.end()
+        if not (m := _TOKEN.match(expression, at)):
+            break
         token, at = m[1], m.end()
         word = token.lower()
         if token == "(" and operand:
             operators.append(token)
+            waiting += 1
             depth += 1
         elif token == ")" and not operand and depth:
             while operators[-1] != "(":
@@ -105,8 +115,10 @@ def postfix(expression: str) -> list[str]:
             depth -= 1
         elif word in _PRECEDENCE and not operand:
             while operators and operators[-1] != "(" and _PRECEDENCE[operators[-1]] >= _PRECEDENCE[word]:
-                output.append(operators.pop())
+                moved.append(operators.pop())
+            output += moved
             operators.append(word)
+            waiting += 1
             operand = True
         elif operand and word not in _PRECEDENCE and token not in "()":
             output.append(token)
@@ -114,8 +126,9 @@ def postfix(expression: str) -> list[str]:
         else:
             break
         if not operand:  # an expression could end here, its open brackets closed
-            done = output + [x for x in reversed(operators) if x != "("]
-    return done
+            whole, moved, waiting = len(output), [], 0
+    left = operators[:len(operators) - waiting] + moved[::-1]
+    return output[:whole] + [x for x in reversed(left) if x != "("] if whole else []
 
 
 def evaluate(expression: str) -> tuple[set[str], float]:
@@ -138,11 +151,11 @@ def scan(text: bytes) -> tuple:
     """n_words, n_base, first_word, last_word, base_labels, labels, score, n_tags of one UTF-8 text."""
     words = text.translate(_WORD_BYTES).split()
     joined = f" {b' '.join(words).decode('utf-8', 'replace')} "
-    n_base, n_tags, first, last, seen, blanks = 0, 0, None, None, 0, 0
+    n_base, tagged, tags, first, last, seen, blanks = 0, False, [], None, None, 0, 0
     base, labels, values = set(), set(), []
     for end, (length, label, is_base) in _automaton().iter(joined):
         if label is None:
-            n_tags += 1
+            tagged = True
             continue
         labels.add(label)
         values.append(FREEDOM[label])
@@ -154,12 +167,14 @@ def scan(text: bytes) -> tuple:
             first = blanks if first is None else min(first, blanks)
             last = blanks if last is None else max(last, blanks)
             base.add(label)
-    if n_tags:
-        for m in _TAGGED.finditer(text.decode("utf-8", "replace")):
-            named, value = evaluate(m[1])
+    if tagged:
+        whole = text.decode("utf-8", "replace")
+        tags = list(_TAGGED.finditer(whole))
+        for m, end in zip(tags, [t.start() for t in tags[1:]] + [len(whole)]):
+            named, value = evaluate(whole[m.end():end])
             labels |= named
             values.append(value)
-    return (len(words), n_base, first, last, ",".join(sorted(base)), ",".join(sorted(labels)), min(values, default=0.0), n_tags)
+    return (len(words), n_base, first, last, ",".join(sorted(base)), ",".join(sorted(labels)), min(values, default=0.0), len(tags))
 
 
 def scan_documents(docs: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import pytest
 
@@ -61,5 +62,30 @@ def test_tags_and_more_labels():
     assert L.scan(b"SPDX-License-Identifier: MIT")[5:7] == ("mit", 1.0)
 
 
+@pytest.mark.parametrize("text, labels, n_tags", [
+    ("The license expression is unclear", "", 0),
+    ("a license expression of the people, SPDX license identifier and more", "", 0),
+    ("License-Expression: MIT\nis a licence", "mit", 1),
+    ("// SPDX-License-Identifier: (GPL-2.0 OR\n// MIT)\n// more words", "gpl,mit", 1),
+    ("# SPDX-License-Identifier: GPL-2.0 OR\r\n#   Apache-2.0\n# AND nothing", "apache,gpl", 1),
+    ("/* SPDX-License-Identifier: (MIT\n * AND BSD-3-Clause)\n * OR GPL-2.0 */", "bsd,mit", 1),
+    ("SPDX-License-Identifier: MIT\nOR GPL-2.0", "mit", 1),
+    ("SPDX-License-Identifier: (MIT OR\nSPDX-License-Identifier: GPLv3", "gpl,mit", 2),
+    ("License-Expression:\nMIT", "", 1),
+    ("License-Expression = LGPLv2.1+", "lgpl", 1),
+])
+def test_tags_in_prose_and_across_lines(text, labels, n_tags):
+    got = L.scan(text.encode())
+    assert (got[5], got[7]) == (labels, n_tags)
+
+
+def test_long_open_expressions_take_linear_time():
+    start = time.time()
+    assert L.scan(("License-Expression: (" + "\n(" * 200_000).encode())[7] == 1
+    assert L.scan(("License-Expression: (\n" * 50_000).encode())[7] == 50_000
+    assert L.scan(("License-Expression: " + "MIT OR\n" * 200_000 + "MIT").encode())[5] == "mit"
+    assert time.time() - start < 20
+
+
 def test_empty_table(make_docs):
     assert L.scan_documents(make_docs([])).count() == 0
