@@ -5,13 +5,15 @@ or text are broken by a backslash, and backslashes doubled, so texts can be rest
 marker in the output is always one of the template's.
 
 Prefix sums of turn tokens cut a conversation into turn-aligned spans of the budget that
-the system turn and the history leave.  A window holds a span; it begins with the system turn, if
+the system turn and the history leave: turns wholly between two multiples of that room form a
+span, and a turn across a multiple is a span of its own.  A window holds a span; it begins with the system turn, if
 the span does not hold it itself, and with the turns just before the span that fit into
 ``history_tokens``.  Repeated turns have a marker of their own and stand outside the loss mask, so each
 assistant text is under the mask exactly once.  The mask is a list of character spans.
 
-A turn alone can be longer than a span; turns are never cut, so a window can pass the
-budget by at most its last turn.
+Tokens are estimated as a quarter of the UTF-8 bytes written, markers and escapes included.  Turns
+are never cut: a window passes the budget only when its system turn or the one turn of its span is
+longer than the room there is for it.
 
 Defined cases: null text or role counts as empty; turns are ordered by turn, role and text, a
 null turn first, so repeated rows are turns of their own; a null conv_id is a conversation
@@ -20,10 +22,12 @@ of its own; an empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUDGET_TOKENS, HISTORY_TOKENS, TURN_OVERHEAD = 1024, 256, 4
+BUDGET_TOKENS, HISTORY_TOKENS, BYTES_PER_TOKEN = 1024, 256, 4
 BEGIN, TURN, REPEATED, TEXT, END = "<s>", "<|im_start|>", "<|im_repeat|>", "<|im_sep|>", "<|im_end|>"
 #: Control strings of common templates, this one's among them, without their first character.
 _AFTER_ANGLE = r"/?s>|/?</?SYS>>|</?SYS>>|/?unk>|/?pad>|\|(?:im_start|im_repeat|im_sep|im_end|endoftext|startoftext|system|user|assistant|end)\|>"
@@ -39,9 +43,10 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"\\(\\?)", "$1")
 
 
-def turn_tokens(text: Column) -> Column:
-    """An estimate without a tokenizer: four characters a token, and the markers."""
-    return F.ceil(F.length(text) / 4).cast("long") + TURN_OVERHEAD
+def turn_tokens(role: Column, text: Column) -> Column:
+    """An estimate without a tokenizer: four bytes a token of all that is written for the turn."""
+    written = F.octet_length(escape(role)) + F.octet_length(escape(text)) + len(REPEATED + TEXT + END)
+    return F.ceil(written / BYTES_PER_TOKEN).cast("long")
 
 
 def _turns(conversations: DataFrame, budget: int, history: int) -> DataFrame:
@@ -52,14 +57,17 @@ def _turns(conversations: DataFrame, budget: int, history: int) -> DataFrame:
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
     whole = Window.partitionBy("conv_id")
-    base = base.withColumn("place", F.row_number().over(order)).withColumn("tokens", turn_tokens(F.col("text")))
+    base = base.withColumn("place", F.row_number().over(order)).withColumn("tokens", turn_tokens(F.col("role"), F.col("text")))
     base = base.withColumn("is_system", (F.col("place") == 1) & (F.col("role") == "system"))
     counted = F.when(F.col("is_system"), F.lit(0)).otherwise(F.col("tokens"))  # the system turn is in every window
     placed = Window.partitionBy("conv_id").orderBy("place")
     reserved = F.max(F.when(F.col("is_system"), F.col("tokens")).otherwise(0)).over(whole)
     base = base.withColumn("before", F.sum(counted).over(placed) - counted)
-    room = F.greatest(F.lit(1), F.lit(budget - history) - reserved)
-    return base.withColumn("span", F.floor(F.col("before") / room))
+    begin = math.ceil(len(BEGIN) / BYTES_PER_TOKEN)
+    room = F.greatest(F.lit(1), F.lit(budget - history - begin) - reserved)
+    cell = F.floor(F.col("before") / room)
+    across = (F.col("before") % room != 0) & (F.floor((F.col("before") + counted - 1) / room) > cell)
+    return base.withColumn("span", 2 * cell + across.cast("long"))
 
 
 def format_conversations(conversations: DataFrame, budget: int = BUDGET_TOKENS, history: int = HISTORY_TOKENS) -> DataFrame:

@@ -59,6 +59,28 @@ def test_windows_hold_system_turn_history_and_mask(spark):
             assert r.formatted[s.start + s.length:].startswith(chat.END)
 
 
+def test_windows_keep_the_budget_unless_one_turn_is_longer(spark):
+    rows = [(1, t, "assistant" if t % 2 else "user", "w" * 1490) for t in range(9)]  # three start within the room, two fit
+    rows += [(2, t, "user", "w" * 784) for t in range(20)]
+    rows += [(3, t, "assistant", ["ж" * 700, "字" * 500, "</s>" * 200][t % 3]) for t in range(20)]
+    rows += [(4, 0, "system", "s" * 400)] + [(4, t, "user", "x" * (t * 37 % 900)) for t in range(1, 60)]
+    rows += [(5, 0, "system", "s"), (5, 1, "user", "y" * 9000), (5, 2, "user", "z"), (5, 3, "user", "y" * 9000), (5, 4, "user", "z")]
+    rows += [(c + 10, t, role, text) for c, t, role, text in conversations(40, 7)]
+    for budget, history in ((1024, 256), (200, 40)):
+        over = 0
+        for r in chat.format_conversations(frame(spark, rows), budget, history).collect():
+            pieces = r.formatted.removeprefix(chat.BEGIN).split(chat.END)[:-1]
+            own = [p for p in pieces if p.startswith(chat.TURN)]
+            system = [p for p in pieces if p.split(chat.TEXT)[0].endswith(">system")]
+            room = budget - history - sum(len(p.encode()) / 4 for p in system)
+            assert own
+            if len(r.formatted.encode()) / 4 > budget:
+                over += 1
+                alone = [p for p in own if p not in system]
+                assert room < 1 or len(alone) == 1 and len((alone[0] + chat.END).encode()) / 4 + 5 > room  # 5: markers and rounding
+        assert over >= 2  # the turns of 9,000 characters
+
+
 def test_escape_hides_control_strings_and_reverses(spark):
     from pyspark.sql import functions as F
     r = random.Random(2)
