@@ -137,6 +137,64 @@ def selector_values(df: DataFrame) -> DataFrame:
     return out.orderBy("kind", "_k", "value").drop("_k")
 
 
+# The selector's entries for "no filter".
+ALL_LABELS = {"year_of_crash": "All Years", "route": "All Routes", "segment_id": "All Segments"}
+
+
+def selections(df: DataFrame, selectors: list[str], counts: dict[str, Column], by: list[str] | None = None) -> DataFrame:
+    """F7 for every selection of the selectors at once, "All …" included: grouping sets over one scan.
+
+    ``counts`` are summed per selection and per ``by``.  The events are counted by their own values first, so
+    only those few rows are multiplied by the 2^k sets.  Equal to a filtered query per selection: an event without
+    a value belongs to the "All …" selections only, and a selection without events has no rows.
+    """
+    by = by or []
+    own = df.groupBy(*selectors, *by).agg(*[F.sum(c.cast("long")).alias(n) for n, c in counts.items()])
+    sets = [[k for i, k in enumerate(selectors) if mask >> i & 1] + by for mask in range(1 << len(selectors))]
+    grouped = own.groupingSets(sets, *selectors, *by).agg(
+        *[F.sum(n).alias(n) for n in counts], *[F.grouping(k).alias(f"_all_{k}") for k in selectors])
+    for k in selectors:
+        grouped = grouped.where((F.col(f"_all_{k}") == 1) | F.col(k).isNotNull())
+    label = [F.when(F.col(f"_all_{k}") == 1, ALL_LABELS[k]).otherwise(F.col(k).cast("string")).alias(k) for k in selectors]
+    return grouped.select(*label, *by, *counts)
+
+
+def monthly_selections(df: DataFrame) -> DataFrame:
+    """R1 for every (year, route, segment) selection: 12 zero-filled months each, as ``monthly_counts`` gives them."""
+    month = F.month(F.to_date(parse_timestamp(F.col("date_of_crash"))))
+    ev = df.withColumn("_month", month)
+    months = {f"m{m}": F.coalesce(F.col("_month") == m, F.lit(False)) for m in range(1, 13)}
+    wide = selections(ev, ["year_of_crash", "route", "segment_id"], months)
+    rows = wide.select("year_of_crash", "route", "segment_id",
+                       F.posexplode(F.array(*months)).alias("_at", "crashes")).withColumn("month", F.col("_at") + 1).drop("_at")
+    return rows.withColumn("month_name", lb.month_abbr(F.col("month")))
+
+
+def day_night_selections(df: DataFrame) -> DataFrame:
+    """R3 for every (year, route) selection: day and night counts per segment, as ``day_night`` gives them."""
+    light = light_column(df)
+    if light is None:
+        raise ValueError("no light-condition column")
+    ev = df.where(F.col(light).isNotNull() & F.col("segment_id").isNotNull())
+    return selections(ev, ["year_of_crash", "route"], {"day_crashes": _contains_any(F.col(light), DAY_TERMS),
+                                                       "night_crashes": _contains_any(F.col(light), NIGHT_TERMS)}, ["segment_id"])
+
+
+def board_selections(df: DataFrame, n: int = 10) -> DataFrame:
+    """R4 for every (year, route) selection: the top-n boards, as ``top_boards`` gives them.
+
+    A board row names its route, so the route selections are the row's own route and "All Routes".
+    """
+    ev = df.where(F.col("segment_id").isNotNull() & F.col("route").isNotNull())
+    counts = selections(ev, ["year_of_crash"], {"all": F.lit(1), "hit_and_run": F.coalesce(F.col("hit_and_run") == "Yes", F.lit(False))},
+                        ["segment_id", "route"])
+    long = counts.select("year_of_crash", "segment_id", "route",
+                         F.expr("stack(2, 'all', `all`, 'hit_and_run', hit_and_run) AS (board, crashes)")).where("crashes > 0")
+    long = long.withColumn("route_selection", F.explode(F.array(F.lit(ALL_LABELS["route"]), F.col("route"))))
+    order = Window.partitionBy("year_of_crash", "route_selection", "board").orderBy(F.col("crashes").desc(), "segment_id", "route")
+    return long.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+
+
 def first_row(fcst: DataFrame, k: int = 1, segment: str = "segment_id", order: str = "week_start") -> DataFrame:
     """the k-th forecast row of each segment (k=1: the "current week")."""
     w = Window.partitionBy(segment).orderBy(order)

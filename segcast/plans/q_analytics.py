@@ -111,6 +111,50 @@ def top_segments(spark, sf_dir):
     return an.top_boards(_events(spark, sf_dir))
 
 
+# every selection as its own filter, joined to the events: no grouping sets on this side
+SEL = """
+ys AS (SELECT NULL::int AS y UNION ALL SELECT DISTINCT year_of_crash FROM ev WHERE year_of_crash IS NOT NULL),
+rs AS (SELECT NULL::varchar AS r UNION ALL SELECT DISTINCT route FROM ev WHERE route IS NOT NULL),
+ss AS (SELECT NULL::varchar AS s UNION ALL SELECT DISTINCT segment_id FROM ev WHERE segment_id IS NOT NULL),
+yr AS (SELECT y, r, coalesce(y::varchar, 'All Years') AS year_of_crash, coalesce(r, 'All Routes') AS route_selection FROM ys, rs)"""
+
+
+@register("monthly_counts_selections", with_(EV, SEL) + f"""
+SELECT x.year_of_crash, x.route_selection AS route, coalesce(s, 'All Segments') AS segment_id, m.month, {MONTHS}[m.month] AS month_name,
+  count(*) FILTER (WHERE month(crash_date) = m.month)::bigint AS crashes
+FROM yr x, ss, (SELECT range::int AS month FROM range(1, 13)) m
+  JOIN evd e ON true
+WHERE (y IS NULL OR e.year_of_crash = y) AND (r IS NULL OR e.route = r) AND (s IS NULL OR e.segment_id = s)
+GROUP BY ALL""")
+def monthly_counts_selections(spark, sf_dir):
+    """F7 over R1: all (year, route, segment) selections in one scan."""
+    return an.monthly_selections(_events(spark, sf_dir))
+
+
+@register("day_night_selections", with_(EV, SEL) + """
+SELECT x.year_of_crash, x.route_selection AS route, e.segment_id,
+  sum((lower(light_condition) LIKE '%day%' OR lower(light_condition) LIKE '%light%'
+       OR lower(light_condition) LIKE '%dawn%' OR lower(light_condition) LIKE '%dusk%')::bigint)::bigint AS day_crashes,
+  sum((lower(light_condition) LIKE '%dark%' OR lower(light_condition) LIKE '%night%')::bigint)::bigint AS night_crashes
+FROM yr x JOIN ev e ON (y IS NULL OR e.year_of_crash = y) AND (r IS NULL OR e.route = r)
+WHERE light_condition IS NOT NULL AND segment_id IS NOT NULL GROUP BY ALL""")
+def day_night_selections(spark, sf_dir):
+    """F7 over R3: all (year, route) selections in one scan."""
+    return an.day_night_selections(_events(spark, sf_dir))
+
+
+@register("top_segments_selections", with_(EV, SEL, """
+boards AS (SELECT unnest(['all', 'hit_and_run']) AS board),
+cnt AS (SELECT x.year_of_crash, x.route_selection, board, segment_id, e.route, count(*)::bigint AS crashes
+        FROM yr x CROSS JOIN boards JOIN ev e ON (y IS NULL OR e.year_of_crash = y) AND (r IS NULL OR e.route = r)
+        WHERE board = 'all' OR hit_and_run = 'Yes' GROUP BY ALL)""") + """
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY year_of_crash, route_selection, board
+                                            ORDER BY crashes DESC, segment_id, route)::int AS rank FROM cnt) WHERE rank <= 10""")
+def top_segments_selections(spark, sf_dir):
+    """F7 over R4: all (year, route) selections' boards in one scan."""
+    return an.board_selections(_events(spark, sf_dir))
+
+
 @register("event_profile", with_(EV) + """
 SELECT count(*)::bigint AS n_rows, 6 AS n_columns, count(DISTINCT route)::bigint AS n_routes, count(DISTINCT segment_id)::bigint AS n_segments,
   count(DISTINCT year_of_crash)::bigint AS n_years, min(year_of_crash) AS first_year, max(year_of_crash) AS last_year,

@@ -62,6 +62,20 @@ def weekly_history_csv(spark, sf_dir):
                                           F.min("week_start").alias("first_week"), F.max("week_start").alias("last_week"))
 
 
+@register("segment_rerun", with_() + """
+SELECT segment_id, count(*)::bigint AS n_weeks,
+  sum(CASE WHEN right(segment_id, 1) = '3' THEN 2 * total_crashes ELSE total_crashes END)::bigint AS total
+FROM panel WHERE right(segment_id, 1) != '3' OR year(week_start) > 1994 GROUP BY segment_id""")
+def segment_rerun(spark, sf_dir):
+    """A bucketed panel whose segments ending in 3 are made anew (other weeks, doubled) and replaced; the others stay."""
+    panel = fe.weekly_panel(fx.hourly(spark, sf_dir)).select("segment_id", "week_start", "total_crashes")
+    base = _scratch(spark, "rerun")
+    io.write_partitioned(panel, base)
+    again = spark.read.parquet(base).where((F.substring("segment_id", -1, 1) == "3") & (F.year("week_start") > 1994))
+    io.replace_segments(again.withColumn("total_crashes", F.col("total_crashes") * 2).drop(io.BUCKET), base)
+    return spark.read.parquet(base).groupBy("segment_id").agg(F.count(F.lit(1)).alias("n_weeks"), F.sum("total_crashes").alias("total"))
+
+
 @register("mixed_headers", with_() + f"""
 SELECT segment_id, count(*)::bigint AS n_rows, sum(crash_count)::bigint AS n_events, {r('sum(speed)', 'speed')}, {r('sum(npmrds)', 'npmrds')}
 FROM hourly GROUP BY segment_id""")

@@ -1,9 +1,9 @@
 """Readers and writers.
 
 CSV files are read with every column as a string under the names of their own
-header: files are grouped by header line and each group is scanned with its own
-schema, so files whose columns differ in order or name never borrow another
-file's header.  Cells are then cast with ``try``: a malformed cell becomes NULL
+header: executors read the header lines, then one scan takes each cell by its
+place in its file's header, so files whose columns differ in order or name never
+borrow another file's header.  Cells are then cast with ``try``: a malformed cell becomes NULL
 and can be counted instead of ending the job.  Only a path that does not exist
 gives an empty frame; every other failure is raised.
 """
@@ -11,13 +11,17 @@ gives an empty frame; every other failure is raised.
 from __future__ import annotations
 
 import csv
-from concurrent.futures import ThreadPoolExecutor
+import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from segcast.session import ensure_checkpoint_dir, store
+
 HOURLY_SCHEMA = T.StructType([
     T.StructField("timestamp", T.TimestampNTZType()),
     T.StructField("crash_count", T.IntegerType()),
@@ -103,41 +107,87 @@ def _is_missing(e: AnalysisException) -> bool:
     return (e.getCondition() or "").startswith("PATH_NOT_FOUND")
 
 
-def _headers(spark: SparkSession, paths: list[str]) -> list[list[str]]:
-    """First line of each file, through Hadoop's file system; a file without lines has no columns."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+#: Files below this size are read whole for their header, many to a task; of a longer file only the first lines are read.
+SMALL_FILE = 1 << 20
+#: Larger than any file, so that each longer file is one task, which may stop after its first line.
+ONE_FILE = 1 << 36
+
+
+def _first_line(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The split's first line if the split begins its file; asks for two small batches at most, so a long file is not read through."""
+    for n, batch in enumerate(batches):
+        if n:
+            return
+        if batch.num_rows and batch["start"][0].as_py() == 0:
+            yield batch.select(["file_path", "header"]).slice(0, 1)
 
-    def first_line(path: str) -> list[str]:
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        stream = at.getFileSystem(conf).open(at)
-        try:
-            line = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8")).readLine()
-        finally:
-            stream.close()
-        return next(csv.reader([line.lstrip("\ufeff")]), []) if line else []
 
-    with ThreadPoolExecutor(16) as pool:
-        return list(pool.map(first_line, paths))
+def _headers(spark: SparkSession, path: str) -> DataFrame:
+    """(file_path, header line) of every file with a line, read by the executors and stored; the driver opens no file.
+
+    The pass over longer files runs in a session of its own, whose file settings give each file its own task.
+    """
+    probe = spark.newSession()
+    for key, value in (("maxPartitionBytes", ONE_FILE), ("openCostInBytes", ONE_FILE), ("maxPartitionNum", (1 << 31) - 1)):
+        probe.conf.set(f"spark.sql.files.{key}", str(value))
+    probe.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+
+    def lines(session: SparkSession, sizes: Column) -> DataFrame:  # the size prunes the list of files
+        text = session.read.option("recursiveFileLookup", True).text(path).where(sizes)
+        return text.select(F.col("_metadata.file_path").alias("file_path"), F.col("value").alias("header"),
+                           F.col("_metadata.file_block_start").alias("start"))
+
+    size, schema = F.col("_metadata.file_size"), "file_path string, header string"
+    stored = f"{ensure_checkpoint_dir(spark).rstrip('/')}/store/headers-{uuid.uuid4().hex}"
+    place = F.struct("start", F.monotonically_increasing_id().alias("line"))
+    small = lines(spark, size < SMALL_FILE).withColumn("place", place).groupBy("file_path").agg(
+        F.min_by("header", "place").alias("header"))
+    small.write.parquet(stored)
+    lines(probe, size >= SMALL_FILE).mapInArrow(_first_line, schema).hint("rebalance").write.mode("append").parquet(stored)
+    return spark.read.schema(schema).parquet(stored)
 
 
 def read_csv(spark: SparkSession, path: str, names: dict[str, str] | None = None) -> DataFrame:
     """All CSV files under ``path``, each by its own header, columns as strings; missing columns are NULL.
 
-    ``names`` maps source headers to canonical ones. Only file names and header
-    lines are looked at before the scan. The column ``file_path`` names the source.
+    ``names`` maps source headers to canonical ones (any case). The column ``file_path`` names the source.  One
+    scan reads every file by position; the driver sees the different header lines only.  If there are several,
+    the scan is joined with the (file, header) table and each column is taken from its place in that header:
+    Spark broadcasts that table while it is small by its stored size (some 10⁵ files) and shuffles beyond.
+    Of columns with the same name in a header the first counts.
     """
-    files = [r["path"] for r in spark.read.format("binaryFile").load(path).select("path").collect()]
-    groups: dict[tuple[str, ...], list[str]] = {}
-    for file, header in zip(files, _headers(spark, files)):
-        if header:
-            groups.setdefault(tuple(h.strip() for h in header), []).append(file)
-    out = None
-    for header, members in groups.items():
-        schema = T.StructType([T.StructField(h, T.StringType()) for h in header])
-        reader = spark.read.schema(schema).option("header", True).option("enforceSchema", False)
-        df = reader.csv(members).select("*", F.col("_metadata.file_path").alias("file_path")).withColumnsRenamed(names or {})
-        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
-    return out if out is not None else spark.createDataFrame([], "file_path string")
+    headers = _headers(spark, path)
+    lines = sorted(r["header"] for r in headers.select("header").distinct().collect())
+    rename = {k.lower(): v for k, v in (names or {}).items()}
+    spelled: dict[str, str] = {}  # lower-case name -> the spelling that comes first
+    places: list[dict[str, int]] = []
+    for line in lines:
+        at: dict[str, int] = {}
+        for i, cell in enumerate(next(csv.reader([line.lstrip("\ufeff")]), [])):
+            name = rename.get(cell.strip().lower(), cell.strip())
+            spelled.setdefault(name.lower(), name)
+            at.setdefault(name.lower(), i)
+        places.append(at)
+    width = max((i + 1 for at in places for i in at.values()), default=0)
+    if not width:
+        return spark.createDataFrame([], "file_path string")
+    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(width)])
+    cells = spark.read.schema(schema).option("header", True).option("recursiveFileLookup", True).csv(path)
+    cells = cells.select("*", F.col("_metadata.file_path").alias("file_path"))
+    if len(lines) > 1:
+        number = F.array_position(F.array(*[F.lit(line) for line in lines]), F.col("header")).alias("header_no")
+        cells = cells.join(headers.select("file_path", number), "file_path")
+
+    def column(name: str) -> Column:
+        at = [(n + 1, where[name]) for n, where in enumerate(places) if name in where]
+        if len(at) == len(lines) and len({i for _, i in at}) == 1:
+            return F.col(f"c{at[0][1]}")
+        out = F.lit(None).cast("string")
+        for i in sorted({i for _, i in at}):
+            out = F.when(F.col("header_no").isin([n for n, j in at if i == j]), F.col(f"c{i}")).otherwise(out)
+        return out
+
+    return cells.select(*[column(k).alias(v) for k, v in spelled.items()], "file_path")
 
 
 def _hourly_columns(df: DataFrame, bad_cells: str | None) -> list[Column]:
@@ -248,8 +298,43 @@ def write_partitioned(df: DataFrame, path: str, fmt: str = "parquet", mode: str
     if directory_per_segment:
         df.repartition(segment).write.mode(mode).partitionBy(segment).format(fmt).option("header", True).save(path)
         return
-    bucketed = df.withColumn(BUCKET, F.pmod(F.xxhash64(segment), F.lit(buckets)).cast("int"))
-    bucketed.repartition(BUCKET).write.mode(mode).partitionBy(BUCKET).format(fmt).option("header", True).save(path)
+    _write_buckets(df.withColumn(BUCKET, _bucket(segment, buckets)), path, fmt, mode)
+
+
+def _bucket(segment: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(segment), F.lit(buckets)).cast("int")
+
+
+def _write_buckets(bucketed: DataFrame, path: str, fmt: str, mode: str, overwrite: str = "static") -> None:
+    (bucketed.repartition(BUCKET).write.mode(mode).option("partitionOverwriteMode", overwrite).partitionBy(BUCKET)
+             .format(fmt).option("header", True).save(path))
+
+
+def replace_segments(df: DataFrame, path: str, fmt: str = "parquet", segment: str = "segment_id", buckets: int = 64) -> None:
+    """S7 for a re-run: the segments of ``df`` take the place of their earlier rows under ``path``.
+
+    Only the hash buckets of those segments are read and written (dynamic partition overwrite); the files of all
+    other buckets stay as they are.  The merged rows are stored under the checkpoint folder before anything is
+    replaced.  ``buckets`` and the columns must be those of ``write_partitioned``; another bucket count is an error.
+    Nothing written yet: a first write.  A segment without rows in ``df`` keeps its earlier ones.
+    """
+    new = store(df.withColumn(BUCKET, _bucket(segment, buckets)), "replacement")
+    touched = [r[0] for r in new.select(BUCKET).distinct().collect()]  # at most ``buckets`` numbers
+    if not touched:
+        return
+    try:
+        old = new.sparkSession.read.schema(new.schema).format(fmt).option("header", True).load(path)
+    except AnalysisException as e:
+        if not _is_missing(e):
+            raise
+        _write_buckets(new, path, fmt, "overwrite")
+        return
+    placed = F.when(F.col(BUCKET) == _bucket(segment, buckets), F.col(BUCKET)).otherwise(
+        F.raise_error(F.lit(f"{path} was not written with {buckets} buckets")))
+    here = new.select(F.col(segment).alias("_new")).distinct()
+    kept = (old.where(F.col(BUCKET).isin(touched)).withColumn(BUCKET, placed)
+               .join(here, F.col(segment).eqNullSafe(F.col("_new")), "left_anti"))
+    _write_buckets(store(kept.unionByName(new), "merged-buckets"), path, fmt, "overwrite", "dynamic")
 
 
 def write_summary(df: DataFrame, path: str, mode: str = "overwrite") -> None:

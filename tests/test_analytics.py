@@ -41,3 +41,28 @@ def test_forecast_kpis_first_peak(spark):
     k = an.forecast_kpis(df, head=2).first()
     assert k["peak_week"] == dt.date(2025, 1, 13) and k["peak_value"] == 3.0      # first of the tied maxima
     assert k["total_expected"] == 9.0 and k["total_first_weeks"] == 4.0 and k["n_weeks"] == 4
+
+
+def test_selections_equal_filtered_queries(spark):
+    """Every selection of the one-scan queries is the filtered query's result; rows without a value count under "All" only."""
+    rows = [(2023 + i % 3 if i % 11 else None, ["I1", "I2", None][i % 3], f"s{i % 4}" if i % 7 else None,
+             f"{1 + i % 12}/5/2023" if i % 5 else "unknown", "Yes" if i % 2 else None, ["Daylight", "Dark-Lighted", None, "Other"][i % 4])
+            for i in range(200)]
+    df = spark.createDataFrame(rows, "year_of_crash int, route string, segment_id string, date_of_crash string, "
+                                     "hit_and_run string, light_condition string").cache()
+    month = {}
+    for r in an.monthly_selections(df).collect():
+        month.setdefault((r["year_of_crash"], r["route"], r["segment_id"]), {})[r["month"]] = r["crashes"]
+    for key in [("All Years", "All Routes", "All Segments"), ("2024", "All Routes", "s2"), ("2024", "I2", "All Segments"), ("2025", "All Routes", "s1"), ("All Years", "I1", "s0")]:
+        want = {r["month"]: r["crashes"] for r in an.monthly_counts(df, spark, *key).collect()}
+        assert month[key] == want
+    assert not any(None in key for key in month)
+    dn = {(r["year_of_crash"], r["route"], r["segment_id"]): (r["day_crashes"], r["night_crashes"]) for r in an.day_night_selections(df).collect()}
+    boards = an.board_selections(df, 3).collect()
+    for year, route in [("All Years", "All Routes"), ("2024", "All Routes"), ("All Years", "I2"), ("2023", "I1")]:
+        assert {k[2]: v for k, v in dn.items() if k[:2] == (year, route)} == {
+            r["segment_id"]: (r["day_crashes"], r["night_crashes"]) for r in an.day_night(df, year, route).collect()}
+        got = {(r["board"], r["rank"], r["segment_id"], r["route"], r["crashes"]) for r in boards
+               if (r["year_of_crash"], r["route_selection"]) == (year, route)}
+        assert got == {(r["board"], r["rank"], r["segment_id"], r["route"], r["crashes"]) for r in an.top_boards(df, 3, year, route).collect()}
+    assert an.monthly_selections(df.limit(0)).count() == 0

@@ -98,3 +98,56 @@ def test_bucketed_writer_keeps_segments_together(spark):
     assert len([x for x in os.listdir(f"{d}/w") if x.startswith(io.BUCKET)]) <= 8
     back = io.read_weekly_history(spark, f"{d}/w")
     assert back.columns == ["week_start", "total_crashes", "segment_id"] and back.count() == 300
+
+
+def test_headers_of_5000_files_come_from_executors(spark):
+    """Each file by its own header, without a file opened or listed by name in the driver."""
+    d = _dir(spark, "many")
+    want = 0
+    for i in range(5000):
+        with open(f"{d}/S{i}_traffic_crash_merged.csv", "w") as f:
+            cells = [("timestamp", "2024-01-01 08:00:00"), ("crash_count", "1"), ("speed", str(i % 7)), ("hour", "8")]
+            cells = cells[::-1] if i % 3 == 0 else cells + [("NPMRDS2", "2.5")] if i % 3 == 1 else cells
+            f.write(",".join(k for k, _ in cells) + "\n" + ",".join(v for _, v in cells) + "\n")
+        want += i % 7
+    open(f"{d}/S_empty_traffic_crash_merged.csv", "w").close()
+    r = io.read_segments(spark, d).selectExpr(
+        "count(distinct segment_id) n", "sum(crash_count) c", "sum(speed) s", "sum(npmrds) p", "count(timestamp) t").first()
+    assert (r["n"], r["c"], r["s"], r["p"], r["t"]) == (5000, 5000, want, 1667 * 2.5, 5000)
+
+
+def test_header_pass_stops_early_and_reads_odd_headers(spark):
+    d = _dir(spark, "odd")
+    with open(f"{d}/a.csv", "w", encoding="utf-8") as f:
+        f.write('﻿"speed, mean",Speed,speed\n' + '"1,5",2,3\n' * 200_000)
+    with open(f"{d}/b.csv", "w") as f:
+        f.write("SPEED\n7\n")
+    with open(f"{d}/c.csv", "w") as f:
+        f.write("speed,x\n8\n9,y,too many\n")
+    assert io._headers(spark, d).count() == 3
+    df = io.read_csv(spark, d)
+    assert {c.lower() for c in df.columns} == {"speed, mean", "speed", "x", "file_path"}
+    rows = df.groupBy("speed").count().collect()
+    assert {r[0]: r[1] for r in rows} == {"2": 200_000, "7": 1, "8": 1, "9": 1}
+    assert [r["x"] for r in df.where("speed = '9'").collect()] == ["y"]
+
+
+def test_replace_segments_leaves_other_buckets(spark):
+    base = _dir(spark, "buckets") + "/t"
+    df = spark.range(400).selectExpr("concat('s', id % 40) AS segment_id", "id AS week", "cast(1 as double) AS v")
+    io.write_partitioned(df.where("segment_id != 's7'"), base, buckets=8)
+    files = {os.path.join(p, f): os.stat(os.path.join(p, f)).st_mtime_ns for p, _, fs in os.walk(base) for f in fs if f.endswith(".parquet")}
+    redo = spark.createDataFrame([("s7", 1, 9.0), ("s7", 2, 9.0), ("s8", 1, 9.0)], "segment_id string, week long, v double")
+    io.replace_segments(redo, base, buckets=8)
+    back = spark.read.parquet(base)
+    got = {r[0]: (r[1], r[2]) for r in back.groupBy("segment_id").agg({"v": "sum", "week": "count"}).select("segment_id", "count(week)", "sum(v)").collect()}
+    assert got == {**{f"s{i}": (10, 10.0) for i in range(40)}, "s7": (2, 18.0), "s8": (1, 9.0)}
+    mine = {r[0] for r in redo.select(io._bucket("segment_id", 8)).distinct().collect()}
+    for f, t in files.items():
+        if not any(f"{io.BUCKET}={b}/" in f for b in mine):
+            assert os.stat(f).st_mtime_ns == t
+    with pytest.raises(Exception, match="not written with 5 buckets"):
+        io.replace_segments(redo, base, buckets=5)
+    io.replace_segments(redo.limit(0), base, buckets=8)
+    io.replace_segments(redo, base + "-new", buckets=8)
+    assert spark.read.parquet(base + "-new").count() == 3
