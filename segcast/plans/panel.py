@@ -24,7 +24,8 @@ from segcast.operators import forecast as fc
 from segcast.operators import horizon as hz
 from segcast.operators import models as md
 from segcast.operators import seasonal as se
-from segcast.session import store
+from segcast.plans.stages import Stages
+from segcast.session import store as stored
 from segcast.sources import fixtures as fx
 from segcast.sources import io
 
@@ -98,7 +99,8 @@ PRESET = {"risk": "default", "interval": "default", "mean": "tuned", "factor": "
 
 def run_panel(hourly: DataFrame, n_weeks: int | None = None, frac: float = 0.75, leaky: bool = True,
               model_params: dict | None = None, variant: str = "risk", noise_scale: float = 0.0, seed: int = 42,
-              segment: str = "segment_id", ensemble: md.Ensemble | None = None, output: str | None = None) -> PanelResult:
+              segment: str = "segment_id", ensemble: md.Ensemble | None = None, output: str | None = None,
+              run_dir: str | None = None) -> PanelResult:
     """The whole per-segment process of the reference, for all segments in one plan.
 
     ``variant`` picks the forecast family: ``"risk"`` (D5: blend A, dual
@@ -111,15 +113,27 @@ def run_panel(hourly: DataFrame, n_weeks: int | None = None, frac: float = 0.75,
     forecast, metrics and summary are written.
 
     The panel and the other shared results are stored under the checkpoint
-    folder, so the facts are scanned once and nothing stays cached.
+    folder, so the facts are scanned once and nothing stays cached.  With
+    ``run_dir`` they are stored there under stable names: a run that ended
+    early goes on after its last finished stage (see ``stages``).
     """
     n_weeks = HORIZON[variant] if n_weeks is None else n_weeks
+    store, stages = stored, None
+    if run_dir is not None:
+        stages = Stages(hourly.sparkSession, run_dir, {
+            "n_weeks": n_weeks, "frac": frac, "leaky": leaky, "model_params": model_params, "variant": variant,
+            "noise_scale": noise_scale, "seed": seed, "segment": segment, "own_ensemble": ensemble is not None})
+        store = stages.keep
     panel = store(fe.weekly_panel(hourly, leaky=leaky), "panel")
     status, scored0 = training_frame(panel, frac, segment)
-    status, scored0 = store(status, "status"), store(scored0, "training-frame")
+    status, scored0 = store(status, "validation"), store(scored0, "training-frame")
     valid = status.where(F.col("status") == "SUCCESS").select(segment)
-    ens = ensemble or md.fit_ensemble(scored0.where("is_train"), md.feature_columns(scored0),
-                                      **{**md.PRESETS[PRESET[variant]], **(model_params or {})})
+
+    def fit() -> md.Ensemble:
+        return md.fit_ensemble(scored0.where("is_train"), md.feature_columns(scored0),
+                               **{**md.PRESETS[PRESET[variant]], **(model_params or {})})
+
+    ens = ensemble or (stages.keep_ensemble(fit) if stages else fit())
     scored = store(ens.score(scored0), "scored")
     res = store(ev.residual_stats(scored.where("is_train"), "total_crashes", md.MODEL_COLS), "residuals")
 

@@ -1,6 +1,7 @@
 """One-pass horizon and flat trees against MLlib and the stepwise engine; noise; isolation of failures; stable metrics."""
 
 import math
+import uuid
 
 import numpy as np
 import pytest
@@ -14,7 +15,7 @@ from segcast.operators import horizon as hz
 from segcast.operators import models as md
 from segcast.plans import panel as pn
 from segcast.plans.q_features import hourly_panel
-from segcast.session import store
+from segcast.session import ensure_checkpoint_dir, store
 from segcast.sources import fixtures as fx
 
 SF = "/root/testdata/sf0.001"
@@ -188,3 +189,28 @@ def test_blends_equal_their_columns(spark):
             for o in hz.OUTPUTS[v]:
                 if o in want[v]:
                     assert np.abs(made[o] - g[f"{v}_{o}"].to_numpy()).max() < 1e-9, (v, o, i)
+
+
+def test_a_lost_run_goes_on_without_refitting(spark, monkeypatch):
+    """The run ends in the forecast; started again it reads what was finished and equals a run that never stopped."""
+    folder = ensure_checkpoint_dir(spark).rstrip("/") + f"/run-{uuid.uuid4().hex}"
+    hourly = fx.hourly(spark, SF)
+    kw = {"n_weeks": 3, "model_params": SMALL}
+
+    def lost(*a, **k):
+        raise RuntimeError("driver lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(hz, "forecast_horizon", lost)
+        with pytest.raises(RuntimeError, match="driver lost"):
+            pn.run_panel(hourly, run_dir=folder, **kw)
+    with monkeypatch.context() as m:
+        m.setattr(md, "fit_ensemble", lost)
+        again = pn.run_panel(hourly, run_dir=folder, **kw)
+        third = pn.run_panel(hourly.limit(0), run_dir=folder, **kw)  # every stage is there: the input is not read
+    fresh = pn.run_panel(hourly, **kw)
+    rows = [{(r["segment_id"], r["step"]): r["lambda"] for r in x.forecast.collect()} for x in (again, third, fresh)]
+    assert rows[0] and rows[0] == rows[1] == rows[2]
+    assert again.status.where("status = 'SUCCESS'").count() == fresh.status.where("status = 'SUCCESS'").count()
+    with pytest.raises(ValueError, match="other parameters"):
+        pn.run_panel(hourly, run_dir=folder, **{**kw, "n_weeks": 4})
