@@ -27,7 +27,8 @@ def test_scan_is_pruned(spark):
 
 ONE_SCAN = {"lineitem": ["baseline_metrics", "dual_uncertainty", "blend_interval", "timeline_union", "segment_summary", "report_summary",
                          "recursive_forecast_naive", "kpi_delta"],
-            "orders": ["selector_values", "top_segments", "event_profile"]}
+            "orders": ["selector_values", "top_segments", "event_profile", "monthly_counts_selections", "day_night_selections",
+                       "top_segments_selections"]}
 
 
 @pytest.mark.parametrize("fact, name", [(f, n) for f, names in ONE_SCAN.items() for n in names])
