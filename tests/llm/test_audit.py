@@ -6,7 +6,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from segcast.llm.audit import _sums_of_shared, audit, divergence, smoothed, source_counts
+from segcast.llm.audit import (_count_digits, _document_layers, _sums_of_shared, _terms, audit, count_digits, divergence,
+                               document_layers, smoothed, source_counts)
 
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 SCHEMA = "doc_id long, text string, lang string, source string"
@@ -124,3 +125,68 @@ def test_shared_part_does_not_depend_on_batches(size):
         for r in b.to_pylist():
             got[r["source"], r["item"]] += r["shared"]
     assert {k: v for k, v in got.items() if v} == {k: v for k, v in want.items() if v}
+
+
+def lowered_terms(text):
+    return [t.translate({c: c + 32 for c in range(65, 91)}) for t in re.findall(TERM, text)]
+
+
+def test_terms_equal_the_pattern():
+    rng = random.Random(11)
+    for _ in range(500):
+        texts = ["".join(rng.choices("aBz 1\u00e9\u65e5~[`{@A\x00\x7f\U0001f600", k=rng.randrange(6))) for _ in range(rng.randrange(7))]
+        words, code, row = _terms(pa.array(["before", *texts], pa.large_string()).slice(1))
+        got = [(i, words[c].as_py()) for i, c in zip(row.tolist(), code.tolist())]
+        assert got == [(i, t) for i, text in enumerate(texts) for t in lowered_terms(text)]
+
+
+def batches_of(rows, names, size):
+    for i in range(0, len(rows), size):
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows[i:i + size])], names)
+
+
+@pytest.mark.parametrize("piece_bytes,size", [(1, 1), (1, 40), (500, 7), (1 << 20, 40)])
+def test_layers_and_digits_add_up_whatever_the_pieces(piece_bytes, size):
+    rows = [(lang or "", source or "", text or "") for _, text, lang, source in corpus(6, 200)]
+    rows += [("d\x00e", "s\x00", "One one ONE two")] * 3
+    docs, counts = Counter(), Counter()
+    for lang, source, text in rows:
+        docs.update({(t, lang) for t in lowered_terms(text)})
+        counts.update((source, t, lang) for t in lowered_terms(text))
+
+    layers = Counter()
+    for b in _document_layers(batches_of([(r[0], r[2]) for r in rows], ["lang", "text"], size), 5, piece_bytes):
+        for terms in b.column(0).to_pylist():
+            assert terms and len(set(terms)) == len(terms)
+            layers.update(tuple(t.split("\x00", 1)) for t in terms)
+    assert layers.keys() == docs.keys()
+    assert all(n == docs[k] if docs[k] <= 5 else 5 <= n <= docs[k] for k, n in layers.items())
+
+    digits = Counter()
+    for b in _count_digits(batches_of(rows, ["lang", "source", "text"], size), piece_bytes):
+        for r in b.to_pylist():
+            assert r["terms"] and len(set(r["terms"])) == len(r["terms"])
+            for t in r["terms"]:
+                digits[(r["source"], *t.split("\x00", 1))] += r["weight"]
+    assert digits == counts
+
+
+def test_vectorizer_gets_each_term_a_few_times(spark):
+    """A term of every document goes through the vectorizer once a layer and once a digit, not once an occurrence."""
+    docs = spark.createDataFrame([(i, "same words again and again", "en", "ab"[i % 2]) for i in range(600)], SCHEMA).coalesce(1)
+    passed = lambda df: df.agg(F.sum(F.size("terms"))).first()[0]
+    assert passed(document_layers(docs, 10)) == 4 * 10
+    assert passed(count_digits(docs)) == 2 * (3 * bin(300).count("1") + bin(600).count("1"))
+
+
+def test_equal_values_at_the_last_rank(spark):
+    words = [a + b for a in "zyxw\u00e9" for b in "abcdefg"]
+    rows = [(i, " ".join(words[:20] if i % 2 else words[15:]), "en", "ab"[i % 2]) for i in range(24)]
+    got = told(audit(spark.createDataFrame(rows, SCHEMA)))
+    assert got == brute(rows, 10, 10) and len([r for r in got if r[2] == "term"]) == 20
+
+
+def test_shares_about_the_largest_long_product(spark):
+    counts = [9 * 10**9 + d for d in range(-4, 3)] + [2**62]
+    df = spark.createDataFrame([(c,) for c in counts], "c long").select(smoothed(F.col("c"), F.col("c") + 5, F.lit(3)))
+    assert [int(r[0]) for r in df.collect()] == [1 + 10**9 * (c + 2) // (c + 5 + 6) for c in counts]
